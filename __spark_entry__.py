@@ -70,7 +70,7 @@ def _set_queries() -> dict[str, Query]:
 
     def memberships_(t, s):
         events = {"won": "win_level", "paid": "in_app_purchase", "watched": "ads_reward_complete"}
-        return memberships(*(tag(t.get(e, USER), **{n: F.lit(True)}) for n, e in events.items()))
+        return memberships(*(tag(t.get(e, USER), **{n: "true"}) for n, e in events.items()))
 
     def merge_by_level_(t, s):
         boosts, ads = (

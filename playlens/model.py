@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from datetime import date
-from functools import cache, reduce
+from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 USER = "user_pseudo_id"
 TIME = "event_timestamp"
@@ -35,6 +34,11 @@ TABLE_SCHEMAS: dict[str, str] = {
 }
 
 
+def _quoted(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 @dataclass(frozen=True)
 class DateRange:
     """Calendar days from ``start`` to ``end``, both included (ISO text)."""
@@ -42,9 +46,9 @@ class DateRange:
     start: str
     end: str
 
-    def contains(self, column: str = DAY) -> Column:
+    def contains(self, column: str = DAY) -> str:
         first, last = date.fromisoformat(self.start), date.fromisoformat(self.end)
-        return F.col(column).between(F.lit(first), F.lit(last))
+        return f"{column} between date'{first}' and date'{last}'"
 
 
 @dataclass(frozen=True)
@@ -55,14 +59,15 @@ class Scope:
     version: str | None = None
     countries: tuple[str, ...] = ()
 
-    def conditions(self) -> dict[str, Column]:
+    def conditions(self) -> dict[str, str]:
+        """What each column must satisfy, as SQL text."""
         found = {}
         if self.platform is not None:
-            found["platform"] = F.col("platform") == self.platform
+            found["platform"] = f"platform = {_quoted(self.platform)}"
         if self.version is not None:
-            found["version"] = F.col("version") == self.version
+            found["version"] = f"version = {_quoted(self.version)}"
         if self.countries:
-            found["country"] = F.col("country").isin(*self.countries)
+            found["country"] = f"country in ({', '.join(map(_quoted, self.countries))})"
         return found
 
     def worldwide(self) -> Scope:
@@ -138,4 +143,6 @@ class EventTables:
         if dates is not None:
             conditions[DAY] = dates.contains()
         rows = self._load(name, tuple(dict.fromkeys([*columns, *conditions])))
-        return reduce(DataFrame.filter, conditions.values(), rows).select(*columns)
+        if conditions:
+            rows = rows.filter(" and ".join(conditions.values()))
+        return rows.select(*columns)

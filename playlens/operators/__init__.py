@@ -9,6 +9,7 @@ from playlens.operators.sets import (
     not_in_users,
     segment_users,
     tag,
+    union,
 )
 from playlens.operators.shape import (
     centered_mean,
@@ -35,5 +36,6 @@ __all__ = [
     "segment_users",
     "share_of_total",
     "tag",
+    "union",
     "with_baseline",
 ]

@@ -28,7 +28,7 @@ def first_per_user(events: DataFrame, *carry: str) -> DataFrame:
     """
     first = F.min(F.struct(TIME, *carry)).alias("first")
     return (
-        events.filter(F.col(USER).isNotNull())
+        events.filter(f"{USER} is not null")
         .groupBy(USER)
         .agg(first)
         .select(USER, *(F.col("first")[name].alias(name) for name in (TIME, *carry)))
@@ -40,7 +40,7 @@ def level_intervals(starts: DataFrame) -> DataFrame:
 
     Starts at the same instant follow each other by level.
     """
-    rows = starts.filter(F.col(USER).isNotNull()).select(
+    rows = starts.filter(f"{USER} is not null").select(
         USER, "level", F.col(TIME).alias("level_start"), time_bucket(F.col(TIME)).alias(_SLICE)
     )
     in_slice = Window.partitionBy(USER, _SLICE).orderBy("level_start", "level")
@@ -75,7 +75,7 @@ def attribute_to_level(
     rows = (
         starts.select(USER, TIME, opened.alias("start"))
         .unionByName(points.select(USER, TIME, *measures), allowMissingColumns=True)
-        .filter(F.col(USER).isNotNull())
+        .filter(f"{USER} is not null")
         .withColumn(_SLICE, time_bucket(F.col(TIME)))
     )
     so_far = (

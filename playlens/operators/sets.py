@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playlens.model import LABEL, USER
@@ -31,13 +31,18 @@ def not_in_users(df: DataFrame, users: DataFrame) -> DataFrame:
     With NULL ids refused on both sides this is ``NOT IN``, but as an ordinary
     anti join, which can shuffle when the set is too large to send around.
     """
-    known = F.col(USER).isNotNull()
+    known = f"{USER} is not null"
     return df.filter(known).join(users.filter(known).select(USER), USER, "left_anti")
 
 
-def tag(df: DataFrame, **flags: Column) -> DataFrame:
-    """A row per event that says which sets its user belongs to."""
-    return df.select(USER, *(condition.alias(name) for name, condition in flags.items()))
+def tag(df: DataFrame, **flags: str) -> DataFrame:
+    """A row per event that says, in SQL conditions, which sets its user belongs to."""
+    return df.selectExpr(USER, *(f"{condition} as {name}" for name, condition in flags.items()))
+
+
+def union(*parts: DataFrame) -> DataFrame:
+    """All rows of all parts; a column that a part lacks is NULL there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def memberships(*tagged: DataFrame) -> DataFrame:
@@ -46,25 +51,24 @@ def memberships(*tagged: DataFrame) -> DataFrame:
     All sets meet in a single aggregation: a user's repeats collapse before the
     one shuffle, and no set has to be joined or fit in memory.
     """
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    rows = union(*tagged)
     flags = [column for column in rows.columns if column != USER]
     return (
-        rows.filter(F.col(USER).isNotNull())
+        rows.filter(f"{USER} is not null")
         .groupBy(USER)
-        .agg(*(F.coalesce(F.bool_or(flag), F.lit(False)).alias(flag) for flag in flags))
+        .agg(*(F.expr(f"coalesce(bool_or({flag}), false) as {flag}") for flag in flags))
     )
 
 
 def label_by_membership(
-    members: DataFrame, rules: Mapping[str, Column], otherwise: str | None = None
+    members: DataFrame, rules: Mapping[str, str], otherwise: str | None = None
 ) -> DataFrame:
     """``(user, label)`` from the first rule that holds; NULL when none does."""
-    label = F.lit(otherwise).cast("string")
-    for name, condition in reversed(list(rules.items())):
-        label = F.when(condition, name).otherwise(label)
-    return members.select(USER, label.alias(LABEL))
+    cases = " ".join(f"when {condition} then '{label}'" for label, condition in rules.items())
+    default = "" if otherwise is None else f"else '{otherwise}'"
+    return members.selectExpr(USER, f"case {cases} {default} end as {LABEL}")
 
 
 def segment_users(labels: DataFrame, label: str) -> DataFrame:
     """The users who carry one label."""
-    return labels.filter(F.col(LABEL) == label).select(USER)
+    return labels.filter(f"{LABEL} = '{label}'").select(USER)

@@ -61,9 +61,8 @@ def engaged_non_payers(tables: EventTables, scope: Scope, dates: DateRange) -> D
     """How many users were engaged in the scope's countries and paid nowhere."""
     engaged = tables.get("user_engagement", USER, scope=scope, dates=dates)
     payers = tables.get("in_app_purchase", USER, scope=scope.worldwide(), dates=dates)
-    yes = F.lit(True)
     return (
-        memberships(tag(engaged, engaged=yes), tag(payers, paid=yes))
+        memberships(tag(engaged, engaged="true"), tag(payers, paid="true"))
         .filter("engaged and not paid")
         .agg(F.count(USER).alias("num_user"))
     )
@@ -115,7 +114,7 @@ def dau_pct_by_label(
 
 def retention(tables: EventTables, labels: DataFrame, days: int = 7) -> DataFrame:
     """Users of each segment who were active ``day_number`` days after first open."""
-    labelled = labels.filter(F.col(LABEL).isNotNull())
+    labelled = labels.filter(f"{LABEL} is not null")
     opened = tables.get("first_open", USER, DAY).groupBy(USER).agg(
         F.min(DAY).alias("first_open_date")
     )

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playlens.functions import band, ratio
 from playlens.model import LABEL, USER, CohortSpec, EventTables
-from playlens.operators import centered_mean, cumulative_distribution, pivot_labels, with_baseline
+from playlens.operators import (
+    centered_mean,
+    cumulative_distribution,
+    pivot_labels,
+    union,
+    with_baseline,
+)
 
 
 def user_max_level(tables: EventTables, user: str | None = None) -> DataFrame:
@@ -29,12 +34,11 @@ def counts_per_user_level(tables: EventTables, events: Mapping[str, str]) -> Dat
     """
     rows = [
         tables.get(table, USER, "level")
-        .filter(F.lit(True) if column == "started" else F.col("level").isNotNull())
-        .withColumn(column, F.lit(1))
+        .filter("true" if column == "started" else "level is not null")
+        .selectExpr(USER, "level", f"1 as {column}")
         for column, table in events.items()
     ]
-    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
-    return merged.groupBy(USER, "level").agg(*(F.count(c).alias(c) for c in events))
+    return union(*rows).groupBy(USER, "level").agg(*(F.count(c).alias(c) for c in events))
 
 
 _OUTCOMES = {"started": "start_level", "won": "win_level", "lost": "lose_level"}
@@ -68,7 +72,7 @@ def level_outcomes_by_label(
     tables: EventTables, labels: DataFrame, max_level: int | None = None
 ) -> DataFrame:
     """:func:`level_outcomes` of each segment, with win rate and attempts per user."""
-    labelled = labels.filter(F.col(LABEL).isNotNull())
+    labelled = labels.filter(f"{LABEL} is not null")
     outcomes = (
         counts_per_user_level(tables, _OUTCOMES)
         .join(labelled, USER)
@@ -77,7 +81,7 @@ def level_outcomes_by_label(
         .filter("event_start > 0")
     )
     if max_level is not None:
-        outcomes = outcomes.filter(F.col("level") <= max_level)
+        outcomes = outcomes.filter(f"level <= {max_level}")
     return outcomes.withColumns(
         {
             "winrate": ratio(F.col("event_win"), F.col("event_win") + F.col("event_lose")),
@@ -118,7 +122,7 @@ def level_users_by_label(
     """
     reached = (
         tables.get("start_level", USER, "level", scope=spec.scope.worldwide(), dates=spec.whole)
-        .filter(F.col("level").isNotNull())
+        .filter("level is not null")
         .distinct()
     )
     per_level = pivot_labels(
@@ -136,9 +140,7 @@ def level_split_by_label(
     below_level: int = 200,
 ) -> DataFrame:
     """Users per level with their total and each label's percentage of it."""
-    users = level_users_by_label(tables, spec, labels, columns).filter(
-        F.col("level") < below_level
-    )
+    users = level_users_by_label(tables, spec, labels, columns).filter(f"level < {below_level}")
     total = sum((F.col(c) for c in columns.values()), F.lit(0))
     return (
         users.withColumn("total", total)

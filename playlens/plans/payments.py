@@ -13,6 +13,7 @@ from playlens.operators import (
     first_per_user,
     in_users,
     share_of_total,
+    union,
 )
 
 # Amounts are added up as decimals: the same total whatever the order of tasks.
@@ -78,20 +79,15 @@ def purchases_vs_first(tables: EventTables, scope: Scope, below_level: int = 200
     sorted once and no level table has to be merged with another.
     """
     purchases = _purchases(tables, scope)
-    points = (
-        purchases.groupBy(USER, TIME)
-        .agg(F.count("*").alias("purchases"))
-        .unionByName(
-            first_per_user(purchases).withColumn("first_purchases", F.lit(1)),
-            allowMissingColumns=True,
-        )
-        .na.fill(0, ["purchases", "first_purchases"])
-    )
+    points = union(
+        purchases.groupBy(USER, TIME).agg(F.count("*").alias("purchases")),
+        first_per_user(purchases).withColumn("first_purchases", F.lit(1)),
+    ).na.fill(0, ["purchases", "first_purchases"])
     attributed = attribute_to_level(
         points, _starts(tables, scope), ["purchases", "first_purchases"]
     )
     return (
-        attributed.filter(F.col("level") < below_level)
+        attributed.filter(f"level < {below_level}")
         .groupBy("level")
         .agg(
             F.count_if(F.col("purchases") > 0).alias("num_iap_users"),
@@ -131,7 +127,7 @@ def _payers_by_segment(
         .withColumn("paid", F.lit(1))
     )
     return (
-        labels.filter(F.col(LABEL).isNotNull())
+        labels.filter(f"{LABEL} is not null")
         .join(paid, USER, "left")
         .groupBy(F.col(LABEL).alias("segment"))
         .agg(F.count("paid").alias("num_payer"), F.count(USER).alias("num_user"))

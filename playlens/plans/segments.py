@@ -7,11 +7,11 @@ aggregation per user, whatever the number of sets that decide on the label.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playlens.functions import elapsed_days, ratio
-from playlens.model import LABEL, TIME, USER, CohortSpec, DateRange, EventTables, Scope
+from playlens.model import LABEL, TIME, USER, CohortSpec, DateRange, EventTables
 from playlens.operators import (
     count_users,
     label_by_membership,
@@ -19,6 +19,7 @@ from playlens.operators import (
     segment_users,
     share_of_total,
     tag,
+    union,
 )
 
 IAP, NON_IAP = "iap", "non_iap"
@@ -26,22 +27,13 @@ AD, NON_AD = "adrw", "non_adrw"
 BEST, MIDDLE, WORST = "best", "bete", "worst"
 
 
-def _yes() -> Column:
-    return F.lit(True)
-
-
-def _in_countries(scope: Scope) -> Column:
-    """Whether a row is in the scope's countries, true when it names none."""
-    return scope.conditions().get("country", _yes())
-
-
-def _cohort_events(tables: EventTables, spec: CohortSpec, scope: Scope | None = None) -> DataFrame:
-    return tables.get("first_open", USER, scope=scope or spec.scope, dates=spec.first_open)
+def _cohort_events(tables: EventTables, spec: CohortSpec) -> DataFrame:
+    return tables.get("first_open", USER, scope=spec.scope, dates=spec.first_open)
 
 
 def cohort(tables: EventTables, spec: CohortSpec) -> DataFrame:
     """Users whose first open lies in the cohort window."""
-    return _cohort_events(tables, spec).filter(F.col(USER).isNotNull()).distinct()
+    return _cohort_events(tables, spec).filter(f"{USER} is not null").distinct()
 
 
 def _actors(
@@ -50,7 +42,8 @@ def _actors(
     """Users of one event, telling those in the spec's countries from the others."""
     columns = [USER, "country"] if spec.scope.countries else [USER]
     events = tables.get(event, *columns, scope=spec.scope.worldwide(), dates=dates)
-    return tag(events, acted=_in_countries(spec.scope), acted_anywhere=_yes())
+    in_countries = spec.scope.conditions().get("country", "true")
+    return tag(events, acted=in_countries, acted_anywhere="true")
 
 
 def payer_lists(tables: EventTables, spec: CohortSpec) -> DataFrame:
@@ -61,11 +54,11 @@ def payer_lists(tables: EventTables, spec: CohortSpec) -> DataFrame:
     """
     engaged = tables.get("user_engagement", USER, scope=spec.scope, dates=spec.whole)
     users = memberships(
-        tag(_cohort_events(tables, spec), cohort=_yes()),
-        tag(engaged, engaged=_yes()),
+        tag(_cohort_events(tables, spec), cohort="true"),
+        tag(engaged, engaged="true"),
         _actors(tables, spec, "in_app_purchase", spec.whole),
     ).filter("cohort and (acted or engaged and not acted_anywhere)")
-    return label_by_membership(users, {IAP: F.col("acted")}, otherwise=NON_IAP)
+    return label_by_membership(users, {IAP: "acted"}, otherwise=NON_IAP)
 
 
 def payer_users(tables: EventTables, spec: CohortSpec) -> DataFrame:
@@ -80,9 +73,9 @@ def ad_lists(tables: EventTables, spec: CohortSpec) -> DataFrame:
     """Cohort users with and without a completed reward ad, at any time."""
     ads = tables.get("ads_reward_complete", USER, scope=spec.scope)
     users = memberships(
-        tag(_cohort_events(tables, spec), cohort=_yes()), tag(ads, acted=_yes())
+        tag(_cohort_events(tables, spec), cohort="true"), tag(ads, acted="true")
     ).filter("cohort")
-    return label_by_membership(users, {AD: F.col("acted")}, otherwise=NON_AD)
+    return label_by_membership(users, {AD: "acted"}, otherwise=NON_AD)
 
 
 def ad_users(tables: EventTables, spec: CohortSpec) -> DataFrame:
@@ -109,16 +102,16 @@ def _engaged_segments(
         "user_engagement", USER, scope=spec.scope.worldwide(), dates=engaged_dates
     )
     users = memberships(
-        tag(engaged, engaged=_yes()),
-        tag(_cohort_events(tables, spec), cohort=_yes()),
+        tag(engaged, engaged="true"),
+        tag(_cohort_events(tables, spec), cohort="true"),
         _actors(tables, spec, event, spec.whole),
     ).filter("engaged")
     acted, did_not = labels
     return label_by_membership(
         users,
         {
-            acted: F.col("cohort") & F.col("acted"),
-            did_not: F.col("cohort") & ~F.col("acted_anywhere"),
+            acted: "cohort and acted",
+            did_not: "cohort and not acted_anywhere",
         },
     )
 
@@ -143,9 +136,9 @@ def cohort_payer_labels(tables: EventTables, spec: CohortSpec) -> DataFrame:
     """Cohort users as ``iap`` if they ever paid in scope, else ``non_iap``."""
     paid = tables.get("in_app_purchase", USER, scope=spec.scope)
     users = memberships(
-        tag(_cohort_events(tables, spec), cohort=_yes()), tag(paid, acted=_yes())
+        tag(_cohort_events(tables, spec), cohort="true"), tag(paid, acted="true")
     ).filter("cohort")
-    return label_by_membership(users, {IAP: F.col("acted")}, otherwise=NON_IAP)
+    return label_by_membership(users, {IAP: "acted"}, otherwise=NON_IAP)
 
 
 def cohort_split_counts(tables: EventTables, spec: CohortSpec) -> DataFrame:
@@ -155,7 +148,7 @@ def cohort_split_counts(tables: EventTables, spec: CohortSpec) -> DataFrame:
 
 def segment_sizes(labels: DataFrame) -> DataFrame:
     """Users per label and their share of all labelled users."""
-    sizes = labels.filter(F.col(LABEL).isNotNull()).groupBy(F.col(LABEL).alias("segment"))
+    sizes = labels.filter(f"{LABEL} is not null").groupBy(F.col(LABEL).alias("segment"))
     return share_of_total(
         sizes.agg(F.count(USER).alias("num_user")), {"num_user": "share_pct"}
     )
@@ -169,18 +162,16 @@ def attempt_ratio(
     One aggregation per user decides on the cohort, the win and the starts.
     """
     level = spec.skill.level
-    wins = tables.get("win_level", USER, "level", scope=spec.scope).filter(F.col("level") >= level)
-    starts = tables.get("start_level", USER, "level", scope=spec.scope).filter(
-        F.col("level") <= level
-    )
-    rows = (
-        tag(_cohort_events(tables, spec), cohort=_yes())
-        .unionByName(tag(wins, won=_yes()), allowMissingColumns=True)
-        .unionByName(tag(starts, started=_yes()), allowMissingColumns=True)
+    wins = tables.get("win_level", USER, "level", scope=spec.scope)
+    starts = tables.get("start_level", USER, "level", scope=spec.scope)
+    rows = union(
+        tag(_cohort_events(tables, spec), cohort="true"),
+        tag(wins.filter(f"level >= {level}"), won="true"),
+        tag(starts.filter(f"level <= {level}"), started="true"),
     )
     places = spec.skill.decimals if decimals is None else decimals
     return (
-        rows.filter(F.col(USER).isNotNull())
+        rows.filter(f"{USER} is not null")
         .groupBy(USER)
         .agg(
             F.bool_or("cohort").alias("cohort"),
@@ -194,28 +185,25 @@ def attempt_ratio(
 
 def skill_segments(tables: EventTables, spec: CohortSpec) -> DataFrame:
     """Users with an attempt ratio as ``best``, ``worst`` or the middle."""
-    attempts = F.col("start_time")
-    label = (
-        F.when(attempts <= spec.skill.best, BEST)
-        .when(attempts >= spec.skill.worst, WORST)
-        .otherwise(MIDDLE)
-    )
-    return attempt_ratio(tables, spec).select(USER, label.alias(LABEL))
+    rules = {
+        BEST: f"start_time <= {float(spec.skill.best)}D",
+        WORST: f"start_time >= {float(spec.skill.worst)}D",
+    }
+    return label_by_membership(attempt_ratio(tables, spec), rules, otherwise=MIDDLE)
 
 
 def booster_segments(tables: EventTables, spec: CohortSpec, min_uses: int = 1) -> DataFrame:
     """Cohort users as ``booster`` from ``min_uses`` booster uses on, else ``non_booster``."""
     uses = tables.get("booster_use", USER, scope=spec.scope)
-    rows = tag(_cohort_events(tables, spec), cohort=_yes()).unionByName(
-        tag(uses, used=_yes()), allowMissingColumns=True
-    )
-    often = F.when(F.count("used") >= min_uses, "booster").otherwise("non_booster")
-    return (
-        rows.filter(F.col(USER).isNotNull())
+    rows = union(tag(_cohort_events(tables, spec), cohort="true"), tag(uses, used="true"))
+    users = (
+        rows.filter(f"{USER} is not null")
         .groupBy(USER)
-        .agg(often.alias(LABEL), F.bool_or("cohort").alias("cohort"))
+        .agg(F.bool_or("cohort").alias("cohort"), F.count("used").alias("uses"))
         .filter("cohort")
-        .select(USER, LABEL)
+    )
+    return label_by_membership(
+        users, {"booster": f"uses >= {min_uses}"}, otherwise="non_booster"
     )
 
 
@@ -224,18 +212,15 @@ def _before_level(
 ) -> DataFrame:
     """Labels cohort users by whether ``event`` came before they reached ``level``."""
     events = tables.get(event, USER, TIME, scope=spec.scope)
-    reached = tables.get("start_level", USER, TIME, "level", scope=spec.scope).filter(
-        F.col("level") >= level
-    )
-    rows = (
-        tag(_cohort_events(tables, spec), cohort=_yes())
-        .unionByName(tag(events, acted_at=F.col(TIME)), allowMissingColumns=True)
-        .unionByName(tag(reached, reached_at=F.col(TIME)), allowMissingColumns=True)
+    starts = tables.get("start_level", USER, TIME, "level", scope=spec.scope)
+    rows = union(
+        tag(_cohort_events(tables, spec), cohort="true"),
+        tag(events, acted_at=TIME),
+        tag(starts.filter(f"level >= {level}"), reached_at=TIME),
     )
     early, other = labels
-    in_time = F.col("reached_at").isNull() | (F.col("acted_at") < F.col("reached_at"))
-    return (
-        rows.filter(F.col(USER).isNotNull())
+    users = (
+        rows.filter(f"{USER} is not null")
         .groupBy(USER)
         .agg(
             F.bool_or("cohort").alias("cohort"),
@@ -243,11 +228,9 @@ def _before_level(
             F.min("reached_at").alias("reached_at"),
         )
         .filter("cohort")
-        .select(
-            USER,
-            F.when(F.col("acted_at").isNotNull() & in_time, early).otherwise(other).alias(LABEL),
-        )
     )
+    in_time = "acted_at is not null and (reached_at is null or acted_at < reached_at)"
+    return label_by_membership(users, {early: in_time}, otherwise=other)
 
 
 def early_ad_segments(tables: EventTables, spec: CohortSpec, level: int = 20) -> DataFrame:
@@ -259,15 +242,13 @@ def early_payer_segments(tables: EventTables, spec: CohortSpec, days: int = 7) -
     """Cohort users as ``iap`` if they paid within ``days`` of their first open."""
     opened = tables.get("first_open", USER, TIME, scope=spec.scope, dates=spec.first_open)
     paid = tables.get("in_app_purchase", USER, TIME, scope=spec.scope)
-    rows = tag(opened, opened_at=F.col(TIME)).unionByName(
-        tag(paid, paid_at=F.col(TIME)), allowMissingColumns=True
-    )
+    rows = union(tag(opened, opened_at=TIME), tag(paid, paid_at=TIME))
     waited = elapsed_days(F.col("opened_at"), F.col("paid_at"))
     return (
-        rows.filter(F.col(USER).isNotNull())
+        rows.filter(f"{USER} is not null")
         .groupBy(USER)
         .agg(F.min("opened_at").alias("opened_at"), F.min("paid_at").alias("paid_at"))
-        .filter(F.col("opened_at").isNotNull())
+        .filter("opened_at is not null")
         .select(USER, F.when(waited <= days, IAP).otherwise(NON_IAP).alias(LABEL))
     )
 

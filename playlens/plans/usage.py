@@ -94,7 +94,7 @@ def use_per_starter_by_level(
     """:func:`usage_by_level` of one event up to a level, with uses per starter."""
     usage = usage_by_level(tables, labels, {use: event}, segments)
     return (
-        usage.filter(F.col("level") <= max_level)
+        usage.filter(f"level <= {max_level}")
         .withColumns(
             {
                 f"num_{use}_per_{segment}": ratio(

@@ -7,7 +7,7 @@ table is a filter over it.  Only meant for tests, the bench and the checks.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,32 +30,17 @@ _CUSTOMER = "c_custkey bigint, c_nationkey int, c_mktsegment string"
 _NATION = "n_nationkey int, n_name string"
 
 
-@dataclass(frozen=True)
-class _Source:
-    event_type: str | None = None
-    at_least: float | None = None
-    below: float | None = None
-
-    def rows(self, log: DataFrame) -> DataFrame:
-        if self.event_type is not None:
-            log = log.filter(F.col("event_type") == self.event_type)
-        if self.at_least is not None:
-            log = log.filter(F.col("value") >= self.at_least)
-        if self.below is not None:
-            log = log.filter(F.col("value") < self.below)
-        return log
-
-
-_TABLES = {
-    "user_engagement": _Source(),
-    "session_start": _Source("view"),
-    "start_level": _Source("view"),
-    "win_level": _Source("click"),
-    "lose_level": _Source("error"),
-    "in_app_purchase": _Source("purchase", at_least=200),
-    "ads_reward_complete": _Source("error", at_least=150),
-    "booster_use": _Source("signup", below=20),
-    "af_rewarded": _Source("click", at_least=100),
+# Rows of the log that make up each event table.
+_ROWS = {
+    "user_engagement": "true",
+    "session_start": "event_type = 'view'",
+    "start_level": "event_type = 'view'",
+    "win_level": "event_type = 'click'",
+    "lose_level": "event_type = 'error'",
+    "in_app_purchase": "event_type = 'purchase' and value >= 200",
+    "ads_reward_complete": "event_type = 'error' and value >= 150",
+    "booster_use": "event_type = 'signup' and value < 20",
+    "af_rewarded": "event_type = 'click' and value >= 100",
 }
 
 # Which raw event name an event type stands for when the log is nested again.
@@ -68,85 +53,76 @@ RAW_NAMES = {
 }
 
 
-def _utc_micros() -> Column:
-    """Epoch microseconds of the zone-less ``ts`` read as UTC, in any session zone."""
-    here = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts"))
-    return F.unix_micros(here.cast("timestamp"))
-
-
-def _derived() -> dict[str, Column]:
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    return {
-        USER: F.col("user_id").cast("string"),
-        TIME: _utc_micros(),
-        DAY: F.col("ts").cast("date"),
-        "level": k % 10 + 1,
-        "platform": F.when(F.col("user_id") % 4 == 0, "ANDROID").otherwise("IOS"),
-        "version": F.when(F.col("user_id") % 5 == 0, "1.0.4").otherwise("1.0.5"),
-        "event_value_in_usd": F.col("value"),
-        "placement": F.concat(F.lit("p"), (k % 4).cast("string")),
-        "booster_type": F.concat(F.lit("b"), (k % 3).cast("string")),
-    }
+_K = "cast(get_json_object(props, '$.k') as bigint)"
+
+# ``ts`` has no zone and is read as UTC, whatever zone the session is in.
+_DERIVED = {
+    USER: "cast(user_id as string)",
+    TIME: "unix_micros(cast(convert_timezone('UTC', current_timezone(), ts) as timestamp))",
+    DAY: "cast(ts as date)",
+    "level": f"{_K} % 10 + 1",
+    "platform": "if(user_id % 4 = 0, 'ANDROID', 'IOS')",
+    "version": "if(user_id % 5 = 0, '1.0.4', '1.0.5')",
+    "event_value_in_usd": "value",
+    "placement": f"concat('p', {_K} % 4)",
+    "booster_type": f"concat('b', {_K} % 3)",
+    "country": "n_name",
+    "mobile_name": "c_mktsegment",
+}
+_FROM_CUSTOMER = {"country", "mobile_name"}
 
 
-_FROM_CUSTOMER = {"country": "n_name", "mobile_name": "c_mktsegment"}
+class _Log:
+    """The test tables, each opened once."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark = spark
+        self._dir = sf_dir
 
-def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.schema(_EVENTS).parquet(f"{sf_dir}/events.parquet")
+    def _table(self, name: str, schema: str) -> DataFrame:
+        return self._spark.read.schema(schema).parquet(f"{self._dir}/{name}.parquet")
 
+    @cached_property
+    def events(self) -> DataFrame:
+        return self._table("events", _EVENTS)
 
-def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = spark.read.schema(_CUSTOMER).parquet(f"{sf_dir}/customer.parquet")
-    nation = spark.read.schema(_NATION).parquet(f"{sf_dir}/nation.parquet")
-    return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
-        F.col("c_custkey").alias("user_id"),
-        *(F.col(source).alias(name) for name, source in _FROM_CUSTOMER.items()),
-    )
+    @cached_property
+    def first_opens(self) -> DataFrame:
+        signups = self.events.filter("event_type = 'signup'")
+        return signups.groupBy("user_id").agg(F.min("ts").alias("ts"))
 
+    @cached_property
+    def customers(self) -> DataFrame:
+        customer = self._table("customer", _CUSTOMER).withColumnRenamed("c_custkey", "user_id")
+        nation = self._table("nation", _NATION)
+        return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
 
-def _with_columns(
-    spark: SparkSession, sf_dir: str, rows: DataFrame, columns: Sequence[str]
-) -> DataFrame:
-    """Only the wanted columns; customers are joined only if one of theirs is among them."""
-    if any(column in _FROM_CUSTOMER for column in columns):
-        rows = rows.join(_customers(spark, sf_dir), "user_id", "left")
-    derived = _derived()
-    return rows.select(
-        *(derived[c].alias(c) if c in derived else F.col(c) for c in columns)
-    )
+    def select(self, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+        """Only the wanted columns; customers are joined if one of theirs is among them."""
+        if _FROM_CUSTOMER.intersection(columns):
+            rows = rows.join(self.customers, "user_id", "left")
+        return rows.selectExpr(*(f"{_DERIVED.get(c, c)} as {c}" for c in columns))
 
 
 def bind(spark: SparkSession, sf_dir: str) -> EventTables:
     """The event tables of one scale factor."""
-    log = _log(spark, sf_dir)
+    log = _Log(spark, sf_dir)
 
     def load(name: str, columns: Sequence[str]) -> DataFrame:
         if name == "first_open":
-            rows = (
-                log.filter(F.col("event_type") == "signup")
-                .groupBy("user_id")
-                .agg(F.min("ts").alias("ts"))
-            )
-        else:
-            rows = _TABLES[name].rows(log)
-        return _with_columns(spark, sf_dir, rows, columns)
+            return log.select(log.first_opens, columns)
+        return log.select(log.events.filter(_ROWS[name]), columns)
 
     return EventTables(load)
 
 
 def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log in its nested form, with a ``shard`` column for the day."""
-    rows = _log(spark, sf_dir)
-    columns = [
-        USER, TIME, DAY, "level", "platform", "version", "country", "mobile_name",
-        "event_value_in_usd", "placement", "booster_type",
-    ]
-    flat = _with_columns(
-        spark, sf_dir, rows.withColumn("kind", F.col("event_type")), [*columns, "kind"]
-    )
+    columns = list(_DERIVED)
+    log = _Log(spark, sf_dir)
+    flat = log.select(log.events, [*columns, "event_type"])
     day = F.date_format(DAY, "yyyyMMdd")
-    name = F.coalesce(*(F.when(F.col("kind") == k, n) for k, n in RAW_NAMES.items()))
+    name = F.coalesce(*(F.when(F.col("event_type") == k, n) for k, n in RAW_NAMES.items()))
 
     def param(key: str) -> Column:
         value = F.struct(F.col(key).cast("string").alias("string_value"))
