@@ -1,0 +1,383 @@
+"""Small inputs with answers worked out by hand."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from playlens import CohortSpec, DateRange, EventTables, Scope, SkillRule
+from playlens.functions import band, calendar_days, elapsed_days, ratio
+from playlens.operators import (
+    centered_mean,
+    cumulative_distribution,
+    in_users,
+    label_by_membership,
+    merge_by_level,
+    not_in_users,
+    pivot_labels,
+    share_of_total,
+    with_baseline,
+)
+from playlens.plans import activity, levels, payments, segments, usage
+
+DAYS = DateRange("2025-03-01", "2025-03-31")
+SPEC = CohortSpec(Scope(), DateRange("2025-03-01", "2025-03-05"), DAYS, DAYS)
+
+EVENT = (
+    "event_timestamp bigint, user_pseudo_id string, event_date date, version string, "
+    "country string, platform string"
+)
+
+
+def _rows(df):
+    return sorted((tuple(row) for row in df.collect()), key=repr)
+
+
+def _events(spark, rows, extra="", day="2025-03-02"):
+    """Rows are (user, time, *extra values), all on one day unless they name a country."""
+    values = [(t, u, day, "1", "US", "IOS", *more) for u, t, *more in rows]
+    schema = EVENT.replace("event_date date", "event_date string") + extra
+    return spark.createDataFrame(values, schema).withColumn(
+        "event_date", F.col("event_date").cast("date")
+    )
+
+
+@pytest.fixture(scope="module")
+def attempts(spark):
+    starts = [("a", 10, 1), ("a", 20, 2), ("a", 30, 2), ("b", 10, 1), ("c", 50, 1), (None, 5, 1)]
+    bought = [("a", 20), ("a", 25), ("a", 99), ("b", 9), ("c", 50), (None, 6)]
+    return EventTables.from_frames(
+        {
+            "start_level": _events(spark, starts, ", level bigint"),
+            "in_app_purchase": _events(spark, bought),
+        }
+    )
+
+
+def test_purchases_fall_into_the_attempt_they_were_made_in(attempts):
+    assert _rows(payments.purchases_by_level(attempts, Scope())) == [(1, 1, 1), (2, 1, 3)]
+
+
+def test_first_purchases_by_level(attempts):
+    assert _rows(payments.first_purchase_by_level(attempts, Scope())) == [(1, 1), (2, 1)]
+
+
+def test_all_and_first_purchases_side_by_side(attempts):
+    both = payments.purchases_vs_first(attempts, Scope())
+    assert _rows(both) == [(1, 1, 1, 1), (2, 1, 3, 1)]
+    assert _rows(payments.purchases_vs_first(attempts, Scope(), below_level=2)) == [(1, 1, 1, 1)]
+
+
+def test_a_start_without_level_still_takes_its_purchases(spark):
+    tables = EventTables.from_frames(
+        {
+            "start_level": _events(spark, [("a", 10, 4), ("a", 20, None)], ", level bigint"),
+            "in_app_purchase": _events(spark, [("a", 15), ("a", 25)]),
+        }
+    )
+    assert _rows(payments.purchases_by_level(tables, Scope())) == [(4, 1, 1), (None, 1, 1)]
+
+
+def _payer_tables(spark, with_null_payer):
+    payers = [("d", "DE"), ("e", "US")] + ([(None, "US")] if with_null_payer else [])
+    paid = spark.createDataFrame(
+        [(1, u, "2025-03-03", "1", c, "IOS") for u, c in [("a", "US"), *payers]],
+        EVENT.replace("event_date date", "event_date string"),
+    ).withColumn("event_date", F.col("event_date").cast("date"))
+    engaged = [("a", 1), ("a", 2), ("b", 1), ("d", 1), ("e", 1)]
+    return EventTables.from_frames(
+        {
+            "first_open": _events(spark, [(u, 1) for u in "abcd"]),
+            "user_engagement": _events(spark, engaged),
+            "in_app_purchase": paid,
+        }
+    )
+
+
+@pytest.mark.parametrize("with_null_payer", [False, True])
+def test_payer_labels(spark, with_null_payer):
+    spec = CohortSpec(Scope(countries=("US",)), SPEC.first_open, DAYS, DAYS)
+    labels = segments.payer_segments(_payer_tables(spark, with_null_payer), spec)
+    assert _rows(labels) == [("a", "iap"), ("b", "non_iap"), ("d", None), ("e", None)]
+
+
+def test_days_with_only_unlabelled_users_stay_empty(spark):
+    tables = _payer_tables(spark, False)
+    spec = CohortSpec(Scope(countries=("US",)), SPEC.first_open, DAYS, DAYS)
+    labels = segments.payer_segments(tables, spec)
+    names = {"iap": "percent_dau_iap", "non_iap": "percent_dau_non_iap"}
+    later = EventTables.from_frames(
+        {"user_engagement": _events(spark, [("e", 9)], day="2025-03-09").union(
+            tables.get("user_engagement", *EVENT_COLUMNS)
+        )}
+    )
+    rows = activity.dau_pct_by_label(later, spec, labels, names).collect()
+    assert [(str(r[0]), r[1], r[2]) for r in rows] == [
+        ("2025-03-02", 100.0, 100.0),
+        ("2025-03-09", None, None),
+    ]
+    fixed = activity.dau_pct_by_label(
+        later, spec, labels, names, denominators={"iap": 4, "non_iap": 8}
+    ).collect()
+    assert [(r[1], r[2]) for r in fixed] == [(25.0, 12.5), (None, None)]
+
+
+EVENT_COLUMNS = [part.split()[0] for part in EVENT.split(", ")]
+
+
+def test_cumulative_distribution_and_bands(spark):
+    spread = spark.createDataFrame(
+        [(1.0, 30), (1.05, 20), (1.2, 25), (1.35, 15), (1.5, 10)],
+        "start_time double, num_user bigint",
+    )
+    result = cumulative_distribution(spread, "start_time", "num_user").withColumn(
+        "band", band(F.col("pct_accumulate"))
+    )
+    assert [tuple(r)[2:] for r in result.orderBy("start_time").collect()] == [
+        (30, 30.0, "low"),
+        (50, 50.0, "mid"),
+        (75, 75.0, "high"),
+        (90, 90.0, "high"),
+        (100, 100.0, "high"),
+    ]
+
+
+def test_centered_mean_needs_five_rows(spark):
+    values = [(1, 1.0), (2, 2.0), (3, 3.0), (5, 4.0), (6, 5.0), (7, 6.0)]
+    df = spark.createDataFrame(values, "level int, value double")
+    got = centered_mean(df, {"value": "smooth"}, "level").orderBy("level").collect()
+    assert [r.smooth for r in got] == [None, None, 3.0, 4.0, None, None]
+
+
+def test_centered_mean_is_empty_around_a_missing_value(spark):
+    values = [(level, None if level == 3 else 1.0) for level in range(1, 9)]
+    df = spark.createDataFrame(values, "level int, value double")
+    got = centered_mean(df, {"value": "smooth"}, "level").orderBy("level").collect()
+    assert [r.smooth for r in got] == [None, None, None, None, None, 1.0, None, None]
+
+
+@pytest.mark.parametrize(
+    ("start", "end", "elapsed", "calendar"),
+    [
+        ("2024-01-01 23:00:00", "2024-01-02 01:00:00", 0, 1),
+        ("2024-01-02 01:00:00", "2024-01-01 00:00:00", -1, -1),
+        ("2024-01-01 00:00:00", "2024-01-03 00:00:00", 2, 2),
+        ("2024-01-01 00:00:01", "2024-01-03 00:00:00", 1, 2),
+    ],
+)
+def test_elapsed_and_calendar_days(spark, start, end, elapsed, calendar):
+    df = spark.createDataFrame([(start, end)], "s string, e string").select(
+        F.col("s").cast("timestamp").alias("s"), F.col("e").cast("timestamp").alias("e")
+    )
+    row = df.select(
+        elapsed_days(F.unix_micros("s"), F.unix_micros("e")),
+        calendar_days(F.col("s").cast("date"), F.col("e").cast("date")),
+    ).first()
+    assert tuple(row) == (elapsed, calendar)
+
+
+def test_ratio_of_nothing_is_null(spark):
+    df = spark.createDataFrame([(1, 0), (1, 4), (0, 0)], "a bigint, b bigint")
+    got = [r[0] for r in df.select(ratio(F.col("a"), F.col("b"), 100)).collect()]
+    assert got == [None, 25.0, None]
+
+
+def test_sets_ignore_null_ids(spark):
+    users = spark.createDataFrame([("a",), ("b",), (None,)], "user_pseudo_id string")
+    some = spark.createDataFrame([("a",), (None,)], "user_pseudo_id string")
+    assert _rows(in_users(users, some)) == [("a",)]
+    assert _rows(not_in_users(users, some)) == [("b",)]
+
+
+def test_label_by_membership_takes_the_first_rule(spark):
+    members = spark.createDataFrame(
+        [("a", True, True), ("b", False, True), ("c", False, False)],
+        "user_pseudo_id string, x boolean, y boolean",
+    )
+    rules = {"first": "x", "second": "y"}
+    assert _rows(label_by_membership(members, rules)) == [
+        ("a", "first"), ("b", "second"), ("c", None),
+    ]
+    assert ("c", "rest") in _rows(label_by_membership(members, rules, otherwise="rest"))
+
+
+def test_merge_by_level_fills_both_sides(spark):
+    left = spark.createDataFrame([(1, 5), (2, 6)], "level bigint, x bigint")
+    right = spark.createDataFrame([(2, 7), (3, 8)], "level bigint, y bigint")
+    assert _rows(merge_by_level(left, right)) == [(1, 5, 0), (2, 6, 7), (3, 0, 8)]
+
+
+def test_pivot_share_and_baseline(spark):
+    long = spark.createDataFrame(
+        [(1, "a", 8), (1, "b", 4), (2, "a", 2), (3, None, 1)],
+        "level int, user_type string, n bigint",
+    )
+    wide = pivot_labels(long, "level", {"a": "a", "b": "b"}, value=F.col("n"), how=F.max)
+    assert _rows(wide) == [(1, 8, 4), (2, 2, None), (3, None, None)]
+    shares = share_of_total(wide, {"a": "a_pct"}).select("level", "a_pct")
+    assert _rows(shares) == [(1, 80.0), (2, 20.0), (3, None)]
+    base = with_baseline(wide, "level", 1, {"a": "a1"}).select("level", "a1")
+    assert _rows(base) == [(1, 8), (2, 8), (3, 8)]
+    missing = with_baseline(wide.filter("level > 1"), "level", 1, {"a": "a1"}).select("a1")
+    assert _rows(missing) == [(None,), (None,)]
+
+
+def _outcome_tables(spark):
+    starts = [("a", 1, 1), ("a", 2, 1), ("b", 1, 1), ("a", 3, 2), ("c", 4, None), (None, 5, 2)]
+    return EventTables.from_frames(
+        {
+            "start_level": _events(spark, starts, ", level bigint"),
+            "win_level": _events(
+                spark, [("a", 2, 1), ("b", 2, 1), ("c", 5, None), ("a", 6, 9)], ", level bigint"
+            ),
+            "lose_level": _events(spark, [("a", 1, 1), ("b", 3, 2)], ", level bigint"),
+            "booster_use": _events(
+                spark, [("a", 1, 1), ("a", 2, 1), ("b", 9, 2), ("c", 4, None)], ", level bigint"
+            ),
+            "af_rewarded": _events(spark, [("b", 1, 1), ("a", 1, 2)], ", level bigint"),
+        }
+    )
+
+
+def test_level_outcomes_keep_started_levels_only(spark):
+    # Level 9 was won but never started; wins without a level match no start.
+    assert _rows(levels.level_outcomes(_outcome_tables(spark))) == [
+        (1, 2, 3, 2, 1),
+        (2, 1, 2, 0, 1),
+        (None, 1, 1, 0, 0),
+    ]
+
+
+def _labels(spark, **labels):
+    return spark.createDataFrame(list(labels.items()), "user_pseudo_id string, user_type string")
+
+
+def test_win_rate_and_attempts_by_label(spark):
+    labels = _labels(spark, a="x", b="y", c=None)
+    got = levels.level_outcomes_by_label(_outcome_tables(spark), labels)
+    assert _rows(got) == [
+        ("x", 1, 1, 2, 1, 1, 0.5, 2.0),
+        ("x", 2, 1, 1, 0, 0, None, 1.0),
+        ("y", 1, 1, 1, 1, 0, 1.0, 1.0),
+    ]
+
+
+def test_usage_counts_only_started_levels(spark):
+    labels = _labels(spark, a="best", b="worst", c="bete")
+    tables = _outcome_tables(spark)
+    got = usage.usage_by_level(tables, labels, {"booster": "booster_use"})
+    assert got.columns == [
+        "level", "num_user_best_start", "num_start_best", "num_booster_best",
+        "num_user_worst_start", "num_start_worst", "num_booster_worst",
+    ]
+    # b used a booster on level 2 without starting it, c one without a level.
+    assert _rows(got) == [(1, 1, 2, 2, 1, 1, 0), (2, 1, 1, 0, 0, 0, 0), (None, 0, 0, 0, 0, 0, 0)]
+    overall = usage.overall_usage(
+        tables, labels, {"booster": "booster_use", "adrw": "af_rewarded"}
+    )
+    assert _rows(overall) == [("best", 1.0, 0.5), ("worst", 0.0, 1.0)]
+
+
+def test_funnel_leaves_out_levels_a_label_never_reached(spark):
+    labels = _labels(spark, a="x", b="y")
+    funnel = levels.funnel_by_label(
+        _outcome_tables(spark),
+        SPEC,
+        labels,
+        {"x": "user_x", "y": "user_y"},
+        {"x": "x_drop", "y": "y_drop"},
+    )
+    assert funnel.columns[-2:] == ["x_drop", "y_drop"]
+    assert _rows(funnel) == [(1, 1, 1, 1, 1, 1.0, 1.0)]
+
+
+def test_attempt_ratio_and_skill(spark):
+    def starts(user, n):
+        return [(user, i, 1 + i % 2) for i in range(n)]
+
+    tables = EventTables.from_frames(
+        {
+            "first_open": _events(spark, [(u, 1) for u in "abcd"]),
+            "win_level": _events(spark, [(u, 9, 2) for u in "abce"], ", level bigint"),
+            "start_level": _events(
+                spark,
+                starts("a", 2) + starts("b", 3) + starts("d", 2) + starts("e", 2) + [("a", 9, 3)],
+                ", level bigint",
+            ),
+        }
+    )
+    spec = CohortSpec(Scope(), SPEC.first_open, DAYS, DAYS, SkillRule(2, best=1.0, worst=1.5))
+    assert _rows(segments.attempt_ratio(tables, spec)) == [("a", 1.0), ("b", 1.5)]
+    assert _rows(segments.skill_segments(tables, spec)) == [("a", "best"), ("b", "worst")]
+
+
+def test_cut_points_of_skill_are_exact(spark):
+    starts = [("a", i, 1) for i in range(21)] + [("b", i, 1) for i in range(27)]
+    tables = EventTables.from_frames(
+        {
+            "first_open": _events(spark, [("a", 1), ("b", 1)]),
+            "win_level": _events(spark, [("a", 9, 20), ("b", 9, 20)], ", level bigint"),
+            "start_level": _events(spark, starts, ", level bigint"),
+        }
+    )
+    assert _rows(segments.attempt_ratio(tables, SPEC)) == [("a", 1.05), ("b", 1.35)]
+    assert _rows(segments.skill_segments(tables, SPEC)) == [("a", "best"), ("b", "worst")]
+
+
+def test_retention_counts_days_from_the_earliest_first_open(spark):
+    def on(user, day):
+        return _events(spark, [(user, 1)], day=f"2025-03-{day:02}")
+
+    tables = EventTables.from_frames(
+        {
+            "first_open": on("a", 2).union(on("a", 4)).union(on("b", 3)),
+            "user_engagement": on("a", 1).union(on("a", 2)).union(on("a", 2)).union(on("a", 9))
+            .union(on("a", 10)).union(on("b", 3)).union(on("b", 4)),
+        }
+    )
+    labels = _labels(spark, a="x", b="x")
+    assert _rows(activity.retention_rate(tables, labels)) == [
+        ("x", 0, 2, 1.0),
+        ("x", 1, 1, 0.5),
+        ("x", 7, 1, 0.5),
+    ]
+
+
+def test_declared_rules(spark):
+    day = 86_400_000_000
+    tables = EventTables.from_frames(
+        {
+            "first_open": _events(spark, [(u, 10) for u in "abcd"]),
+            "booster_use": _events(spark, [("a", 1, 1), ("a", 2, 1), ("b", 3, 1)], ", level bigint"),
+            "ads_reward_complete": _events(spark, [("a", 50), ("b", 150), ("c", 999)]),
+            "in_app_purchase": _events(
+                spark, [("a", 10 + 7 * day), ("b", 9 + 8 * day), ("c", 10 + 8 * day)]
+            ),
+            "start_level": _events(
+                spark, [("a", 100, 20), ("b", 100, 21), ("c", 100, 19)], ", level bigint"
+            ),
+        }
+    )
+    assert _rows(segments.booster_segments(tables, SPEC, min_uses=2)) == [
+        ("a", "booster"), ("b", "non_booster"), ("c", "non_booster"), ("d", "non_booster"),
+    ]
+    assert _rows(segments.early_ad_segments(tables, SPEC)) == [
+        ("a", "adrw"), ("b", "non_adrw"), ("c", "adrw"), ("d", "non_adrw"),
+    ]
+    assert _rows(segments.early_payer_segments(tables, SPEC)) == [
+        ("a", "iap"), ("b", "iap"), ("c", "non_iap"), ("d", "non_iap"),
+    ]
+    assert _rows(segments.early_payer_level_segments(tables, SPEC, level=20)) == [
+        ("a", "non_iap"), ("b", "non_iap"), ("c", "iap"), ("d", "non_iap"),
+    ]
+
+
+def test_one_users_highest_level(attempts):
+    assert _rows(levels.user_max_level(attempts, "a")) == [("a", 2)]
+
+
+def test_quotes_in_scope_values(spark):
+    events = _events(spark, [("a", 1)]).withColumn("country", F.lit("Cote d'Ivoire \\ x"))
+    tables = EventTables.from_frames({"user_engagement": events})
+    scope = Scope(countries=("Cote d'Ivoire \\ x",))
+    assert tables.get("user_engagement", "country", scope=scope).count() == 1
