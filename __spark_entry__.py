@@ -22,7 +22,6 @@ from playlens import CohortSpec, EventTables
 from playlens.model import DAY, LABEL, TIME, USER
 from playlens.operators import (
     attribute_to_level,
-    count_users,
     first_per_user,
     in_users,
     level_intervals,
@@ -60,13 +59,16 @@ def _set_queries() -> dict[str, Query]:
     """The building blocks by themselves."""
 
     def in_users_(t, s):
-        starts = t.get("start_level", USER, "level")
-        return in_users(starts, segments.payer_users(t, s)).groupBy("level").count()
+        starts = t.get("start_level", USER, "level").groupBy(USER, "level").count()
+        payers = segments.payer_users(t, s)
+        return in_users(starts, payers).groupBy("level").agg(F.sum("count").alias("count"))
 
     def not_in_users_(t, s):
-        engaged = t.get("user_engagement", USER, "platform")
+        engaged = t.get("user_engagement", USER, "platform").distinct()
         payers = t.get("in_app_purchase", USER).distinct()
-        return count_users(not_in_users(engaged, payers), "platform")
+        return not_in_users(engaged, payers).groupBy("platform").agg(
+            F.count(USER).alias("num_user")
+        )
 
     def memberships_(t, s):
         events = {"won": "win_level", "paid": "in_app_purchase", "watched": "ads_reward_complete"}

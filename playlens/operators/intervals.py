@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from playlens.functions import time_bucket
 from playlens.model import TIME, USER
+from playlens.operators.sets import union
 
 _SLICE = "slice"
 
@@ -40,26 +41,25 @@ def level_intervals(starts: DataFrame) -> DataFrame:
 
     Starts at the same instant follow each other by level.
     """
-    rows = starts.filter(f"{USER} is not null").select(
-        USER, "level", F.col(TIME).alias("level_start"), time_bucket(F.col(TIME)).alias(_SLICE)
-    )
     in_slice = Window.partitionBy(USER, _SLICE).orderBy("level_start", "level")
     across = Window.partitionBy(USER).orderBy(_SLICE)
-    next_slice = (
-        rows.groupBy(USER, _SLICE)
-        .agg(F.min("level_start").alias("first_start"))
-        .select(USER, _SLICE, F.lead("first_start").over(across).alias("next_slice_start"))
-    )
-    return (
-        rows.withColumn("next_start", F.lead("level_start").over(in_slice))
-        .join(next_slice, [USER, _SLICE])
+    rows = (
+        starts.filter(f"{USER} is not null")
         .select(
-            USER,
-            "level",
-            "level_start",
-            F.coalesce("next_start", "next_slice_start").alias("next_start"),
+            USER, "level", F.col(TIME).alias("level_start"), time_bucket(F.col(TIME)).alias(_SLICE)
         )
+        .withColumns(
+            {
+                "next_start": F.lead("level_start").over(in_slice),
+                "first_start": F.first("level_start").over(in_slice),
+            }
+        )
+    )
+    inner = rows.filter("next_start is not null")
+    last = rows.filter("next_start is null").withColumn(
+        "next_start", F.lead("first_start").over(across)
     )
+    return inner.unionByName(last).select(USER, "level", "level_start", "next_start")
 
 
 def attribute_to_level(
@@ -70,13 +70,18 @@ def attribute_to_level(
     A point belongs to the last start at or before it; points before the first
     start belong nowhere and are left out.  Of starts at the same instant the
     highest level counts.
+
+    Rows are spread by user and slice even if they come in already placed by
+    user, say from a join.
     """
-    opened = F.struct(TIME, "level")
     rows = (
-        starts.select(USER, TIME, opened.alias("start"))
-        .unionByName(points.select(USER, TIME, *measures), allowMissingColumns=True)
+        union(
+            starts.select(USER, TIME, F.struct(TIME, "level").alias("start")),
+            points.select(USER, TIME, *measures),
+        )
         .filter(f"{USER} is not null")
         .withColumn(_SLICE, time_bucket(F.col(TIME)))
+        .repartition(USER, _SLICE)
     )
     so_far = (
         Window.partitionBy(USER, _SLICE)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playlens.functions import elapsed_days, ratio
+from playlens.functions import elapsed_days, ratio, time_bucket
+from playlens.functions.columns import MICROS_PER_DAY
 from playlens.model import LABEL, TIME, USER, CohortSpec, DateRange, EventTables, Scope
 from playlens.operators import (
     attribute_to_level,
@@ -51,7 +52,13 @@ def _purchases(tables: EventTables, scope: Scope) -> DataFrame:
 
 
 def _starts(tables: EventTables, scope: Scope) -> DataFrame:
-    return tables.get("start_level", USER, TIME, "level", scope=scope)
+    """Level starts of users who bought something, before anything is sorted.
+
+    Both sides of the join are plain scans, so that Spark can send the buyers
+    around if they are few, and else split the starts of a very busy buyer.
+    """
+    starts = tables.get("start_level", USER, TIME, "level", scope=scope)
+    return in_users(starts, _purchases(tables, scope))
 
 
 def first_purchase_by_level(tables: EventTables, scope: Scope) -> DataFrame:
@@ -106,15 +113,21 @@ def payer_count(tables: EventTables) -> DataFrame:
 def days_to_first_purchase(tables: EventTables, scope: Scope) -> DataFrame:
     """Users by whole days between first open and first purchase.
 
-    A user with several first opens counts once for each distinct distance.
+    A user with several first opens counts once for each distinct distance.  Only
+    the earliest and the latest of a day go on to the join: opens between them
+    are as many whole days away as one of the two.
     """
     first = first_per_user(_purchases(tables, scope)).withColumnRenamed(TIME, "paid_at")
-    opened = tables.get("first_open", USER, TIME, scope=scope).distinct()
-    days = elapsed_days(F.col(TIME), F.col("paid_at")).alias("days")
-    return (
-        count_users(opened.join(first, USER).select(USER, days), "days", name="num_users")
-        .orderBy("days")
+    day = time_bucket(F.col(TIME), MICROS_PER_DAY)
+    opened = (
+        tables.get("first_open", USER, TIME, scope=scope)
+        .groupBy(USER, day)
+        .agg(F.array(F.min(TIME), F.max(TIME)).alias("opens"))
+        .select(USER, F.explode("opens").alias(TIME))
     )
+    days = elapsed_days(F.col(TIME), F.col("paid_at")).alias("days")
+    waited = opened.join(first, USER).select(USER, days)
+    return count_users(waited, "days", name="num_users").orderBy("days")
 
 
 def _payers_by_segment(
@@ -152,5 +165,5 @@ def pay_rate_by_segment(tables: EventTables, spec: CohortSpec, labels: DataFrame
 
 def paying_members(tables: EventTables, spec: CohortSpec, users: DataFrame) -> DataFrame:
     """Distinct payers in the whole window among a set of users."""
-    paid = tables.get("in_app_purchase", USER, scope=spec.scope, dates=spec.whole)
-    return count_users(in_users(paid, users))
+    paid = tables.get("in_app_purchase", USER, scope=spec.scope, dates=spec.whole).distinct()
+    return in_users(paid, users).agg(F.count(USER).alias("num_user"))

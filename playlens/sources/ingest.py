@@ -103,22 +103,22 @@ def flatten_event(
     )
 
 
-def _clustered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows in key order over all tasks.
+def _clustered(df: DataFrame, partitions: Sequence[str], cluster_by: Iterable[str]) -> DataFrame:
+    """Rows of a partition together and in cluster order, in files of even size.
 
-    User and time come last in the order, so that however many rows share a day
-    or a level, they can be cut anywhere; a file then covers a narrow key range.
+    The rebalance shuffles once and splits a partition that is too large for one
+    task; the order within files lets a reader skip pages by the cluster keys.
     """
-    order = [*keys, *(c for c in (USER, TIME) if c in df.columns and c not in keys)]
-    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+    keys = [*partitions, *(c for c in cluster_by if c in df.columns)]
+    return df.hint("rebalance", *partitions).sortWithinPartitions(*keys)
 
 
 def write_event_table(
     df: DataFrame, root: str, name: str, cluster_by: Iterable[str] = CLUSTER_BY
 ) -> None:
     """Creates or replaces one event table, partitioned by day and clustered."""
-    keys = [DAY, *(c for c in cluster_by if c in df.columns)]
-    _clustered(df, keys).write.mode("overwrite").partitionBy(DAY).parquet(f"{root}/table={name}")
+    rows = _clustered(df, [DAY], cluster_by)
+    rows.write.mode("overwrite").partitionBy(DAY).parquet(f"{root}/table={name}")
 
 
 def write_event_tables(
@@ -142,5 +142,5 @@ def write_event_tables(
     flat = events.filter(F.col("event_name").isin(*names) & F.col(USER).isNotNull()).select(
         F.col("event_name").alias("table"), *_flat_columns(params, fields, strict)
     )
-    keys = ["table", DAY, *(c for c in cluster_by if c in flat.columns)]
-    _clustered(flat, keys).write.mode("overwrite").partitionBy("table", DAY).parquet(root)
+    rows = _clustered(flat, ["table", DAY], cluster_by)
+    rows.write.mode("overwrite").partitionBy("table", DAY).parquet(root)

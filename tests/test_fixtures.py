@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,6 +327,20 @@ def test_cut_points_of_skill_are_exact(spark):
     assert _rows(segments.skill_segments(tables, SPEC)) == [("a", "best"), ("b", "worst")]
 
 
+def test_days_to_first_purchase_keep_every_distance(spark):
+    hour = 3_600_000_000
+    rng = random.Random(3)
+    opened = [(f"u{n % 7}", rng.randrange(0, 200 * hour)) for n in range(400)]
+    bought = [(f"u{n}", rng.randrange(0, 200 * hour)) for n in range(1, 9)] + [("u1", 999 * hour)]
+    first = dict(sorted(bought, key=lambda row: -row[1]))
+    away = {(u, int((first[u] - t) / (24 * hour))) for u, t in opened if u in first}
+    tables = EventTables.from_frames(
+        {"first_open": _events(spark, opened), "in_app_purchase": _events(spark, bought)}
+    )
+    got = payments.days_to_first_purchase(tables, Scope())
+    assert _rows(got) == sorted(Counter(days for _, days in away).items(), key=repr)
+
+
 def test_retention_counts_days_from_the_earliest_first_open(spark):
     def on(user, day):
         return _events(spark, [(user, 1)], day=f"2025-03-{day:02}")

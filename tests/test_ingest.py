@@ -148,27 +148,29 @@ def test_all_tables_in_one_pass(spark, sf_dir, tmp_path):
         assert together.filter("user_pseudo_id is null").isEmpty()
 
 
-def test_a_day_is_spread_over_several_sorted_files(spark, tmp_path):
+def test_a_large_day_is_split_over_sorted_files(spark, tmp_path):
     root = str(tmp_path / "flat")
-    rows = spark.range(20000).selectExpr(
-        "id as event_timestamp",
+    rows = spark.range(0, 200000, 1, 8).selectExpr(
+        "xxhash64(id) as event_timestamp",
         "cast(id % 3 as string) as user_pseudo_id",
         "date'2025-03-01' as event_date",
         "'1' as version",
         "'US' as country",
         "'IOS' as platform",
         "'phone' as mobile_name",
-        "1L as level",
+        "id % 50 as level",
     )
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256KB")
     try:
         write_event_table(rows, root, "start_level")
     finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    # One day, level, version and country: still not one task's work.
-    files = list((tmp_path / "flat/table=start_level/event_date=2025-03-01").glob("*.parquet"))
-    assert len(files) > 4
-    assert EventTables.from_parquet(spark, root).get("start_level", "level").count() == 20000
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = sorted((tmp_path / "flat/table=start_level/event_date=2025-03-01").glob("*.parquet"))
+    assert len(files) > 2
+    for file in files:
+        levels = [r[0] for r in spark.read.parquet(str(file)).select("level").collect()]
+        assert levels == sorted(levels)
+    assert EventTables.from_parquet(spark, root).get("start_level", "level").count() == 200000
 
 
 def test_schemas_name_every_table():

@@ -48,11 +48,11 @@ def test_labels_take_one_shuffle_per_user_and_no_join(tables):
     assert plan.count("Exchange hashpartitioning") == 2
 
 
-def test_attribution_sorts_level_starts_once_per_slice(tables):
+def test_attribution_is_spread_by_user_and_slice(tables):
     plan = _plan(payments.purchases_vs_first(tables, SPEC.scope))
-    assert "Join" not in plan
-    assert plan.count("hashpartitioning(user_pseudo_id") >= 2
-    assert ", slice#" in plan[plan.index("hashpartitioning(user_pseudo_id") :]
+    spread = [line for line in plan.splitlines() if "REPARTITION_BY_COL" in line]
+    assert len(spread) == 1 and "slice" in spread[0]
+    assert "LeftSemi" in plan and "FullOuter" not in plan
 
 
 def test_segments_cover_the_cohort(tables):
