@@ -262,6 +262,9 @@ def _level_queries() -> dict[str, Query]:
         found[f"apu_by_{name}"] = _on_tables(
             lambda t, s, labels=labels: levels.apu_by_label(t, labels(t, s))
         )
+        found[f"level_curves_by_{name}"] = _on_tables(
+            lambda t, s, labels=labels: levels.level_curves_by_label(t, labels(t, s))
+        )
     found |= {
         "funnel_by_payer": _on_tables(
             lambda t, s: levels.funnel_by_label(

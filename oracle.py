@@ -250,6 +250,15 @@ def _apu(labels: str) -> str:
     )
 
 
+def _curves(labels: str) -> str:
+    return _sql(
+        f"""
+SELECT *, {_rolling("winrate")} AS rolling_winrate, {_rolling("apu")} AS rolling_apu
+FROM rates WHERE level <= 50""",
+        _outcomes(labels),
+    )
+
+
 def _reached(labels: str, yes: str, no: str, yes_name: str, no_name: str) -> str:
     def one(label: str, name: str) -> str:
         return f"""
@@ -646,4 +655,5 @@ GROUP BY ALL""",
         found[f"winrate_by_{name}"] = _winrate(labels)
         found[f"winrate_rolling_by_{name}"] = _winrate_rolling(labels)
         found[f"apu_by_{name}"] = _apu(labels)
+        found[f"level_curves_by_{name}"] = _curves(labels)
     return found

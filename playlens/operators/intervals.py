@@ -25,15 +25,14 @@ _SLICE = "slice"
 def first_per_user(events: DataFrame, *carry: str) -> DataFrame:
     """Each user's earliest event: its time and the ``carry`` columns of that row.
 
-    An aggregation, so that repeats collapse before the shuffle.
+    An aggregation, so that repeats collapse before the shuffle.  Of events at
+    the same time the one with the smallest ``carry`` values counts.
     """
-    first = F.min(F.struct(TIME, *carry)).alias("first")
-    return (
-        events.filter(f"{USER} is not null")
-        .groupBy(USER)
-        .agg(first)
-        .select(USER, *(F.col("first")[name].alias(name) for name in (TIME, *carry)))
-    )
+    known = events.filter(f"{USER} is not null").groupBy(USER)
+    if not carry:
+        return known.agg(F.min(TIME).alias(TIME))
+    first = known.agg(F.min(F.struct(TIME, *carry)).alias("first"))
+    return first.select(USER, *(F.col("first")[name].alias(name) for name in (TIME, *carry)))
 
 
 def level_intervals(starts: DataFrame) -> DataFrame:
@@ -76,7 +75,7 @@ def attribute_to_level(
     """
     rows = (
         union(
-            starts.select(USER, TIME, F.struct(TIME, "level").alias("start")),
+            starts.select(USER, TIME, F.struct("level").alias("start")),
             points.select(USER, TIME, *measures),
         )
         .filter(f"{USER} is not null")
@@ -88,6 +87,8 @@ def attribute_to_level(
         .orderBy(TIME, F.col("start").isNull(), "start")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    start_time = F.when(F.col("start").isNotNull(), F.col(TIME))
+    # Within a group all starts have the group's level, so their last time is enough.
     per_slice = (
         rows.withColumn("here", F.last("start", ignorenulls=True).over(so_far))
         .groupBy(
@@ -96,19 +97,18 @@ def attribute_to_level(
             F.col("here").isNotNull().alias("known"),
             F.col("here.level").alias("level_here"),
         )
-        .agg(F.max("start").alias("last_start"), *(F.sum(m).alias(m) for m in measures))
+        .agg(F.max(start_time).alias("last_time"), *(F.sum(m).alias(m) for m in measures))
     )
     earlier = (
         Window.partitionBy(USER).orderBy(_SLICE).rangeBetween(Window.unboundedPreceding, -1)
     )
-    carried = F.max("last_start").over(earlier)
+    last_start = F.when(F.col("last_time").isNotNull(), F.struct("last_time", "level_here"))
+    carried = F.max(last_start).over(earlier)
     has_points = F.coalesce(*measures).isNotNull()
     return (
         per_slice.withColumn("carried", carried)
         .filter(has_points & (F.col("known") | F.col("carried").isNotNull()))
-        .withColumn(
-            "level", F.when(F.col("known"), F.col("level_here")).otherwise(F.col("carried.level"))
-        )
+        .withColumn("level", F.expr("if(known, level_here, carried.level_here)"))
         .groupBy(USER, "level")
         .agg(*(F.sum(m).alias(m) for m in measures))
     )

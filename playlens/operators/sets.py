@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 from playlens.model import LABEL, USER
 
 
-def count_users(df: DataFrame, *keys: str, name: str = "num_user") -> DataFrame:
+def count_users(
+    df: DataFrame, *keys: str, name: str = "num_user", error: float | None = None
+) -> DataFrame:
     """Distinct users per key, or over everything when no key is given.
 
     Spark drops repeats of (key, user) before the shuffle and spreads a key's
     users over all tasks, so neither a busy user nor a large key is a hot spot.
+    The count is exact; a relative ``error`` asks for an estimate instead, which
+    shuffles a sketch per key rather than its users.
     """
-    return df.groupBy(*keys).agg(F.countDistinct(USER).alias(name))
+    users = F.countDistinct(USER) if error is None else F.approx_count_distinct(USER, error)
+    return df.groupBy(*keys).agg(users.alias(name))
 
 
 def in_users(df: DataFrame, users: DataFrame) -> DataFrame:

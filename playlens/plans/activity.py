@@ -112,13 +112,18 @@ def dau_pct_by_label(
     return pivot_labels(daily, DAY, columns, value=percent, how=F.max).orderBy(DAY)
 
 
-def retention(tables: EventTables, labels: DataFrame, days: int = 7) -> DataFrame:
-    """Users of each segment who were active ``day_number`` days after first open."""
+def retention(
+    tables: EventTables, labels: DataFrame, days: int = 7, dates: DateRange | None = None
+) -> DataFrame:
+    """Users of each segment who were active ``day_number`` days after first open.
+
+    ``dates`` only limits which days of activity are read.
+    """
     labelled = labels.filter(f"{LABEL} is not null")
     opened = tables.get("first_open", USER, DAY).groupBy(USER).agg(
         F.min(DAY).alias("first_open_date")
     )
-    active = tables.get("user_engagement", USER, DAY).distinct()
+    active = tables.get("user_engagement", USER, DAY, dates=dates).distinct()
     day_number = calendar_days(F.col("first_open_date"), F.col(DAY))
     return (
         labelled.join(opened, USER)
@@ -131,10 +136,12 @@ def retention(tables: EventTables, labels: DataFrame, days: int = 7) -> DataFram
     )
 
 
-def retention_rate(tables: EventTables, labels: DataFrame, days: int = 7) -> DataFrame:
+def retention_rate(
+    tables: EventTables, labels: DataFrame, days: int = 7, dates: DateRange | None = None
+) -> DataFrame:
     """Adds retained users as a fraction of the segment's day-0 users."""
     retained = with_baseline(
-        retention(tables, labels, days),
+        retention(tables, labels, days, dates),
         "day_number",
         0,
         {"retained_users": "day0_users"},

@@ -113,6 +113,15 @@ def apu_by_label(tables: EventTables, labels: DataFrame, max_level: int = 50) ->
     return smooth.select("segment", "level", "apu", "rolling_apu").orderBy("segment", "level")
 
 
+def level_curves_by_label(
+    tables: EventTables, labels: DataFrame, max_level: int = 50
+) -> DataFrame:
+    """Win rate and attempts per user, both also smoothed, from one pass."""
+    outcomes = level_outcomes_by_label(tables, labels, max_level)
+    smooth = {"winrate": "rolling_winrate", "apu": "rolling_apu"}
+    return centered_mean(outcomes, smooth, "level", by=["segment"]).orderBy("segment", "level")
+
+
 def level_users_by_label(
     tables: EventTables, spec: CohortSpec, labels: DataFrame, columns: Mapping[str, str]
 ) -> DataFrame:

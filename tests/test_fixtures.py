@@ -12,6 +12,7 @@ from playlens import CohortSpec, DateRange, EventTables, Scope, SkillRule
 from playlens.functions import band, calendar_days, elapsed_days, ratio
 from playlens.operators import (
     centered_mean,
+    count_users,
     cumulative_distribution,
     in_users,
     label_by_membership,
@@ -389,6 +390,12 @@ def test_declared_rules(spark):
     ]
 
 
+def test_estimated_distinct_users(spark):
+    users = spark.range(10000).selectExpr("cast(id % 2000 as string) as user_pseudo_id", "1 as k")
+    assert count_users(users, "k").first().num_user == 2000
+    assert abs(count_users(users, "k", error=0.02).first().num_user - 2000) < 200
+
+
 def test_one_users_highest_level(attempts):
     assert _rows(levels.user_max_level(attempts, "a")) == [("a", 2)]
 

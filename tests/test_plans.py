@@ -29,6 +29,11 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"first_per_user"}))
+def test_plan_aggregates_by_hash(name, spark, sf_dir):
+    assert "SortAggregate" not in _plan(QUERIES[name](spark, sf_dir))
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan_has_no_cross_join_and_no_python(name, spark, sf_dir):
     plan = _plan(QUERIES[name](spark, sf_dir))
