@@ -51,7 +51,9 @@ def _names(pattern: str, *labels: str) -> dict[str, str]:
     return {label: pattern.format(label) for label in labels}
 
 
-def _on_tables(plan: Callable[[EventTables, CohortSpec], DataFrame], spec: CohortSpec = SPEC) -> Query:
+def _on_tables(
+    plan: Callable[[EventTables, CohortSpec], DataFrame], spec: CohortSpec = SPEC
+) -> Query:
     return lambda spark, sf_dir: plan(bind(spark, sf_dir), spec)
 
 
@@ -89,7 +91,7 @@ def _set_queries() -> dict[str, Query]:
 
     def attribute_to_level_(t, s):
         bought = t.get("in_app_purchase", USER, TIME).withColumn("purchases", F.lit(1))
-        starts = t.get("start_level", USER, TIME, "level")
+        starts = in_users(t.get("start_level", USER, TIME, "level"), bought)
         return attribute_to_level(bought, starts, ["purchases"])
 
     return {
@@ -99,7 +101,9 @@ def _set_queries() -> dict[str, Query]:
         "merge_by_level": _on_tables(merge_by_level_),
         "pivot_labels": _on_tables(pivot_labels_),
         "first_per_user": _on_tables(
-            lambda t, s: first_per_user(t.get("in_app_purchase", USER, TIME, "event_value_in_usd"), "event_value_in_usd")
+            lambda t, s: first_per_user(
+                t.get("in_app_purchase", USER, TIME, "event_value_in_usd"), "event_value_in_usd"
+            )
         ),
         "level_intervals": _on_tables(
             lambda t, s: level_intervals(t.get("start_level", USER, TIME, "level"))
@@ -257,7 +261,7 @@ def _level_queries() -> dict[str, Query]:
             lambda t, s, labels=labels: levels.winrate_by_label(t, labels(t, s))
         )
         found[f"winrate_rolling_by_{name}"] = _on_tables(
-            lambda t, s, labels=labels: levels.winrate_rolling_by_label(t, labels(t, s), max_level=8)
+            lambda t, s, labels=labels: levels.winrate_rolling_by_label(t, labels(t, s), 8)
         )
         found[f"apu_by_{name}"] = _on_tables(
             lambda t, s, labels=labels: levels.apu_by_label(t, labels(t, s))

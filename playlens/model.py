@@ -14,7 +14,10 @@ TIME = "event_timestamp"
 DAY = "event_date"
 LABEL = "user_type"
 
-_COMMON = f"{TIME} bigint, {USER} string, {DAY} date, version string, country string, platform string"
+_COMMON = (
+    f"{TIME} bigint, {USER} string, {DAY} date, "
+    "version string, country string, platform string"
+)
 
 # The flattened tables: the common columns plus what each event carries.
 TABLE_SCHEMAS: dict[str, str] = {
@@ -34,7 +37,8 @@ TABLE_SCHEMAS: dict[str, str] = {
 }
 
 
-def _quoted(text: str) -> str:
+def quoted(text: str) -> str:
+    """A string literal for SQL text."""
     escaped = text.replace("\\", "\\\\").replace("'", "\\'")
     return f"'{escaped}'"
 
@@ -63,11 +67,11 @@ class Scope:
         """What each column must satisfy, as SQL text."""
         found = {}
         if self.platform is not None:
-            found["platform"] = f"platform = {_quoted(self.platform)}"
+            found["platform"] = f"platform = {quoted(self.platform)}"
         if self.version is not None:
-            found["version"] = f"version = {_quoted(self.version)}"
+            found["version"] = f"version = {quoted(self.version)}"
         if self.countries:
-            found["country"] = f"country in ({', '.join(map(_quoted, self.countries))})"
+            found["country"] = f"country in ({', '.join(map(quoted, self.countries))})"
         return found
 
     def worldwide(self) -> Scope:

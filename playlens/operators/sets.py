@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playlens.model import LABEL, USER
+from playlens.model import LABEL, USER, quoted
 
 
 def count_users(
@@ -69,11 +69,11 @@ def label_by_membership(
     members: DataFrame, rules: Mapping[str, str], otherwise: str | None = None
 ) -> DataFrame:
     """``(user, label)`` from the first rule that holds; NULL when none does."""
-    cases = " ".join(f"when {condition} then '{label}'" for label, condition in rules.items())
-    default = "" if otherwise is None else f"else '{otherwise}'"
+    cases = " ".join(f"when {condition} then {quoted(label)}" for label, condition in rules.items())
+    default = "" if otherwise is None else f"else {quoted(otherwise)}"
     return members.selectExpr(USER, f"case {cases} {default} end as {LABEL}")
 
 
 def segment_users(labels: DataFrame, label: str) -> DataFrame:
     """The users who carry one label."""
-    return labels.filter(f"{LABEL} = '{label}'").select(USER)
+    return labels.filter(f"{LABEL} = {quoted(label)}").select(USER)

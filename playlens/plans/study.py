@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from playlens.model import CohortSpec, EventTables
+from playlens.model import LABEL, CohortSpec, EventTables, quoted
 from playlens.plans import activity, levels, payments, segments, usage
 
 
@@ -24,7 +24,7 @@ def compare_segments(
 ) -> dict[str, DataFrame]:
     """The comparisons of two segments by name, all on the same kept labels."""
     kept = keep(labels)
-    pair = kept.filter(f"user_type in ('{one}', '{other}')")
+    pair = kept.filter(f"{LABEL} in ({quoted(one)}, {quoted(other)})")
 
     def names(pattern: str) -> dict[str, str]:
         return {label: pattern.format(label) for label in (one, other)}

@@ -128,9 +128,11 @@ def write_event_tables(
     strict: bool = True,
     cluster_by: Iterable[str] = CLUSTER_BY,
 ) -> None:
-    """Creates or replaces many event tables in one pass over the raw log.
+    """Writes many event tables in one pass over the raw log.
 
-    All tables share the columns any of them needs; an event leaves the others
+    Days that come in are replaced; other days, and tables not named, stay as
+    they are, so that a log can be flattened a range of shards at a time.  All
+    tables share the columns any of them needs; an event leaves the others
     NULL, and parquet stores such a column as almost nothing.
     """
     names = list(names)
@@ -143,4 +145,9 @@ def write_event_tables(
         F.col("event_name").alias("table"), *_flat_columns(params, fields, strict)
     )
     rows = _clustered(flat, ["table", DAY], cluster_by)
-    rows.write.mode("overwrite").partitionBy("table", DAY).parquet(root)
+    (
+        rows.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("table", DAY)
+        .parquet(root)
+    )

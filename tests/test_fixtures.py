@@ -366,7 +366,7 @@ def test_declared_rules(spark):
     tables = EventTables.from_frames(
         {
             "first_open": _events(spark, [(u, 10) for u in "abcd"]),
-            "booster_use": _events(spark, [("a", 1, 1), ("a", 2, 1), ("b", 3, 1)], ", level bigint"),
+            "booster_use": _events(spark, [("a", 1), ("a", 2), ("b", 3)]),
             "ads_reward_complete": _events(spark, [("a", 50), ("b", 150), ("c", 999)]),
             "in_app_purchase": _events(
                 spark, [("a", 10 + 7 * day), ("b", 9 + 8 * day), ("c", 10 + 8 * day)]

@@ -148,6 +148,30 @@ def test_all_tables_in_one_pass(spark, sf_dir, tmp_path):
         assert together.filter("user_pseudo_id is null").isEmpty()
 
 
+def test_only_days_that_come_in_are_replaced(spark, raw, tmp_path):
+    root = str(tmp_path / "flat")
+    write_event_tables(raw, ["start_level", "win_level", "in_app_purchase"], root)
+    again = _raw(
+        spark,
+        [
+            ("20250301", 9, "start_level", "z", {"level": "1"}),
+            ("20250301", 9, "win_level", "z", {"level": "1"}),
+        ],
+    )
+    write_event_tables(again, ["start_level"], root)
+    tables = EventTables.from_parquet(spark, root)
+
+    def users(name):
+        rows = tables.get(name, "user_pseudo_id", "event_date").collect()
+        return sorted((r[0], r[1].isoformat()) for r in rows)
+
+    assert ("z", "2025-03-01") in users("start_level")
+    assert ("a", "2025-03-01") not in users("start_level")
+    assert ("b", "2025-04-15") in users("start_level")
+    assert users("win_level") == [("a", "2025-04-02")]
+    assert users("in_app_purchase") == [("a", "2025-04-10")]
+
+
 def test_a_large_day_is_split_over_sorted_files(spark, tmp_path):
     root = str(tmp_path / "flat")
     rows = spark.range(0, 200000, 1, 8).selectExpr(

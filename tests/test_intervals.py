@@ -32,7 +32,8 @@ def log():
             if (t, level) not in used:
                 used.add((t, level))
                 starts.append((user, t, level))
-        points += [(user, t) for t in _times(rng, rng.randrange(0, 15)) + [t + 1 for t, _ in used][:3]]
+        times = _times(rng, rng.randrange(0, 15)) + [t + 1 for t, _ in used][:3]
+        points += [(user, t) for t in times]
     starts.append((None, 1, 1))
     points.append((None, 5))
     return starts, points
