@@ -42,6 +42,9 @@ MORE_THAN_USERS = 3
 MORE_THAN_ADS = 1
 MARKETS = oracle.MARKETS
 
+# Segment sizes that a study may put in by hand.
+TYPED_IN_SIZES = {"iap": 15, "non_iap": 2091}
+
 MARKET_SPEC = replace(SPEC, scope=replace(SPEC.scope, countries=MARKETS))
 
 USES = {"booster": "booster_use", "adrw": "af_rewarded"}
@@ -155,7 +158,7 @@ def _activity_queries() -> dict[str, Query]:
                 s,
                 segments.payer_segments(t, s),
                 _names("percent_dau_{}", "iap", "non_iap"),
-                denominators={"iap": 15, "non_iap": 2091},
+                denominators=TYPED_IN_SIZES,
             )
         ),
         "dau_pct_by_ad": _on_tables(

@@ -43,6 +43,6 @@ def band(percent: Column, low: float = 35, high: float = 75) -> Column:
     )
 
 
-def time_bucket(micros: Column, width: int = MICROS_PER_HOUR) -> Column:
+def time_bucket(micros: Column, width: int) -> Column:
     """Number of the time slice an epoch-microsecond value falls in."""
     return F.call_function("div", micros, F.lit(width))

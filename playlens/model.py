@@ -80,7 +80,10 @@ class Scope:
 
 @dataclass(frozen=True)
 class SkillRule:
-    """Skill is read from starts per level over levels 1 to ``level``."""
+    """Skill is read from starts per level over levels 1 to ``level``.
+
+    The defaults are fixed values, as the segments to be matched are cut.
+    """
 
     level: int = 20
     best: float = 1.05

@@ -5,7 +5,8 @@ end by a window over a whole user would put all rows of one user into one task.
 Here every user is cut into time slices first: the heavy window runs per (user,
 slice), and only one small row per slice and level travels on to the window
 that looks across a user's slices.  How long that one gets is set by the time
-span of the log, not by how many events a user has.
+span of the log, not by how many events a user has.  Slices are hours unless a
+log is so dense that a user's hour is too much for one task.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from playlens.functions import time_bucket
+from playlens.functions.columns import MICROS_PER_HOUR
 from playlens.model import TIME, USER
 from playlens.operators.sets import union
 
@@ -35,18 +37,17 @@ def first_per_user(events: DataFrame, *carry: str) -> DataFrame:
     return first.select(USER, *(F.col("first")[name].alias(name) for name in (TIME, *carry)))
 
 
-def level_intervals(starts: DataFrame) -> DataFrame:
+def level_intervals(starts: DataFrame, slice_micros: int = MICROS_PER_HOUR) -> DataFrame:
     """``(user, level, level_start, next_start)`` for every start; the last one is open.
 
     Starts at the same instant follow each other by level.
     """
+    number = time_bucket(F.col(TIME), slice_micros)
     in_slice = Window.partitionBy(USER, _SLICE).orderBy("level_start", "level")
     across = Window.partitionBy(USER).orderBy(_SLICE)
     rows = (
         starts.filter(f"{USER} is not null")
-        .select(
-            USER, "level", F.col(TIME).alias("level_start"), time_bucket(F.col(TIME)).alias(_SLICE)
-        )
+        .select(USER, "level", F.col(TIME).alias("level_start"), number.alias(_SLICE))
         .withColumns(
             {
                 "next_start": F.lead("level_start").over(in_slice),
@@ -62,7 +63,10 @@ def level_intervals(starts: DataFrame) -> DataFrame:
 
 
 def attribute_to_level(
-    points: DataFrame, starts: DataFrame, measures: Sequence[str]
+    points: DataFrame,
+    starts: DataFrame,
+    measures: Sequence[str],
+    slice_micros: int = MICROS_PER_HOUR,
 ) -> DataFrame:
     """Sums the points' measures per user and level of the attempt they fall in.
 
@@ -79,7 +83,7 @@ def attribute_to_level(
             points.select(USER, TIME, *measures),
         )
         .filter(f"{USER} is not null")
-        .withColumn(_SLICE, time_bucket(F.col(TIME)))
+        .withColumn(_SLICE, time_bucket(F.col(TIME), slice_micros))
         .repartition(USER, _SLICE)
     )
     so_far = (

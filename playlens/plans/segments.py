@@ -22,6 +22,7 @@ from playlens.operators import (
     union,
 )
 
+# The labels that results carry.
 IAP, NON_IAP = "iap", "non_iap"
 AD, NON_AD = "adrw", "non_adrw"
 BEST, MIDDLE, WORST = "best", "bete", "worst"

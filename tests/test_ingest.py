@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from playlens import DateRange, EventTables, Scope
 from playlens.model import TABLE_SCHEMAS
 from playlens.plans import activity
+from playlens.plans.levels import level_outcomes
 from playlens.sources import (
     RAW_EVENT_SCHEMA,
     flatten_event,
@@ -146,6 +147,8 @@ def test_all_tables_in_one_pass(spark, sf_dir, tmp_path):
         together = stored.get(name, *single.columns)
         assert together.exceptAll(single).isEmpty() and single.exceptAll(together).isEmpty()
         assert together.filter("user_pseudo_id is null").isEmpty()
+    outcomes = [sorted(map(repr, level_outcomes(t).collect())) for t in (stored, bound)]
+    assert outcomes[0] == outcomes[1]
 
 
 def test_only_days_that_come_in_are_replaced(spark, raw, tmp_path):

@@ -52,7 +52,8 @@ def _per_user(starts):
     return {user: sorted(rows, key=_key) for user, rows in users.items()}
 
 
-def test_every_point_goes_to_the_last_start_before_it(spark, log):
+@pytest.mark.parametrize("slice_micros", [1, MICROS_PER_HOUR, 500 * MICROS_PER_HOUR])
+def test_every_point_goes_to_the_last_start_before_it(spark, log, slice_micros):
     starts, points = log
     expected = Counter()
     ordered = _per_user(starts)
@@ -68,11 +69,13 @@ def test_every_point_goes_to_the_last_start_before_it(spark, log):
             starts, "user_pseudo_id string, event_timestamp bigint, level bigint"
         ),
         ["n"],
+        slice_micros,
     )
     assert {(r[0], r[1]): r[2] for r in got.collect()} == dict(expected)
 
 
-def test_every_attempt_ends_at_the_next_start(spark, log):
+@pytest.mark.parametrize("slice_micros", [1, MICROS_PER_HOUR, 500 * MICROS_PER_HOUR])
+def test_every_attempt_ends_at_the_next_start(spark, log, slice_micros):
     starts, _ = log
     expected = Counter()
     for rows in _per_user(starts).values():
@@ -81,7 +84,8 @@ def test_every_attempt_ends_at_the_next_start(spark, log):
     got = level_intervals(
         spark.createDataFrame(
             starts, "user_pseudo_id string, event_timestamp bigint, level bigint"
-        )
+        ),
+        slice_micros,
     )
     assert Counter(tuple(r) for r in got.collect()) == expected
 
