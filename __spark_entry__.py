@@ -2,7 +2,7 @@
 
 Every query runs an analysis of ``playlens`` over the whole test tables, bound as
 a game-event log by ``playlens.sources.binding``.  The SQL twins are in
-``oracle.py``.
+``sql_twins.py``.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import oracle
+import sql_twins
 from playlens import CohortSpec, EventTables
 from playlens.model import DAY, LABEL, TIME, USER
 from playlens.operators import (
@@ -40,7 +40,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Thresholds the small test tables can reach, and the countries of scoped runs.
 MORE_THAN_USERS = 3
 MORE_THAN_ADS = 1
-MARKETS = oracle.MARKETS
+MARKETS = sql_twins.MARKETS
 
 # Segment sizes that a study may put in by hand.
 TYPED_IN_SIZES = {"iap": 15, "non_iap": 2091}
@@ -386,4 +386,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """The same results as DuckDB SQL over the test tables."""
-    return oracle.statements()
+    return sql_twins.statements()

@@ -130,6 +130,12 @@ class EventTables:
 
         return cls(lambda name, columns: table(name))
 
+    @classmethod
+    def from_catalog(cls, spark: SparkSession, database: str | None = None) -> EventTables:
+        """Tables or views of the session's catalog, named like the events."""
+        prefix = "" if database is None else f"{database}."
+        return cls(lambda name, columns: spark.table(f"{prefix}{name}"))
+
     @classmethod
     def from_frames(cls, frames: Mapping[str, DataFrame]) -> EventTables:
         return cls(lambda name, columns: frames[name])

@@ -151,6 +151,17 @@ def test_all_tables_in_one_pass(spark, sf_dir, tmp_path):
     assert outcomes[0] == outcomes[1]
 
 
+def test_tables_from_the_catalog(spark, raw):
+    flatten_event(raw, "start_level").createOrReplaceTempView("start_level")
+    try:
+        starts = EventTables.from_catalog(spark).get(
+            "start_level", "user_pseudo_id", dates=DateRange("2025-03-01", "2025-03-01")
+        )
+        assert [r[0] for r in starts.collect()] == ["a"]
+    finally:
+        spark.catalog.dropTempView("start_level")
+
+
 def test_only_days_that_come_in_are_replaced(spark, raw, tmp_path):
     root = str(tmp_path / "flat")
     write_event_tables(raw, ["start_level", "win_level", "in_app_purchase"], root)
