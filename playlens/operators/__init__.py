@@ -4,6 +4,7 @@ from playlens.operators.intervals import attribute_to_level, first_per_user, lev
 from playlens.operators.sets import (
     count_users,
     in_users,
+    join_labels,
     label_by_membership,
     memberships,
     not_in_users,
@@ -27,6 +28,7 @@ __all__ = [
     "cumulative_distribution",
     "first_per_user",
     "in_users",
+    "join_labels",
     "label_by_membership",
     "level_intervals",
     "memberships",

@@ -40,6 +40,19 @@ def not_in_users(df: DataFrame, users: DataFrame) -> DataFrame:
     return df.filter(known).join(users.filter(known).select(USER), USER, "left_anti")
 
 
+def join_labels(facts: DataFrame, labels: DataFrame, few_users: bool = False) -> DataFrame:
+    """Facts of labelled users, with their label.
+
+    ``few_users`` is for labels that cover a small part of all players and come
+    from a written table.  It adds a semi join, which leaves the result alone; if
+    Spark finds the table small enough to send around, it carries the semi join
+    down through the facts' aggregation, and other users go at the scan.
+    """
+    if few_users:
+        facts = in_users(facts, labels)
+    return facts.join(labels, USER)
+
+
 def tag(df: DataFrame, **flags: str) -> DataFrame:
     """A row per event that says, in SQL conditions, which sets its user belongs to."""
     return df.selectExpr(USER, *(f"{condition} as {name}" for name, condition in flags.items()))

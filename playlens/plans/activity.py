@@ -11,6 +11,7 @@ from playlens.functions import calendar_days, ratio
 from playlens.model import DAY, LABEL, USER, CohortSpec, DateRange, EventTables, Scope
 from playlens.operators import (
     count_users,
+    join_labels,
     memberships,
     pivot_labels,
     tag,
@@ -68,7 +69,9 @@ def engaged_non_payers(tables: EventTables, scope: Scope, dates: DateRange) -> D
     )
 
 
-def _active_days(tables: EventTables, spec: CohortSpec, labels: DataFrame) -> DataFrame:
+def _active_days(
+    tables: EventTables, spec: CohortSpec, labels: DataFrame, few_users: bool = False
+) -> DataFrame:
     """``(event_date, user_type, dau)`` in the activity window.
 
     A user's events of a day collapse to one row before labels are joined.
@@ -76,7 +79,9 @@ def _active_days(tables: EventTables, spec: CohortSpec, labels: DataFrame) -> Da
     days = tables.get(
         "user_engagement", USER, DAY, scope=spec.scope.worldwide(), dates=spec.regard
     ).distinct()
-    return days.join(labels, USER).groupBy(DAY, LABEL).agg(F.count(USER).alias("dau"))
+    return join_labels(days, labels, few_users).groupBy(DAY, LABEL).agg(
+        F.count(USER).alias("dau")
+    )
 
 
 def dau_by_label(
@@ -93,13 +98,14 @@ def dau_pct_by_label(
     labels: DataFrame,
     columns: Mapping[str, str],
     denominators: Mapping[str, int] | None = None,
+    few_users: bool = False,
 ) -> DataFrame:
     """Active users per day in percent of their segment, a column per label.
 
     Segment sizes are counted from the labels; ``denominators`` overrides them
     with given numbers.  Days on which only unlabelled users played stay, empty.
     """
-    daily = _active_days(tables, spec, labels)
+    daily = _active_days(tables, spec, labels, few_users)
     if denominators is None:
         sizes = labels.groupBy(LABEL).agg(F.count(USER).alias("size"))
         daily = daily.join(sizes, LABEL, "left")
@@ -113,7 +119,11 @@ def dau_pct_by_label(
 
 
 def retention(
-    tables: EventTables, labels: DataFrame, days: int = 7, dates: DateRange | None = None
+    tables: EventTables,
+    labels: DataFrame,
+    days: int = 7,
+    dates: DateRange | None = None,
+    few_users: bool = False,
 ) -> DataFrame:
     """Users of each segment who were active ``day_number`` days after first open.
 
@@ -126,8 +136,8 @@ def retention(
     active = tables.get("user_engagement", USER, DAY, dates=dates).distinct()
     day_number = calendar_days(F.col("first_open_date"), F.col(DAY))
     return (
-        labelled.join(opened, USER)
-        .join(active, USER)
+        join_labels(active, labelled, few_users)
+        .join(opened, USER)
         .withColumn("day_number", day_number)
         .filter(F.col("day_number").between(0, days))
         .groupBy(F.col(LABEL).alias("segment"), "day_number")
@@ -137,11 +147,15 @@ def retention(
 
 
 def retention_rate(
-    tables: EventTables, labels: DataFrame, days: int = 7, dates: DateRange | None = None
+    tables: EventTables,
+    labels: DataFrame,
+    days: int = 7,
+    dates: DateRange | None = None,
+    few_users: bool = False,
 ) -> DataFrame:
     """Adds retained users as a fraction of the segment's day-0 users."""
     retained = with_baseline(
-        retention(tables, labels, days, dates),
+        retention(tables, labels, days, dates, few_users),
         "day_number",
         0,
         {"retained_users": "day0_users"},

@@ -12,6 +12,7 @@ from playlens.model import LABEL, USER, CohortSpec, EventTables
 from playlens.operators import (
     centered_mean,
     cumulative_distribution,
+    join_labels,
     pivot_labels,
     union,
     with_baseline,
@@ -69,13 +70,18 @@ def level_outcomes(tables: EventTables) -> DataFrame:
 
 
 def level_outcomes_by_label(
-    tables: EventTables, labels: DataFrame, max_level: int | None = None
+    tables: EventTables,
+    labels: DataFrame,
+    max_level: int | None = None,
+    few_users: bool = False,
 ) -> DataFrame:
-    """:func:`level_outcomes` of each segment, with win rate and attempts per user."""
+    """:func:`level_outcomes` of each segment, with win rate and attempts per user.
+
+    ``few_users`` as in :func:`playlens.operators.sets.join_labels`, here and below.
+    """
     labelled = labels.filter(f"{LABEL} is not null")
     outcomes = (
-        counts_per_user_level(tables, _OUTCOMES)
-        .join(labelled, USER)
+        join_labels(counts_per_user_level(tables, _OUTCOMES), labelled, few_users)
         .groupBy(F.col(LABEL).alias("segment"), "level")
         .agg(*_outcome_totals())
         .filter("event_start > 0")
@@ -114,16 +120,20 @@ def apu_by_label(tables: EventTables, labels: DataFrame, max_level: int = 50) ->
 
 
 def level_curves_by_label(
-    tables: EventTables, labels: DataFrame, max_level: int = 50
+    tables: EventTables, labels: DataFrame, max_level: int = 50, few_users: bool = False
 ) -> DataFrame:
     """Win rate and attempts per user, both also smoothed, from one pass."""
-    outcomes = level_outcomes_by_label(tables, labels, max_level)
+    outcomes = level_outcomes_by_label(tables, labels, max_level, few_users)
     smooth = {"winrate": "rolling_winrate", "apu": "rolling_apu"}
     return centered_mean(outcomes, smooth, "level", by=["segment"]).orderBy("segment", "level")
 
 
 def level_users_by_label(
-    tables: EventTables, spec: CohortSpec, labels: DataFrame, columns: Mapping[str, str]
+    tables: EventTables,
+    spec: CohortSpec,
+    labels: DataFrame,
+    columns: Mapping[str, str],
+    few_users: bool = False,
 ) -> DataFrame:
     """Users who started each level in the whole window, a column per label.
 
@@ -134,9 +144,8 @@ def level_users_by_label(
         .filter("level is not null")
         .distinct()
     )
-    per_level = pivot_labels(
-        reached.join(labels.filter(F.col(LABEL).isin(*columns)), USER), "level", columns
-    )
+    named = labels.filter(F.col(LABEL).isin(*columns))
+    per_level = pivot_labels(join_labels(reached, named, few_users), "level", columns)
     return per_level.na.drop(subset=list(columns.values()))
 
 
@@ -169,12 +178,13 @@ def funnel_by_label(
     labels: DataFrame,
     columns: Mapping[str, str],
     remaining: Mapping[str, str],
+    few_users: bool = False,
 ) -> DataFrame:
     """Users per level and label, and the fraction still there of those at level 1.
 
     ``remaining`` names the fractions.  They are NULL if nobody started level 1.
     """
-    users = level_users_by_label(tables, spec, labels, columns)
+    users = level_users_by_label(tables, spec, labels, columns, few_users)
     first_level = {column: f"num_{column}_in_lv1" for column in columns.values()}
     funnel = with_baseline(users, "level", 1, first_level)
     return funnel.withColumns(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 
 from playlens.model import LABEL, CohortSpec, EventTables, quoted
@@ -11,38 +13,56 @@ from playlens.plans import activity, levels, payments, segments, usage
 def keep(labels: DataFrame) -> DataFrame:
     """Labels worked out once for many analyses.
 
-    Where the cluster names a checkpoint folder they are written there; otherwise
-    they are cached, and worked out again where an executor was lost.
+    Where the cluster names a checkpoint folder they are written to a table in
+    it, whose size Spark then knows; otherwise they are cached, and worked out
+    again where an executor was lost.
     """
-    if labels.sparkSession.sparkContext.getCheckpointDir() is not None:
-        return labels.checkpoint()
-    return labels.persist()
+    spark = labels.sparkSession
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        return labels.persist()
+    path = f"{folder}/labels-{uuid4().hex}"
+    labels.write.parquet(path)
+    return spark.read.schema(labels.schema).parquet(path)
 
 
 def compare_segments(
-    tables: EventTables, spec: CohortSpec, labels: DataFrame, one: str, other: str
+    tables: EventTables,
+    spec: CohortSpec,
+    labels: DataFrame,
+    one: str,
+    other: str,
+    few_users: bool = True,
 ) -> dict[str, DataFrame]:
-    """The comparisons of two segments by name, all on the same kept labels."""
+    """The comparisons of two segments by name, all on the same kept labels.
+
+    Cohorts of some days are a small part of all players, so events of others
+    are dropped early unless ``few_users`` is unset.
+    """
     kept = keep(labels)
     pair = kept.filter(f"{LABEL} in ({quoted(one)}, {quoted(other)})")
+    few = {"few_users": few_users}
 
     def names(pattern: str) -> dict[str, str]:
         return {label: pattern.format(label) for label in (one, other)}
 
     def kinds(event: str, kind: str) -> DataFrame:
         counts, shares = names("num_users_{}"), names("pct_{}")
-        return usage.users_by_kind(tables, event, kind, spec.scope, kept, counts, shares)
+        return usage.users_by_kind(tables, event, kind, spec.scope, kept, counts, shares, **few)
 
+    uses = {"booster": "booster_use", "adrw": "af_rewarded"}
     return {
         "sizes": segments.segment_sizes(pair),
-        "daily_activity": activity.dau_pct_by_label(tables, spec, kept, names("percent_dau_{}")),
-        "retention": activity.retention_rate(tables, pair),
-        "level_curves": levels.level_curves_by_label(tables, pair),
-        "funnel": levels.funnel_by_label(tables, spec, pair, names("user_{}"), names("{}_drop")),
+        "daily_activity": activity.dau_pct_by_label(
+            tables, spec, kept, names("percent_dau_{}"), **few
+        ),
+        "retention": activity.retention_rate(tables, pair, **few),
+        "level_curves": levels.level_curves_by_label(tables, pair, **few),
+        "funnel": levels.funnel_by_label(
+            tables, spec, pair, names("user_{}"), names("{}_drop"), **few
+        ),
         "ad_placements": kinds("ads_reward_complete", "placement"),
         "booster_types": kinds("booster_use", "booster_type"),
-        "usage": usage.overall_usage(
-            tables, pair, {"booster": "booster_use", "adrw": "af_rewarded"}, (one, other)
-        ),
+        "usage": usage.overall_usage(tables, pair, uses, (one, other), **few),
         "pay_rate": payments.pay_rate_by_segment(tables, spec, pair),
     }

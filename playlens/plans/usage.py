@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from playlens.functions import ratio
 from playlens.model import LABEL, USER, EventTables, Scope
-from playlens.operators import count_users, share_of_total
+from playlens.operators import count_users, join_labels, share_of_total
 from playlens.plans.levels import counts_per_user_level
 from playlens.plans.segments import BEST, WORST
 
@@ -22,6 +22,7 @@ def users_by_kind(
     labels: DataFrame,
     columns: Mapping[str, str],
     shares: Mapping[str, str],
+    few_users: bool = False,
 ) -> DataFrame:
     """Distinct users per kind of event and label, and each kind's share in percent.
 
@@ -30,7 +31,7 @@ def users_by_kind(
     """
     had = tables.get(event, USER, kind, scope=scope.worldwide()).distinct()
     counts = (
-        had.join(labels, USER)
+        join_labels(had, labels, few_users)
         .groupBy(kind)
         .agg(
             *(F.count_if(F.col(LABEL) == label).alias(name) for label, name in columns.items())
@@ -112,6 +113,7 @@ def overall_usage(
     labels: DataFrame,
     uses: Mapping[str, str],
     segments: tuple[str, ...] = (BEST, WORST),
+    few_users: bool = False,
 ) -> DataFrame:
     """Uses per started level of a user, over all levels, one row per segment.
 
@@ -123,7 +125,7 @@ def overall_usage(
     )
     labelled = labels.filter(F.col(LABEL).isin(*segments))
     return (
-        per_user.join(labelled, USER)
+        join_labels(per_user, labelled, few_users)
         .groupBy(F.col(LABEL).alias("segment"))
         .agg(*(ratio(F.sum(use), F.count(USER)).alias(f"{use}_per") for use in uses))
     )

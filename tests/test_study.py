@@ -31,6 +31,18 @@ def test_study_agrees_with_the_single_analyses(tables):
         activity.dau_pct_by_label(tables, SPEC, labels, daily)
     )
     assert all(df.count() for df in study.values())
+    plain = compare_segments(tables, SPEC, labels, "best", "worst", few_users=False)
+    assert all(_rows(study[name]) == _rows(plain[name]) for name in study)
+
+
+def test_few_users_are_picked_at_the_scan(spark, tables, tmp_path):
+    path = str(tmp_path / "labels")
+    segments.ad_lists(tables, SPEC).write.parquet(path)
+    labels = spark.read.schema("user_pseudo_id string, user_type string").parquet(path)
+    outcomes = levels.level_outcomes_by_label(tables, labels, few_users=True)
+    plan = outcomes._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate [user_pseudo_id") :]
+    assert below.count("LeftSemi") == 3
 
 
 def test_labels_are_kept_in_the_checkpoint_folder(spark, tables, tmp_path):
