@@ -35,6 +35,11 @@ from playlens.plans import activity, levels, payments, segments, usage
 from playlens.sources.binding import SPEC, bind, raw_log
 from playlens.sources.ingest import flatten_event, shard_range
 
+try:
+    from playlens.llm import queries as corpus_queries
+except ImportError:
+    corpus_queries = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Thresholds the small test tables can reach, and the countries of scoped runs.
@@ -381,9 +386,13 @@ def queries() -> dict[str, Query]:
         **_level_queries(),
         **_usage_queries(),
         **_set_queries(),
+        **(corpus_queries.queries() if corpus_queries else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results as DuckDB SQL over the test tables."""
-    return sql_twins.statements()
+    return {
+        **sql_twins.statements(),
+        **(corpus_queries.oracle_sql() if corpus_queries else {}),
+    }
