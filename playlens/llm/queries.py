@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlens.llm import decontaminate, html_text, url_filter
+from playlens.llm import decontaminate, html_text, packing, token_file, url_filter
 from playlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,8 +35,23 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest_columns(decontaminate.contamination(documents, benchmark))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_file.round_trip(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_url_filter, op3_html_text, op4_decontaminate)}
+    return {
+        f.__name__: f
+        for f in (op2_url_filter, op3_html_text, op4_decontaminate, op7_packing, op10_token_file)
+    }
 
 
 def oracle_sql() -> dict[str, str]:
