@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlens.llm import decontaminate, html_text, packing, token_file, url_filter
+from playlens.llm import (
+    decontaminate,
+    html_text,
+    language_id,
+    packing,
+    quality,
+    token_file,
+    url_filter,
+)
 from playlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +43,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest_columns(decontaminate.contamination(documents, benchmark))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).select(
@@ -42,6 +54,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_file.round_trip(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -50,7 +66,15 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (op2_url_filter, op3_html_text, op4_decontaminate, op7_packing, op10_token_file)
+        for f in (
+            op2_url_filter,
+            op3_html_text,
+            op4_decontaminate,
+            op5_quality,
+            op7_packing,
+            op8_language_id,
+            op10_token_file,
+        )
     }
 
 
