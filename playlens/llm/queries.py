@@ -14,6 +14,7 @@ from playlens.llm import (
     packing,
     quality,
     token_file,
+    topk_search,
     url_filter,
 )
 from playlens.llm.common import table
@@ -47,6 +48,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).select(
@@ -71,6 +76,7 @@ def queries() -> dict[str, Query]:
             op3_html_text,
             op4_decontaminate,
             op5_quality,
+            op6_topk_search,
             op7_packing,
             op8_language_id,
             op10_token_file,
@@ -95,6 +101,18 @@ fits AS (
   GROUP BY page_id)
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict
 FROM parsed LEFT JOIN fits USING (page_id)""",
+        "op6_topk_search": """
+WITH vectors AS (
+  SELECT vec_id, [floor(CAST(x AS DOUBLE) * 256) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place, vec_id, score FROM scored)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 5""",
         "op4_decontaminate": r"""
 WITH doc_words AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
