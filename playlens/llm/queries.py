@@ -11,6 +11,7 @@ from playlens.llm import (
     decontaminate,
     html_text,
     language_id,
+    near_dedup,
     packing,
     quality,
     token_file,
@@ -31,6 +32,11 @@ URL_RULES = (
 )
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = near_dedup.Settings(words=3, percent=85)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), settings=settings)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, id_col="page_id")
 
@@ -72,6 +78,7 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
+            op1_near_dedup,
             op2_url_filter,
             op3_html_text,
             op4_decontaminate,
@@ -87,6 +94,27 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     rules = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES)
     return {
+        "op1_near_dedup": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + 2], ' ')) AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_n
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * both_n >= 85 * (x.n + y.n - both_n)),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+component AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN component USING (doc_id) LEFT JOIN sizes USING (doc_id)""",
         "op2_url_filter": f"""
 WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {rules}),
 parsed AS (
