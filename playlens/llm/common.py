@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,9 +53,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*frames: DataFrame) -> None:
-    """Remove tables made by ``written`` that no plan reads any more."""
+    """Remove tables made by ``written`` that no plan reads any more.
+
+    Collecting the driver's garbage lets Spark remove the shuffle files behind them.
+    """
     for frame in frames:
         delete(frame.sparkSession, frame.scratch)
+    gc.collect()
+    frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def shared_file(spark: SparkSession, name: str, data: bytes) -> str:

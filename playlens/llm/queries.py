@@ -14,6 +14,7 @@ from playlens.llm import (
     near_dedup,
     packing,
     quality,
+    suffix_dedup,
     token_file,
     topk_search,
     url_filter,
@@ -69,6 +70,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_file.round_trip(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -86,6 +99,7 @@ def queries() -> dict[str, Query]:
             op6_topk_search,
             op7_packing,
             op8_language_id,
+            op9_suffix_dedup,
             op10_token_file,
         )
     }
