@@ -36,9 +36,10 @@ from playlens.sources.binding import SPEC, bind, raw_log
 from playlens.sources.ingest import flatten_event, shard_range
 
 try:
+    import corpus_pipeline
     from playlens.llm import queries as corpus_queries
 except ImportError:
-    corpus_queries = None
+    corpus_pipeline = corpus_queries = None
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -371,6 +372,13 @@ def _usage_queries() -> dict[str, Query]:
     }
 
 
+def corpus() -> dict[str, Query]:
+    """The corpus operators and their pipeline, where they are installed."""
+    if corpus_queries is None:
+        return {}
+    return {**corpus_queries.queries(), "pipeline": corpus_pipeline.run}
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Daily activity of payers and non-payers in percent of their segment."""
     return queries()["dau_pct_by_payer"](spark, "/root/testdata/sf0.001")
@@ -386,7 +394,7 @@ def queries() -> dict[str, Query]:
         **_level_queries(),
         **_usage_queries(),
         **_set_queries(),
-        **(corpus_queries.queries() if corpus_queries else {}),
+        **corpus(),
     }
 
 

@@ -12,7 +12,7 @@ import pytest
 import __spark_entry__ as contract
 
 # Corpus queries have tests of their own, next to their operators.
-CORPUS = contract.corpus_queries.queries() if contract.corpus_queries else {}
+CORPUS = contract.corpus()
 QUERIES = {name: query for name, query in contract.queries().items() if name not in CORPUS}
 ORACLE = {name: sql for name, sql in contract.oracle_sql().items() if name not in CORPUS}
 
