@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playlens.llm.tokens import VOCABULARY, Encoder, sentence_tables, slices
+from playlens.llm.tokens import VOCABULARY, encoder, sentence_tables, slices
 
 
 @dataclass(frozen=True)
@@ -166,7 +166,7 @@ def pack(
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tables = Encoder(vocabulary), sentence_tables(vocabulary)
+        tables = sentence_tables(vocabulary)
         packer = _Packer(size, tables, costs, TaskContext.get().partitionId() << 33)
         schema = None
         for batch in batches:
@@ -176,7 +176,7 @@ def pack(
             )
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices([len(t or "") for t in texts], 1 << 20):
-                for name, ids in zip(names[a:b], encoder.encode([t or "" for t in texts[a:b]]), strict=True):
+                for name, ids in zip(names[a:b], encoder(vocabulary).encode([t or "" for t in texts[a:b]]), strict=True):
                     packer.add(name, ids + ending)
                 if packer.tokens >= segment_tokens and (pieces := packer.cut(last=False)):
                     yield batch_of(pieces, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playlens.llm.common import release, scratch_path, written
-from playlens.llm.tokens import VOCABULARY, Encoder, slices
+from playlens.llm.tokens import VOCABULARY, encoder, slices
 
 #: Longest code in bits.
 LIMIT = 16
@@ -136,12 +136,11 @@ def tokenised(documents: DataFrame, id_col: str, text_col: str, end_id: int, voc
     ending = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
-        width = id_width(encoder.size, end_id)
+        width = id_width(encoder(vocabulary).size, end_id)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(map(len, texts), 1 << 20):
-                found = [np.frombuffer(i + ending, "<u4") for i in encoder.encode(texts[a:b])]
+                found = [np.frombuffer(i + ending, "<u4") for i in encoder(vocabulary).encode(texts[a:b])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], pa.array(map(len, found), pa.int64()), pa.array((i.astype(width).tobytes() for i in found), pa.binary())],
                     names=["id", "n", "ids"],
@@ -194,8 +193,8 @@ def write_ids(
     """
     spark = documents.sparkSession
     tokens = written(tokenised(documents, id_col, text_col, end_id, vocabulary), "token-ids")
-    size = max(Encoder(vocabulary).size, end_id + 1)
-    width = id_width(Encoder(vocabulary).size, end_id)
+    size = max(encoder(vocabulary).size, end_id + 1)
+    width = id_width(encoder(vocabulary).size, end_id)
     lengths = code_lengths(_counted(tokens, size, width))
     spark.createDataFrame([(lengths.tobytes(),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
     ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))

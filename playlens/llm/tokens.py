@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
+import string
 from collections.abc import Iterable, Iterator
+from functools import cache
+from itertools import chain, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -14,8 +18,9 @@ from tokenizers import Tokenizer
 
 #: The vocabulary file used where a caller names no other.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-#: Word pieces remembered by one task, by number and by characters.
-MEMO_PIECES, MEMO_CHARS = 400_000, 16 << 20
+#: Pieces between spaces and parts of them that a Python worker remembers, and their characters.
+MEMO_PIECES, MEMO_PARTS, MEMO_CHARS = 500_000, 600_000, 32 << 20
+_ODD_SPACE = re.compile(r"[^\S\n]|\n\n")
 
 
 def slices(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
@@ -37,45 +42,99 @@ class Encoder:
     The pre-tokenizer starts a new token at every single space between two other
     characters, so the text falls into pieces that can be encoded by themselves and
     remembered.  A text with a piece that starts or ends with white space (runs of
-    spaces, line breaks next to spaces) is encoded whole.
+    spaces, line breaks next to spaces) is encoded whole.  Pieces in turn fall into parts at
+    single line breaks and between a run of letters and the punctuation after it.
     """
 
     def __init__(self, path: str = VOCABULARY) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
+        self._spaced = np.zeros(self.size, bool)  # ids whose token starts with a space
+        self._spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
         self._first: dict[str, bytes | None] = {}
         self._later: dict[str, bytes | None] = {}
-        self._chars = 0
+        self._parts: dict[str, bytes] = {}
+        self._chars = self._part_chars = 0
 
     def _ids(self, texts: list[str]) -> Iterator[bytes]:
         for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield np.array(found.ids, "<u4").tobytes()
 
+    def _spaced_ids(self, texts: list[str]) -> Iterable[bytes]:
+        """Ids of texts that all start with their only space, encoded as one string."""
+        found = self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)
+        ids = np.array(found[0].ids, "<u4")
+        starts = np.flatnonzero(self._spaced[ids])
+        if len(starts) != len(texts):
+            return self._ids(texts)
+        data, at = ids.tobytes(), (4 * np.append(starts, len(ids))).tolist()
+        return [data[a:b] for a, b in pairwise(at)]
+
     def _learn(self, memo: dict[str, bytes | None], pieces: set[str], lead: str) -> None:
-        plain = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace()]
-        memo.update(zip(plain, self._ids([lead + p for p in plain]), strict=True))
-        memo.update(dict.fromkeys(pieces.difference(plain)))
-        self._chars += sum(map(len, pieces))
+        split: dict[str, list[str]] = {}
+        missing: dict[str, None] = {}
+        for piece in pieces:
+            if not piece or piece[0].isspace() or piece[-1].isspace():
+                memo[piece] = None
+            else:
+                split[piece] = own = _parts_of(piece, lead)
+                missing.update((p, None) for p in own if p not in self._parts)
+            self._chars += len(piece)
+        spaced = [p for p in missing if p[0] == " "]
+        if spaced:
+            self._parts.update(zip(spaced, self._spaced_ids(spaced), strict=True))
+        other = [p for p in missing if p[0] != " "]
+        self._parts.update(zip(other, self._ids(other), strict=True))
+        self._part_chars += sum(map(len, missing))
+        for piece, own in split.items():
+            memo[piece] = b"".join([self._parts[p] for p in own])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; of an empty one none."""
         if len(self._later) > MEMO_PIECES or self._chars > MEMO_CHARS:
             self._first, self._later, self._chars = {}, {}, 0
+        if len(self._parts) > MEMO_PARTS or self._part_chars > MEMO_CHARS:
+            self._parts, self._part_chars = {}, 0
         parts = [text.split(" ") for text in texts]
-        missing_first = {p[0] for p in parts if p[0] not in self._first}
-        missing_later = {w for p in parts for w in p[1:] if w not in self._later}
-        self._learn(self._first, missing_first, "")
-        self._learn(self._later, missing_later, " ")
+        self._learn(self._first, {p[0] for p in parts}.difference(self._first), "")
+        self._learn(self._later, set(chain.from_iterable(p[1:] for p in parts)).difference(self._later), " ")
         out: list[bytes] = []
         for text, pieces in zip(texts, parts, strict=True):
-            head = self._first[pieces[0]]
             try:
-                out.append(head + b"".join(map(self._later.__getitem__, pieces[1:])))
+                out.append(self._first[pieces[0]] + b"".join(map(self._later.__getitem__, pieces[1:])))
             except TypeError:  # a piece that can't stand alone
                 out.append(next(self._ids([text])) if text else b"")
         return out
 
 
+def _parts_of(piece: str, lead: str) -> list[str]:
+    """Parts of a piece that are encoded by themselves; letters stop where Unicode versions may differ."""
+    if piece.isalpha():
+        return [lead + piece]
+    stem = piece.rstrip(string.punctuation)
+    if stem.isalpha() and max(stem) < "\u0590":
+        return [lead + stem, piece[len(stem) :]]
+    if "<|" in piece or _ODD_SPACE.search(piece):
+        return [lead + piece]
+    out = []
+    for k, line in enumerate(piece.split("\n")):
+        if k:
+            out.append("\n")
+            lead = ""
+        stem = line.rstrip(string.punctuation)
+        if len(stem) < len(line) and stem.isalpha() and max(stem) < "\u0590":
+            out += [lead + stem, line[len(stem) :]]
+        else:
+            out.append(lead + line)
+    return out
+
+
+@cache
+def encoder(path: str = VOCABULARY) -> Encoder:
+    """One encoder for all tasks of a Python worker, so that they share what it remembers."""
+    return Encoder(path)
+
+
 def sentence_tables(path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
     """By id: if the token ends a sentence, and if a token may begin the next one.
 
