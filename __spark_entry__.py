@@ -48,6 +48,10 @@ MORE_THAN_USERS = 3
 MORE_THAN_ADS = 1
 MARKETS = sql_twins.MARKETS
 
+# Levels that curves are drawn for and that tables show.
+LEVELS_DRAWN = 50
+LEVELS_SHOWN = 200
+
 # Segment sizes that a study may put in by hand.
 TYPED_IN_SIZES = {"iap": 15, "non_iap": 2091}
 
@@ -61,9 +65,11 @@ def _names(pattern: str, *labels: str) -> dict[str, str]:
 
 
 def _on_tables(
-    plan: Callable[[EventTables, CohortSpec], DataFrame], spec: CohortSpec = SPEC
+    plan: Callable[[EventTables, CohortSpec], DataFrame],
+    spec: CohortSpec = SPEC,
+    hard: bool = False,
 ) -> Query:
-    return lambda spark, sf_dir: plan(bind(spark, sf_dir), spec)
+    return lambda spark, sf_dir: plan(bind(spark, sf_dir, hard), spec)
 
 
 def _set_queries() -> dict[str, Query]:
@@ -178,10 +184,14 @@ def _activity_queries() -> dict[str, Query]:
             )
         ),
         "retention": _on_tables(
-            lambda t, s: activity.retention(t, segments.skill_segments(t, s))
+            lambda t, s: activity.retention(
+                t, segments.skill_segments(t, s), first_open=s.first_open
+            )
         ),
         "retention_rate": _on_tables(
-            lambda t, s: activity.retention_rate(t, segments.skill_segments(t, s))
+            lambda t, s: activity.retention_rate(
+                t, segments.skill_segments(t, s), first_open=s.first_open
+            )
         ),
     }
 
@@ -199,7 +209,9 @@ def _payment_queries() -> dict[str, Query]:
             lambda t, s: payments.first_purchase_by_level(t, s.scope)
         ),
         "purchases_by_level": _on_tables(lambda t, s: payments.purchases_by_level(t, s.scope)),
-        "purchases_vs_first": _on_tables(lambda t, s: payments.purchases_vs_first(t, s.scope)),
+        "purchases_vs_first": _on_tables(
+            lambda t, s: payments.purchases_vs_first(t, s.scope, LEVELS_SHOWN)
+        ),
         "payer_count": _on_tables(lambda t, s: payments.payer_count(t)),
         "days_to_first_purchase": _on_tables(
             lambda t, s: payments.days_to_first_purchase(t, s.scope)
@@ -263,6 +275,10 @@ def _level_queries() -> dict[str, Query]:
     }
     found: dict[str, Query] = {
         "user_max_level": _on_tables(lambda t, s: levels.user_max_level(t)),
+        "user_max_level_of_one": _on_tables(lambda t, s: levels.user_max_level(t, "1")),
+        "apu_by_payer_all_levels": _on_tables(
+            lambda t, s: levels.apu_by_label(t, segments.payer_lists(t, s))
+        ),
         "level_outcomes": _on_tables(lambda t, s: levels.level_outcomes(t)),
     }
     for name, labels in by.items():
@@ -273,10 +289,12 @@ def _level_queries() -> dict[str, Query]:
             lambda t, s, labels=labels: levels.winrate_rolling_by_label(t, labels(t, s), 8)
         )
         found[f"apu_by_{name}"] = _on_tables(
-            lambda t, s, labels=labels: levels.apu_by_label(t, labels(t, s))
+            lambda t, s, labels=labels: levels.apu_by_label(t, labels(t, s), LEVELS_DRAWN)
         )
         found[f"level_curves_by_{name}"] = _on_tables(
-            lambda t, s, labels=labels: levels.level_curves_by_label(t, labels(t, s))
+            lambda t, s, labels=labels: levels.level_curves_by_label(
+                t, labels(t, s), LEVELS_DRAWN
+            )
         )
     found |= {
         "funnel_by_payer": _on_tables(
@@ -313,6 +331,7 @@ def _level_queries() -> dict[str, Query]:
                 segments.ad_lists(t, s),
                 {"adrw": "user_ad_rw", "non_adrw": "user_non_ad_rw"},
                 {"adrw": "ad_rw_pct", "non_adrw": "non_ad_rw_pct"},
+                LEVELS_SHOWN,
             )
         ),
         "attempt_ratio_distribution": _on_tables(
@@ -342,7 +361,7 @@ def _usage_queries() -> dict[str, Query]:
     def per_level(use):
         return _on_tables(
             lambda t, s: usage.use_per_starter_by_level(
-                t, segments.skill_segments(t, s), use, USES[use]
+                t, segments.skill_segments(t, s), use, USES[use], LEVELS_DRAWN
             )
         )
 
@@ -372,6 +391,67 @@ def _usage_queries() -> dict[str, Query]:
     }
 
 
+def _few_user_queries() -> dict[str, Query]:
+    """Queries that drop players without a label early; results are those of the plain ones."""
+    skill = lambda t, s: segments.skill_segments(t, s).filter(F.col(LABEL) != segments.MIDDLE)
+    few = {"few_users": True}
+    plans = {
+        "winrate_by_skill": lambda t, s: levels.winrate_by_label(t, skill(t, s), **few),
+        "winrate_rolling_by_ad": lambda t, s: levels.winrate_rolling_by_label(
+            t, segments.ad_lists(t, s), 8, **few
+        ),
+        "apu_by_payer": lambda t, s: levels.apu_by_label(
+            t, segments.payer_lists(t, s), LEVELS_DRAWN, **few
+        ),
+        "dau_by_payer": lambda t, s: activity.dau_by_label(
+            t, s, segments.cohort_payer_labels(t, s), _names("dau_{}", "iap", "non_iap"), **few
+        ),
+        "level_users_by_ad": lambda t, s: levels.level_split_by_label(
+            t,
+            s,
+            segments.ad_lists(t, s),
+            {"adrw": "user_ad_rw", "non_adrw": "user_non_ad_rw"},
+            {"adrw": "ad_rw_pct", "non_adrw": "non_ad_rw_pct"},
+            LEVELS_SHOWN,
+            **few,
+        ),
+        "booster_by_level_skill": lambda t, s: usage.use_per_starter_by_level(
+            t, segments.skill_segments(t, s), "booster", USES["booster"], LEVELS_DRAWN, **few
+        ),
+    }
+    return {name: _on_tables(plans[plain]) for name, plain in sql_twins.FEW.items()}
+
+
+def _hard_queries() -> dict[str, Query]:
+    """Analyses over the harder log: unknown users, one busy user, equal times, 100 levels."""
+    plans = {
+        "revenue_by_country": lambda t, s: payments.revenue_by_country(t, s.scope),
+        "level_outcomes": lambda t, s: levels.level_outcomes(t),
+        "ads_per_user_by_country": lambda t, s: usage.ads_per_user_by_country(
+            t, s.scope, MORE_THAN_ADS
+        ),
+        "payer_segments": segments.payer_segments,
+        "ad_segments": segments.ad_segments,
+        "apu_by_payer": lambda t, s: levels.apu_by_label(t, segments.payer_lists(t, s)),
+        "winrate_by_payer": lambda t, s: levels.winrate_by_label(t, segments.payer_lists(t, s)),
+        "purchases_by_level": lambda t, s: payments.purchases_by_level(t, s.scope),
+        "purchases_vs_first": lambda t, s: payments.purchases_vs_first(t, s.scope),
+        "retention": lambda t, s: activity.retention(
+            t, segments.skill_segments(t, s), first_open=s.first_open
+        ),
+        "days_to_first_purchase": lambda t, s: payments.days_to_first_purchase(t, s.scope),
+        "user_max_level": lambda t, s: levels.user_max_level(t),
+        "level_intervals": lambda t, s: level_intervals(t.get("start_level", USER, TIME, "level")),
+        "first_per_user": lambda t, s: first_per_user(
+            t.get("in_app_purchase", USER, TIME, "event_value_in_usd"), "event_value_in_usd"
+        ),
+        "booster_by_level_skill": lambda t, s: usage.use_per_starter_by_level(
+            t, segments.skill_segments(t, s), "booster", USES["booster"]
+        ),
+    }
+    return {name: _on_tables(plans[plain], hard=True) for name, plain in sql_twins.HARD.items()}
+
+
 def corpus() -> dict[str, Query]:
     """The corpus operators and their pipeline, where they are installed."""
     if corpus_queries is None:
@@ -394,6 +474,8 @@ def queries() -> dict[str, Query]:
         **_level_queries(),
         **_usage_queries(),
         **_set_queries(),
+        **_few_user_queries(),
+        **_hard_queries(),
         **corpus(),
     }
 

@@ -3,6 +3,7 @@
 from playlens.functions.columns import (
     band,
     calendar_days,
+    checked,
     elapsed_days,
     event_param,
     parse_event_date,
@@ -13,6 +14,7 @@ from playlens.functions.columns import (
 __all__ = [
     "band",
     "calendar_days",
+    "checked",
     "elapsed_days",
     "event_param",
     "parse_event_date",

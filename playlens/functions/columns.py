@@ -15,9 +15,22 @@ def event_param(key: str, slot: str = "string_value", params: str = "event_param
     return F.get(found, F.lit(0))["value"][slot]
 
 
-def parse_event_date(day: Column) -> Column:
-    """A date from its ``YYYYMMDD`` form, text or number."""
-    return F.to_date(day.cast("string"), "yyyyMMdd")
+def checked(text: Column, value: Column, what: str, strict: bool = True) -> Column:
+    """``value`` as read from ``text``; where it could not be read, an error or NULL if not ``strict``.
+
+    ``value`` must come from a ``try_`` function, so that neither depends on the session's
+    ANSI setting.
+    """
+    if not strict:
+        return value
+    message = F.concat(F.lit(f"{what} can't be read: "), text.cast("string"))
+    return F.when(text.isNotNull() & value.isNull(), F.raise_error(message)).otherwise(value)
+
+
+def parse_event_date(day: Column, strict: bool = True) -> Column:
+    """A date from its ``YYYYMMDD`` form, text or number; an unreadable one is an error or NULL."""
+    text = day.cast("string")
+    return checked(text, F.try_to_date(text, "yyyyMMdd"), "event_date", strict)
 
 
 def elapsed_days(start: Column, end: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
-from datetime import date
+from datetime import date, timedelta
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,14 +45,20 @@ def quoted(text: str) -> str:
 
 @dataclass(frozen=True)
 class DateRange:
-    """Calendar days from ``start`` to ``end``, both included (ISO text)."""
+    """Calendar days from ``start`` to ``end``, both included (ISO text); without a start, all up to the end."""
 
-    start: str
+    start: str | None
     end: str
 
     def contains(self, column: str = DAY) -> str:
-        first, last = date.fromisoformat(self.start), date.fromisoformat(self.end)
-        return f"{column} between date'{first}' and date'{last}'"
+        last = date.fromisoformat(self.end)
+        if self.start is None:
+            return f"{column} <= date'{last}'"
+        return f"{column} between date'{date.fromisoformat(self.start)}' and date'{last}'"
+
+    def until(self, days: int) -> DateRange:
+        """Everything up to so many days after the end."""
+        return DateRange(None, (date.fromisoformat(self.end) + timedelta(days=days)).isoformat())
 
 
 @dataclass(frozen=True)

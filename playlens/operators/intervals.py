@@ -27,14 +27,16 @@ _SLICE = "slice"
 def first_per_user(events: DataFrame, *carry: str) -> DataFrame:
     """Each user's earliest event: its time and the ``carry`` columns of that row.
 
-    An aggregation, so that repeats collapse before the shuffle.  Of events at
-    the same time the one with the smallest ``carry`` values counts.
+    Repeats collapse before the shuffle: an aggregation, or with ``carry`` a limit of
+    one row per user and task.  Of events at the same time the one with the
+    smallest ``carry`` values counts.
     """
-    known = events.filter(f"{USER} is not null").groupBy(USER)
+    known = events.filter(f"{USER} is not null and {TIME} is not null")
     if not carry:
-        return known.agg(F.min(TIME).alias(TIME))
-    first = known.agg(F.min(F.struct(TIME, *carry)).alias("first"))
-    return first.select(USER, *(F.col("first")[name].alias(name) for name in (TIME, *carry)))
+        return known.groupBy(USER).agg(F.min(TIME).alias(TIME))
+    place = F.row_number().over(Window.partitionBy(USER).orderBy(TIME, *carry))
+    ranked = known.select(USER, TIME, *carry).withColumn("place", place)
+    return ranked.filter("place = 1").drop("place")
 
 
 def level_intervals(starts: DataFrame, slice_micros: int = MICROS_PER_HOUR) -> DataFrame:
@@ -45,21 +47,26 @@ def level_intervals(starts: DataFrame, slice_micros: int = MICROS_PER_HOUR) -> D
     number = time_bucket(F.col(TIME), slice_micros)
     in_slice = Window.partitionBy(USER, _SLICE).orderBy("level_start", "level")
     across = Window.partitionBy(USER).orderBy(_SLICE)
-    rows = (
-        starts.filter(f"{USER} is not null")
-        .select(USER, "level", F.col(TIME).alias("level_start"), number.alias(_SLICE))
-        .withColumns(
-            {
-                "next_start": F.lead("level_start").over(in_slice),
-                "first_start": F.first("level_start").over(in_slice),
-            }
-        )
+    rows = starts.filter(f"{USER} is not null").select(
+        USER, "level", F.col(TIME).alias("level_start"), number.alias(_SLICE)
+    )
+    # Of each slice, when the user's next one begins: a row per user and slice.
+    slices = (
+        rows.groupBy(USER, _SLICE)
+        .agg(F.min("level_start").alias("first_start"))
+        .withColumn("next_slice_start", F.lead("first_start").over(across))
+        .select(USER, _SLICE, "next_slice_start")
     )
-    inner = rows.filter("next_start is not null")
-    last = rows.filter("next_start is null").withColumn(
-        "next_start", F.lead("first_start").over(across)
+    return (
+        rows.withColumn("in_slice", F.lead("level_start").over(in_slice))
+        .join(slices, [USER, _SLICE])
+        .select(
+            USER,
+            "level",
+            "level_start",
+            F.coalesce("in_slice", "next_slice_start").alias("next_start"),
+        )
     )
-    return inner.unionByName(last).select(USER, "level", "level_start", "next_start")
 
 
 def attribute_to_level(

@@ -85,10 +85,14 @@ def _active_days(
 
 
 def dau_by_label(
-    tables: EventTables, spec: CohortSpec, labels: DataFrame, columns: Mapping[str, str]
+    tables: EventTables,
+    spec: CohortSpec,
+    labels: DataFrame,
+    columns: Mapping[str, str],
+    few_users: bool = False,
 ) -> DataFrame:
     """Active users per day, a column per label."""
-    daily = _active_days(tables, spec, labels)
+    daily = _active_days(tables, spec, labels, few_users)
     return pivot_labels(daily, DAY, columns, value=F.col("dau"), how=F.max).orderBy(DAY)
 
 
@@ -122,17 +126,19 @@ def retention(
     tables: EventTables,
     labels: DataFrame,
     days: int = 7,
-    dates: DateRange | None = None,
+    first_open: DateRange | None = None,
     few_users: bool = False,
 ) -> DataFrame:
     """Users of each segment who were active ``day_number`` days after first open.
 
-    ``dates`` only limits which days of activity are read.
+    ``first_open`` is the window in which all labelled users opened the game, if there
+    is one: days past its end and ``days`` more can't matter and are not read.
     """
     labelled = labels.filter(f"{LABEL} is not null")
     opened = tables.get("first_open", USER, DAY).groupBy(USER).agg(
         F.min(DAY).alias("first_open_date")
     )
+    dates = None if first_open is None else first_open.until(days)
     active = tables.get("user_engagement", USER, DAY, dates=dates).distinct()
     day_number = calendar_days(F.col("first_open_date"), F.col(DAY))
     return (
@@ -150,12 +156,12 @@ def retention_rate(
     tables: EventTables,
     labels: DataFrame,
     days: int = 7,
-    dates: DateRange | None = None,
+    first_open: DateRange | None = None,
     few_users: bool = False,
 ) -> DataFrame:
     """Adds retained users as a fraction of the segment's day-0 users."""
     retained = with_baseline(
-        retention(tables, labels, days, dates, few_users),
+        retention(tables, labels, days, first_open, few_users),
         "day_number",
         0,
         {"retained_users": "day0_users"},

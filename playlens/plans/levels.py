@@ -21,7 +21,7 @@ from playlens.operators import (
 
 def user_max_level(tables: EventTables, user: str | None = None) -> DataFrame:
     """The highest level each user started, or only one user's."""
-    starts = tables.get("start_level", USER, "level")
+    starts = tables.get("start_level", USER, "level").filter(f"{USER} is not null")
     if user is not None:
         starts = starts.filter(F.col(USER) == user)
     return starts.groupBy(USER).agg(F.max("level").alias("max_level"))
@@ -97,30 +97,44 @@ def level_outcomes_by_label(
 
 
 def winrate_by_label(
-    tables: EventTables, labels: DataFrame, max_level: int | None = None
+    tables: EventTables,
+    labels: DataFrame,
+    max_level: int | None = None,
+    few_users: bool = False,
 ) -> DataFrame:
-    outcomes = level_outcomes_by_label(tables, labels, max_level).drop("apu")
+    outcomes = level_outcomes_by_label(tables, labels, max_level, few_users).drop("apu")
     return outcomes.orderBy("segment", "level")
 
 
 def winrate_rolling_by_label(
-    tables: EventTables, labels: DataFrame, max_level: int = 50
+    tables: EventTables,
+    labels: DataFrame,
+    max_level: int | None = None,
+    few_users: bool = False,
 ) -> DataFrame:
-    """Win rate averaged over five neighbouring levels, cut to ``max_level`` first."""
-    outcomes = level_outcomes_by_label(tables, labels, max_level)
+    """Win rate averaged over five neighbouring levels, cut to ``max_level`` first if given."""
+    outcomes = level_outcomes_by_label(tables, labels, max_level, few_users)
     smooth = centered_mean(outcomes, {"winrate": "rolling_winrate"}, "level", by=["segment"])
     return smooth.select("segment", "level", "rolling_winrate").orderBy("segment", "level")
 
 
-def apu_by_label(tables: EventTables, labels: DataFrame, max_level: int = 50) -> DataFrame:
+def apu_by_label(
+    tables: EventTables,
+    labels: DataFrame,
+    max_level: int | None = None,
+    few_users: bool = False,
+) -> DataFrame:
     """Attempts per user, as they are and averaged over five neighbouring levels."""
-    outcomes = level_outcomes_by_label(tables, labels, max_level)
+    outcomes = level_outcomes_by_label(tables, labels, max_level, few_users)
     smooth = centered_mean(outcomes, {"apu": "rolling_apu"}, "level", by=["segment"])
     return smooth.select("segment", "level", "apu", "rolling_apu").orderBy("segment", "level")
 
 
 def level_curves_by_label(
-    tables: EventTables, labels: DataFrame, max_level: int = 50, few_users: bool = False
+    tables: EventTables,
+    labels: DataFrame,
+    max_level: int | None = None,
+    few_users: bool = False,
 ) -> DataFrame:
     """Win rate and attempts per user, both also smoothed, from one pass."""
     outcomes = level_outcomes_by_label(tables, labels, max_level, few_users)
@@ -155,10 +169,13 @@ def level_split_by_label(
     labels: DataFrame,
     columns: Mapping[str, str],
     shares: Mapping[str, str],
-    below_level: int = 200,
+    below_level: int | None = None,
+    few_users: bool = False,
 ) -> DataFrame:
     """Users per level with their total and each label's percentage of it."""
-    users = level_users_by_label(tables, spec, labels, columns).filter(f"level < {below_level}")
+    users = level_users_by_label(tables, spec, labels, columns, few_users)
+    if below_level is not None:
+        users = users.filter(f"level < {below_level}")
     total = sum((F.col(c) for c in columns.values()), F.lit(0))
     return (
         users.withColumn("total", total)

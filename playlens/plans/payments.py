@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playlens.functions import elapsed_days, ratio, time_bucket
-from playlens.functions.columns import MICROS_PER_DAY
+from playlens.functions.columns import MICROS_PER_DAY, MICROS_PER_HOUR
 from playlens.model import LABEL, TIME, USER, CohortSpec, DateRange, EventTables, Scope
 from playlens.operators import (
     attribute_to_level,
@@ -51,27 +51,37 @@ def _purchases(tables: EventTables, scope: Scope) -> DataFrame:
     return tables.get("in_app_purchase", USER, TIME, scope=scope)
 
 
-def _starts(tables: EventTables, scope: Scope) -> DataFrame:
+def _starts(tables: EventTables, scope: Scope, slice_micros: int) -> DataFrame:
     """Level starts of users who bought something, before anything is sorted.
 
-    Both sides of the join are plain scans, so that Spark can send the buyers
-    around if they are few, and else split the starts of a very busy buyer.
+    A busy buyer counts once per time slice.  Grouping by user alone would place the
+    buyers for the join, and Spark could not split the starts of a very busy one.
     """
     starts = tables.get("start_level", USER, TIME, "level", scope=scope)
-    return in_users(starts, _purchases(tables, scope))
+    number = time_bucket(F.col(TIME), slice_micros).alias("slice")
+    return in_users(starts, _purchases(tables, scope).select(USER, number).distinct())
 
 
-def first_purchase_by_level(tables: EventTables, scope: Scope) -> DataFrame:
-    """Users whose first purchase fell in an attempt at each level."""
+def first_purchase_by_level(
+    tables: EventTables, scope: Scope, slice_micros: int = MICROS_PER_HOUR
+) -> DataFrame:
+    """Users whose first purchase fell in an attempt at each level.
+
+    ``slice_micros`` as in :mod:`playlens.operators.intervals`, here and below.
+    """
     first = first_per_user(_purchases(tables, scope)).withColumn("first_purchases", F.lit(1))
-    attributed = attribute_to_level(first, _starts(tables, scope), ["first_purchases"])
+    starts = _starts(tables, scope, slice_micros)
+    attributed = attribute_to_level(first, starts, ["first_purchases"], slice_micros)
     return attributed.groupBy("level").agg(F.count(USER).alias("num_first_iap")).orderBy("level")
 
 
-def purchases_by_level(tables: EventTables, scope: Scope) -> DataFrame:
+def purchases_by_level(
+    tables: EventTables, scope: Scope, slice_micros: int = MICROS_PER_HOUR
+) -> DataFrame:
     """Payers and purchases per level whose attempt they fell in."""
     bought = _purchases(tables, scope).groupBy(USER, TIME).agg(F.count("*").alias("purchases"))
-    attributed = attribute_to_level(bought, _starts(tables, scope), ["purchases"])
+    starts = _starts(tables, scope, slice_micros)
+    attributed = attribute_to_level(bought, starts, ["purchases"], slice_micros)
     return (
         attributed.groupBy("level")
         .agg(F.count(USER).alias("num_iap_users"), F.sum("purchases").alias("num_purchases"))
@@ -79,7 +89,12 @@ def purchases_by_level(tables: EventTables, scope: Scope) -> DataFrame:
     )
 
 
-def purchases_vs_first(tables: EventTables, scope: Scope, below_level: int = 200) -> DataFrame:
+def purchases_vs_first(
+    tables: EventTables,
+    scope: Scope,
+    below_level: int | None = None,
+    slice_micros: int = MICROS_PER_HOUR,
+) -> DataFrame:
     """All and first purchases per level side by side, 0 where there are none.
 
     Both kinds of purchase go through one attribution, so the level starts are
@@ -91,11 +106,15 @@ def purchases_vs_first(tables: EventTables, scope: Scope, below_level: int = 200
         first_per_user(purchases).withColumn("first_purchases", F.lit(1)),
     ).na.fill(0, ["purchases", "first_purchases"])
     attributed = attribute_to_level(
-        points, _starts(tables, scope), ["purchases", "first_purchases"]
+        points,
+        _starts(tables, scope, slice_micros),
+        ["purchases", "first_purchases"],
+        slice_micros,
     )
+    if below_level is not None:
+        attributed = attributed.filter(f"level < {below_level}")
     return (
-        attributed.filter(f"level < {below_level}")
-        .groupBy("level")
+        attributed.groupBy("level")
         .agg(
             F.count_if(F.col("purchases") > 0).alias("num_iap_users"),
             F.sum("purchases").alias("num_purchases"),

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from playlens.functions import elapsed_days, ratio
 from playlens.model import LABEL, TIME, USER, CohortSpec, DateRange, EventTables
 from playlens.operators import (
-    count_users,
     label_by_membership,
     memberships,
     segment_users,
@@ -144,7 +143,8 @@ def cohort_payer_labels(tables: EventTables, spec: CohortSpec) -> DataFrame:
 
 def cohort_split_counts(tables: EventTables, spec: CohortSpec) -> DataFrame:
     """How many cohort users ever paid and how many did not."""
-    return count_users(cohort_payer_labels(tables, spec), LABEL)
+    labels = cohort_payer_labels(tables, spec)
+    return labels.groupBy(LABEL).agg(F.count(USER).alias("num_user"))
 
 
 def segment_sizes(labels: DataFrame) -> DataFrame:

@@ -2,28 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from uuid import uuid4
 
 from pyspark.sql import DataFrame
 
-from playlens.model import LABEL, CohortSpec, EventTables, quoted
+from playlens.model import LABEL, CohortSpec, DateRange, EventTables, quoted
 from playlens.plans import activity, levels, payments, segments, usage
 
 
-def keep(labels: DataFrame) -> DataFrame:
+@dataclass
+class Kept:
+    """Labels worked out once; ``release`` gives back what holds them, also at the end of a ``with``."""
+
+    frame: DataFrame
+    release: Callable[[], None]
+
+    def __enter__(self) -> DataFrame:
+        return self.frame
+
+    def __exit__(self, *failure: object) -> None:
+        self.release()
+
+
+def keep(labels: DataFrame, folder: str | None = None) -> Kept:
     """Labels worked out once for many analyses.
 
-    Where the cluster names a checkpoint folder they are written to a table in
-    it, whose size Spark then knows; otherwise they are cached, and worked out
-    again where an executor was lost.
+    With a ``folder`` that all executors share they are written to a new table in
+    it at once, whose size Spark then knows; ``release`` deletes that table.  Without one
+    they are cached as they are first read, and worked out again where an executor
+    was lost; ``release`` drops the cache.
     """
-    spark = labels.sparkSession
-    folder = spark.sparkContext.getCheckpointDir()
     if folder is None:
-        return labels.persist()
+        cached = labels.persist()
+        return Kept(cached, lambda: cached.unpersist() and None)
+    spark = labels.sparkSession
     path = f"{folder}/labels-{uuid4().hex}"
     labels.write.parquet(path)
-    return spark.read.schema(labels.schema).parquet(path)
+
+    def delete() -> None:
+        found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        settings = spark.sparkContext._jsc.hadoopConfiguration()
+        found.getFileSystem(settings).delete(found, True)
+
+    return Kept(spark.read.schema(labels.schema).parquet(path), delete)
 
 
 def compare_segments(
@@ -33,13 +56,17 @@ def compare_segments(
     one: str,
     other: str,
     few_users: bool = True,
+    max_level: int | None = None,
+    first_open: DateRange | None = None,
 ) -> dict[str, DataFrame]:
-    """The comparisons of two segments by name, all on the same kept labels.
+    """The comparisons of two segments by name, all on the same labels and all lazy.
 
-    Cohorts of some days are a small part of all players, so events of others
-    are dropped early unless ``few_users`` is unset.
+    Every comparison reads ``labels``, so they are best kept by :func:`keep`.  Cohorts
+    of some days are a small part of all players, so events of others are dropped
+    early unless ``few_users`` is unset.  ``max_level`` cuts the level curves;
+    ``first_open`` as in :func:`playlens.plans.activity.retention`.
     """
-    kept = keep(labels)
+    kept = labels
     pair = kept.filter(f"{LABEL} in ({quoted(one)}, {quoted(other)})")
     few = {"few_users": few_users}
 
@@ -56,8 +83,8 @@ def compare_segments(
         "daily_activity": activity.dau_pct_by_label(
             tables, spec, kept, names("percent_dau_{}"), **few
         ),
-        "retention": activity.retention_rate(tables, pair, **few),
-        "level_curves": levels.level_curves_by_label(tables, pair, **few),
+        "retention": activity.retention_rate(tables, pair, first_open=first_open, **few),
+        "level_curves": levels.level_curves_by_label(tables, pair, max_level, **few),
         "funnel": levels.funnel_by_label(
             tables, spec, pair, names("user_{}"), names("{}_drop"), **few
         ),

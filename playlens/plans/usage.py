@@ -61,27 +61,32 @@ def usage_by_level(
     labels: DataFrame,
     uses: Mapping[str, str],
     segments: tuple[str, ...] = (BEST, WORST),
+    few_users: bool = False,
 ) -> DataFrame:
     """Starters, starts and uses per level for each segment.
 
     ``uses`` maps a short name to its event table.  Uses at a level the user
     never started do not count; levels stay even if no segment reached them.
+    Only users of the segments are joined and counted; the levels come by themselves.
     """
-    per_user = counts_per_user_level(tables, {"started": "start_level", **uses}).filter(
-        "started > 0"
-    )
+    per_user = counts_per_user_level(tables, {"started": "start_level", **uses})
+    labelled = labels.filter(F.col(LABEL).isin(*segments))
     columns = []
     for segment in segments:
-        mine = F.col(LABEL) == segment
+        mine = (F.col(LABEL) == segment) & (F.col("started") > 0)
         columns += [
             F.count(F.when(mine, F.col(USER))).alias(f"num_user_{segment}_start"),
-            F.sum(F.when(mine, F.col("started")).otherwise(0)).alias(f"num_start_{segment}"),
-            *(
-                F.sum(F.when(mine, F.col(use)).otherwise(0)).alias(f"num_{use}_{segment}")
-                for use in uses
-            ),
+            F.sum(F.when(mine, F.col("started"))).alias(f"num_start_{segment}"),
+            *(F.sum(F.when(mine, F.col(use))).alias(f"num_{use}_{segment}") for use in uses),
         ]
-    return per_user.join(labels, USER, "left").groupBy("level").agg(*columns)
+    # No filter on the counts: it would keep the semi join from the scans.
+    counted = join_labels(per_user, labelled, few_users).groupBy("level").agg(*columns)
+    names = [c for c in counted.columns if c != "level"]
+    counted = counted.withColumnRenamed("level", "reached")
+    levels = tables.get("start_level", "level").distinct()
+    return levels.join(counted, F.col("level").eqNullSafe(F.col("reached")), "left").select(
+        "level", *(F.coalesce(F.col(name), F.lit(0)).alias(name) for name in names)
+    )
 
 
 def use_per_starter_by_level(
@@ -89,23 +94,22 @@ def use_per_starter_by_level(
     labels: DataFrame,
     use: str,
     event: str,
-    max_level: int = 50,
+    max_level: int | None = None,
     segments: tuple[str, ...] = (BEST, WORST),
+    few_users: bool = False,
 ) -> DataFrame:
-    """:func:`usage_by_level` of one event up to a level, with uses per starter."""
-    usage = usage_by_level(tables, labels, {use: event}, segments)
-    return (
-        usage.filter(f"level <= {max_level}")
-        .withColumns(
-            {
-                f"num_{use}_per_{segment}": ratio(
-                    F.col(f"num_{use}_{segment}"), F.col(f"num_user_{segment}_start")
-                )
-                for segment in segments
-            }
-        )
-        .orderBy("level")
-    )
+    """:func:`usage_by_level` of one event, up to a level if given, with uses per starter."""
+    usage = usage_by_level(tables, labels, {use: event}, segments, few_users)
+    if max_level is not None:
+        usage = usage.filter(f"level <= {max_level}")
+    return usage.withColumns(
+        {
+            f"num_{use}_per_{segment}": ratio(
+                F.col(f"num_{use}_{segment}"), F.col(f"num_user_{segment}_start")
+            )
+            for segment in segments
+        }
+    ).orderBy("level")
 
 
 def overall_usage(
@@ -120,12 +124,17 @@ def overall_usage(
     The denominator adds up each level's starters, so a user counts once for
     every level started.
     """
-    per_user = counts_per_user_level(tables, {"started": "start_level", **uses}).filter(
-        "started > 0"
-    )
+    per_user = counts_per_user_level(tables, {"started": "start_level", **uses})
     labelled = labels.filter(F.col(LABEL).isin(*segments))
+    started = F.col("started") > 0
+    starters = F.count(F.when(started, F.col(USER)))
     return (
         join_labels(per_user, labelled, few_users)
         .groupBy(F.col(LABEL).alias("segment"))
-        .agg(*(ratio(F.sum(use), F.count(USER)).alias(f"{use}_per") for use in uses))
+        .agg(
+            starters.alias("starters"),
+            *(ratio(F.sum(F.when(started, F.col(use))), starters).alias(f"{use}_per") for use in uses),
+        )
+        .filter("starters > 0")
+        .drop("starters")
     )

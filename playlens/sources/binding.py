@@ -71,13 +71,24 @@ _DERIVED = {
 }
 _FROM_CUSTOMER = {"country", "mobile_name"}
 
+# A harder log from the same rows: a third of the events are of one user, a seventh of
+# nobody, there are 100 levels, and times are cut to whole hours, so that many are equal.
+_HARD = {
+    USER: "case when event_id % 7 = 0 then null when event_id % 3 = 0 then '1' "
+    "else cast(user_id as string) end",
+    TIME: f"({_DERIVED[TIME]} div 3600000000) * 3600000000",
+    "level": f"{_K} % 100 + 1",
+}
+
 
 class _Log:
     """The test tables, each opened once."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, hard: bool = False):
         self._spark = spark
         self._dir = sf_dir
+        self._hard = hard
+        self._derived = {**_DERIVED, **(_HARD if hard else {})}
 
     def _table(self, name: str, schema: str) -> DataFrame:
         return self._spark.read.schema(schema).parquet(f"{self._dir}/{name}.parquet")
@@ -89,6 +100,8 @@ class _Log:
     @cached_property
     def first_opens(self) -> DataFrame:
         signups = self.events.filter("event_type = 'signup'")
+        if self._hard:  # every signup opens the game anew
+            return signups
         return signups.groupBy("user_id").agg(F.min("ts").alias("ts"))
 
     @cached_property
@@ -101,12 +114,12 @@ class _Log:
         """Only the wanted columns; customers are joined if one of theirs is among them."""
         if _FROM_CUSTOMER.intersection(columns):
             rows = rows.join(self.customers, "user_id", "left")
-        return rows.selectExpr(*(f"{_DERIVED.get(c, c)} as {c}" for c in columns))
+        return rows.selectExpr(*(f"{self._derived.get(c, c)} as {c}" for c in columns))
 
 
-def bind(spark: SparkSession, sf_dir: str) -> EventTables:
-    """The event tables of one scale factor."""
-    log = _Log(spark, sf_dir)
+def bind(spark: SparkSession, sf_dir: str, hard: bool = False) -> EventTables:
+    """The event tables of one scale factor; ``hard`` for the harder log."""
+    log = _Log(spark, sf_dir, hard)
 
     def load(name: str, columns: Sequence[str]) -> DataFrame:
         if name == "first_open":

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playlens.functions import event_param, parse_event_date
+from playlens.functions import checked, event_param, parse_event_date
 from playlens.model import DAY, TIME, USER
 
 # The part of the export that is read.  Naming it keeps unused fields, also the
@@ -44,6 +45,9 @@ EVENT_FIELDS: dict[str, dict[str, str]] = {
 
 CLUSTER_BY = ("level", "version", "country")
 
+# The partition column of the raw log: the day an event came in.
+SHARD = "shard"
+
 
 def shard_range(events: DataFrame, first: int | str, last: int | str) -> DataFrame:
     """Day shards from ``first`` to ``last`` (``YYYYMMDD``), both included.
@@ -70,12 +74,12 @@ def _flat_columns(
 ) -> list[Column]:
     def typed(key: str, kind: str) -> Column:
         value = event_param(key)
-        return value.cast(kind) if strict else value.try_cast(kind)
+        return value if kind == "string" else checked(value, value.try_cast(kind), key, strict)
 
     return [
         F.col(TIME),
         F.col(USER),
-        parse_event_date(F.col("event_date")).alias(DAY),
+        parse_event_date(F.col("event_date"), strict).alias(DAY),
         F.col("app_info.version").alias("version"),
         F.col("geo.country").alias("country"),
         F.col("platform"),
@@ -93,12 +97,13 @@ def flatten_event(
 ) -> DataFrame:
     """One event of the raw log as a flat table.
 
-    Without a user id an event belongs to nobody and is left out.  A parameter
-    that does not fit its type stops the job, or becomes NULL if not ``strict``.
+    Events without a user id stay: they count as events and as revenue, while user
+    sets leave them out.  A day or a parameter that does not fit its type stops the
+    job, or becomes NULL if not ``strict``, whatever the session's settings.
     """
     params = EVENT_PARAMS.get(event_name, {}) if params is None else params
     fields = EVENT_FIELDS.get(event_name, {}) if fields is None else fields
-    return events.filter((F.col("event_name") == event_name) & F.col(USER).isNotNull()).select(
+    return events.filter(F.col("event_name") == event_name).select(
         *_flat_columns(params, fields, strict)
     )
 
@@ -116,7 +121,10 @@ def _clustered(df: DataFrame, partitions: Sequence[str], cluster_by: Iterable[st
 def write_event_table(
     df: DataFrame, root: str, name: str, cluster_by: Iterable[str] = CLUSTER_BY
 ) -> None:
-    """Creates or replaces one event table, partitioned by day and clustered."""
+    """Creates or replaces one whole event table, partitioned by day and clustered.
+
+    A table is written either by this or, shard by shard, by :func:`write_event_tables`.
+    """
     rows = _clustered(df, [DAY], cluster_by)
     rows.write.mode("overwrite").partitionBy(DAY).parquet(f"{root}/table={name}")
 
@@ -125,14 +133,21 @@ def write_event_tables(
     events: DataFrame,
     names: Iterable[str],
     root: str,
+    shards: tuple[int | str, int | str] | None = None,
     strict: bool = True,
     cluster_by: Iterable[str] = CLUSTER_BY,
 ) -> None:
     """Writes many event tables in one pass over the raw log.
 
-    Days that come in are replaced; other days, and tables not named, stay as
-    they are, so that a log can be flattened a range of shards at a time.  All
-    tables share the columns any of them needs; an event leaves the others
+    ``shards`` is the first and last day shard to flatten; without it all of them
+    are.  Tables are partitioned by the shard an event came in and then by its own day, and the
+    named tables' shards of that range are replaced as a whole: a late event leaves
+    the rest of its day alone, and what a shard no longer holds goes.  Other
+    shards, and tables not named, stay as they are.  Rows are first written next to
+    the tables, so that a failing job leaves those alone; one that ends while
+    folders are moved is to be run again.
+
+    All tables share the columns any of them needs; an event leaves the others
     NULL, and parquet stores such a column as almost nothing.
     """
     names = list(names)
@@ -141,13 +156,41 @@ def write_event_tables(
     for name in names:
         params |= EVENT_PARAMS.get(name, {})
         fields |= EVENT_FIELDS.get(name, {})
-    flat = events.filter(F.col("event_name").isin(*names) & F.col(USER).isNotNull()).select(
-        F.col("event_name").alias("table"), *_flat_columns(params, fields, strict)
-    )
-    rows = _clustered(flat, ["table", DAY], cluster_by)
-    (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("table", DAY)
-        .parquet(root)
+    if shards is not None:
+        events = shard_range(events, *shards)
+    flat = events.filter(F.col("event_name").isin(*names)).select(
+        F.col("event_name").alias("table"), SHARD, *_flat_columns(params, fields, strict)
     )
+    rows = _clustered(flat, ["table", SHARD, DAY], cluster_by)
+    fresh = f"{root}/_flattened-{uuid4().hex}"
+    rows.write.partitionBy("table", SHARD, DAY).parquet(fresh)
+    _replace_shards(events.sparkSession, fresh, root, names, shards)
+
+
+def _replace_shards(
+    spark: SparkSession,
+    fresh: str,
+    root: str,
+    names: Iterable[str],
+    shards: tuple[int | str, int | str] | None,
+) -> None:
+    """Moves freshly written shards into the tables; replaced ones and empty ones go."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def shard_folders(table: str) -> dict[str, object]:
+        found = files.globStatus(path(f"{table}/{SHARD}=*")) or []
+        return {f.getPath().getName(): f.getPath() for f in found}
+
+    for name in names:
+        table = f"{root}/table={name}"
+        for folder, old in shard_folders(table).items():
+            number = folder.partition("=")[2]
+            if shards is None or number.isdigit() and int(shards[0]) <= int(number) <= int(shards[1]):
+                files.delete(old, True)
+        files.mkdirs(path(table))
+        for folder, new in shard_folders(f"{fresh}/table={name}").items():
+            if not files.rename(new, path(f"{table}/{folder}")):
+                raise OSError(f"{new.toString()} can't be moved to {table}")
+    files.delete(path(fresh), True)

@@ -77,6 +77,29 @@ market_engaged AS (
 """
 
 
+# The same for the harder log of the binding.
+_HARD_BASE = (
+    _BASE.replace(
+        f"CAST(user_id AS VARCHAR) AS {U}, epoch_us(ts) AS event_timestamp",
+        "CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 3 = 0 THEN '1' "
+        f"ELSE CAST(user_id AS VARCHAR) END AS {U}, "
+        "epoch_us(ts) // 3600000000 * 3600000000 AS event_timestamp",
+    )
+    .replace("% 10 + 1 AS level", "% 100 + 1 AS level")
+    .replace(
+        f"""
+  QUALIFY row_number() OVER (PARTITION BY {U} ORDER BY event_timestamp) = 1""",
+        "",
+    )
+    .replace(f"SELECT DISTINCT {U} FROM", f"SELECT DISTINCT {U} FROM known_")
+)
+# Sets take only known users.
+for _table in ("first_open", "in_app_purchase", "ads_reward_complete", "user_engagement"):
+    _HARD_BASE = _HARD_BASE.replace(
+        f"FROM known_ {_table} WHERE", f"FROM {_table} WHERE {U} IS NOT NULL AND"
+    )
+
+
 def _labels(name: str, base: str, cohort: str, acted: str, excluded: str, yes: str, no: str) -> str:
     """Users of ``base`` labelled by left joins to the sets that decide."""
     return f"""
@@ -149,7 +172,7 @@ attempt AS (
   SELECT {U}, level, event_timestamp AS level_start,
          lead(event_timestamp) OVER (PARTITION BY {U} ORDER BY event_timestamp, level)
            AS next_start
-  FROM start_level WHERE {scope}
+  FROM start_level WHERE {U} IS NOT NULL AND {scope}
 )"""
 
 
@@ -387,6 +410,42 @@ kept AS (
     )
 
 
+# Twins that hold for the harder log as they are, by registered name.
+HARD = {
+    f"hard_{name}": name
+    for name in (
+        "revenue_by_country",
+        "level_outcomes",
+        "ads_per_user_by_country",
+        "payer_segments",
+        "ad_segments",
+        "apu_by_payer",
+        "winrate_by_payer",
+        "purchases_by_level",
+        "purchases_vs_first",
+        "retention",
+        "days_to_first_purchase",
+        "user_max_level",
+        "level_intervals",
+        "first_per_user",
+        "booster_by_level_skill",
+    )
+}
+
+# Queries that drop other players early, and the plain ones they must agree with.
+FEW = {
+    f"{name}_few_users": name
+    for name in (
+        "winrate_by_skill",
+        "winrate_rolling_by_ad",
+        "apu_by_payer",
+        "dau_by_payer",
+        "level_users_by_ad",
+        "booster_by_level_skill",
+    )
+}
+
+
 def statements() -> dict[str, str]:
     found = {
         "event_names": _sql(
@@ -532,7 +591,10 @@ FROM cohort JOIN first_open f USING ({U}) LEFT JOIN first_purchase p USING ({U})
         ),
         "early_payer_level_segments": _first_times("in_app_purchase", 10, "iap", "non_iap"),
         "user_max_level": _sql(
-            f"SELECT {U}, max(level) AS max_level FROM start_level GROUP BY {U}"
+            f"SELECT {U}, max(level) AS max_level FROM start_level WHERE {U} IS NOT NULL GROUP BY {U}"
+        ),
+        "user_max_level_of_one": _sql(
+            f"SELECT {U}, max(level) AS max_level FROM start_level WHERE {U} = '1' GROUP BY {U}"
         ),
         "level_outcomes": _sql(
             f"""
@@ -640,8 +702,8 @@ FROM in_app_purchase GROUP BY event_date"""
         ),
         "first_per_user": _sql(
             f"""
-SELECT {U}, event_timestamp, event_value_in_usd FROM in_app_purchase
-QUALIFY row_number() OVER (PARTITION BY {U} ORDER BY event_timestamp) = 1"""
+SELECT {U}, event_timestamp, event_value_in_usd FROM in_app_purchase WHERE {U} IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY {U} ORDER BY event_timestamp, event_value_in_usd) = 1"""
         ),
         "level_intervals": _sql("SELECT * FROM attempt", _intervals("true")),
         "attribute_to_level": _sql(
@@ -656,4 +718,14 @@ GROUP BY ALL""",
         found[f"winrate_rolling_by_{name}"] = _winrate_rolling(labels)
         found[f"apu_by_{name}"] = _apu(labels)
         found[f"level_curves_by_{name}"] = _curves(labels)
-    return found
+    found["apu_by_payer_all_levels"] = _apu("payer_lists").replace(" WHERE level <= 50", "")
+    found |= {few: found[name] for few, name in FEW.items()}
+    return found | {hard: _on_hard_log(found[name]) for hard, name in HARD.items()}
+
+
+def _on_hard_log(sql: str) -> str:
+    """A statement over the harder log, without the cuts at level 50 and 200 that it has plenty of."""
+    hard = sql.replace(_BASE.strip(), _HARD_BASE.strip())
+    for cut in (" WHERE level <= 50", " WHERE level < 200", "  WHERE level <= 50"):
+        hard = hard.replace(cut, "")
+    return hard

@@ -62,18 +62,53 @@ def test_flatten_takes_the_event_in_the_shard_range(raw):
     }
     assert dict(flat.dtypes)["level"] == "bigint"
     assert dict(flat.dtypes)["event_date"] == "date"
-    # A start without the parameter stays, without a level; one without a user goes.
+    # A start without the parameter stays, without a level, and so does one without a user.
     assert [r[0] for r in flat.select("user_pseudo_id").orderBy("event_timestamp").collect()] == [
-        "a", "b", "c",
+        "a", "b", None, "c",
     ]
-    assert _levels(flat.filter("level is not null")) == [("a", "2025-03-01", 7)]
+    known = flat.filter("level is not null and user_pseudo_id is not null")
+    assert _levels(known) == [("a", "2025-03-01", 7)]
 
 
-def test_flatten_strict_and_lenient(spark):
-    raw = _raw(spark, [("20250301", 1, "start_level", "a", {"level": "x"})])
-    with pytest.raises(PySparkException):
-        flatten_event(raw, "start_level").collect()
-    assert flatten_event(raw, "start_level", strict=False).first().level is None
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_flatten_strict_and_lenient(spark, ansi):
+    bad_level = _raw(spark, [("20250301", 1, "start_level", "a", {"level": "x"})])
+    bad_day = bad_level.withColumn("event_date", F.lit("2025-3"))
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        for raw in (bad_level, bad_day):
+            with pytest.raises(PySparkException):
+                flatten_event(raw, "start_level").collect()
+        assert flatten_event(bad_level, "start_level", strict=False).first().level is None
+        assert flatten_event(bad_day, "start_level", strict=False).first().event_date is None
+        nothing = bad_level.withColumn("event_params", F.expr("filter(event_params, p -> false)"))
+        assert flatten_event(nothing, "start_level").first().level is None
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_events_without_a_user_count_as_events_and_as_revenue(spark):
+    from playlens.plans.levels import user_max_level
+    from playlens.plans.payments import payer_count, revenue_by_country
+
+    raw = _raw(
+        spark,
+        [
+            ("20250301", 1, "in_app_purchase", "a", {}),
+            ("20250301", 2, "in_app_purchase", None, {}),
+            ("20250301", 3, "start_level", "a", {"level": "1"}),
+            ("20250301", 4, "start_level", None, {"level": "1"}),
+            ("20250301", 5, "win_level", None, {"level": "1"}),
+            ("20250301", 6, "lose_level", "a", {"level": "2"}),
+        ],
+    )
+    names = ("in_app_purchase", "start_level", "win_level", "lose_level")
+    tables = EventTables.from_frames({name: flatten_event(raw, name) for name in names})
+    assert revenue_by_country(tables, Scope()).first().revenue == 3.0
+    assert payer_count(tables).first()[0] == 1
+    assert tuple(level_outcomes(tables).first()) == (1, 1, 2, 1, 0)
+    assert user_max_level(tables).collect() == [("a", 1)]
 
 
 def test_first_of_repeated_parameters_counts(spark):
@@ -120,7 +155,7 @@ def test_written_table_is_pruned_by_day(spark, raw, tmp_path):
         scope=Scope(platform="IOS", countries=("US",)),
         dates=DateRange("2025-03-01", "2025-04-15"),
     )
-    assert len(starts.collect()) == 3
+    assert len(starts.collect()) == 4  # one of them without a user
     plan = starts._jdf.queryExecution().executedPlan().toString()
     partition_filters = plan[plan.index("PartitionFilters") : plan.index("PushedFilters")]
     assert "event_date" in partition_filters
@@ -146,7 +181,6 @@ def test_all_tables_in_one_pass(spark, sf_dir, tmp_path):
         single = flatten_event(log, name)
         together = stored.get(name, *single.columns)
         assert together.exceptAll(single).isEmpty() and single.exceptAll(together).isEmpty()
-        assert together.filter("user_pseudo_id is null").isEmpty()
     outcomes = [sorted(map(repr, level_outcomes(t).collect())) for t in (stored, bound)]
     assert outcomes[0] == outcomes[1]
 
@@ -162,7 +196,12 @@ def test_tables_from_the_catalog(spark, raw):
         spark.catalog.dropTempView("start_level")
 
 
-def test_only_days_that_come_in_are_replaced(spark, raw, tmp_path):
+def _stored(spark, root, name):
+    rows = EventTables.from_parquet(spark, root).get(name, "user_pseudo_id", "event_date").collect()
+    return sorted((str(r[0]), r[1].isoformat()) for r in rows)
+
+
+def test_only_shards_that_are_asked_for_are_replaced(spark, raw, tmp_path):
     root = str(tmp_path / "flat")
     write_event_tables(raw, ["start_level", "win_level", "in_app_purchase"], root)
     again = _raw(
@@ -170,20 +209,46 @@ def test_only_days_that_come_in_are_replaced(spark, raw, tmp_path):
         [
             ("20250301", 9, "start_level", "z", {"level": "1"}),
             ("20250301", 9, "win_level", "z", {"level": "1"}),
+            ("20250416", 9, "start_level", "z", {"level": "1"}),
         ],
     )
-    write_event_tables(again, ["start_level"], root)
+    write_event_tables(again, ["start_level"], root, (20250301, "20250301"))
+    assert ("z", "2025-03-01") in _stored(spark, root, "start_level")
+    assert ("a", "2025-03-01") not in _stored(spark, root, "start_level")
+    assert ("b", "2025-04-15") in _stored(spark, root, "start_level")
+    assert ("z", "2025-04-16") not in _stored(spark, root, "start_level")
+    assert _stored(spark, root, "win_level") == [("a", "2025-04-02")]
+    assert _stored(spark, root, "in_app_purchase") == [("a", "2025-04-10")]
+    assert not list((tmp_path / "flat").glob("_flattened*"))
+
+
+def test_a_late_event_leaves_the_rest_of_its_day(spark, tmp_path):
+    root = str(tmp_path / "flat")
+    day = [("20250301", i, "start_level", f"u{i}", {"level": "1"}) for i in range(5)]
+    write_event_tables(_raw(spark, day), ["start_level"], root, (20250301, 20250301))
+    late = _raw(spark, [("20250301", 9, "start_level", "late", {"level": "1"})])
+    late = late.withColumn("shard", F.lit(20250302))
+    for _ in range(2):  # flattening a shard again changes nothing
+        write_event_tables(late, ["start_level"], root, (20250302, 20250302))
+        stored = _stored(spark, root, "start_level")
+        assert stored == sorted([(f"u{i}", "2025-03-01") for i in range(5)] + [("late", "2025-03-01")])
     tables = EventTables.from_parquet(spark, root)
+    assert tables.get("start_level", "level", dates=DateRange("2025-03-01", "2025-03-01")).count() == 6
 
-    def users(name):
-        rows = tables.get(name, "user_pseudo_id", "event_date").collect()
-        return sorted((r[0], r[1].isoformat()) for r in rows)
 
-    assert ("z", "2025-03-01") in users("start_level")
-    assert ("a", "2025-03-01") not in users("start_level")
-    assert ("b", "2025-04-15") in users("start_level")
-    assert users("win_level") == [("a", "2025-04-02")]
-    assert users("in_app_purchase") == [("a", "2025-04-10")]
+def test_events_that_a_shard_no_longer_holds_go(spark, tmp_path):
+    root = str(tmp_path / "flat")
+    names = ["start_level", "win_level"]
+    first = [
+        ("20250301", 1, "start_level", "a", {"level": "1"}),
+        ("20250302", 2, "start_level", "b", {"level": "1"}),
+        ("20250301", 3, "win_level", "a", {"level": "1"}),
+    ]
+    write_event_tables(_raw(spark, first), names, root)
+    second = _raw(spark, [("20250301", 3, "win_level", "a", {"level": "1"})])
+    write_event_tables(second, names, root, (20250301, 20250301))
+    assert _stored(spark, root, "start_level") == [("b", "2025-03-02")]
+    assert _stored(spark, root, "win_level") == [("a", "2025-03-01")]
 
 
 def test_a_large_day_is_split_over_sorted_files(spark, tmp_path):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from playlens.plans import activity, levels, payments, segments
+from playlens.plans import activity, levels, payments, segments, usage
 from playlens.plans.study import compare_segments, keep
 from playlens.sources.binding import SPEC, bind
 
@@ -45,18 +45,30 @@ def test_few_users_are_picked_at_the_scan(spark, tables, tmp_path):
     assert below.count("LeftSemi") == 3
 
 
-def test_labels_are_kept_in_the_checkpoint_folder(spark, tables, tmp_path):
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(str(tmp_path))
+def test_few_users_are_picked_at_the_scan_of_usage(spark, tables, tmp_path):
+    path = str(tmp_path / "labels")
+    segments.skill_segments(tables, SPEC).write.parquet(path)
+    labels = spark.read.schema("user_pseudo_id string, user_type string").parquet(path)
+    uses = {"booster": "booster_use"}
+    few = usage.usage_by_level(tables, labels, uses, few_users=True)
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate [user_pseudo_id") :]
+    assert below.count("LeftSemi") == 2
+    assert _rows(few) == _rows(usage.usage_by_level(tables, labels, uses))
+
+
+def test_labels_are_kept_where_the_caller_says(tables, tmp_path):
     labels = segments.ad_lists(tables, SPEC)
-    kept = keep(labels)
-    assert _rows(kept) == _rows(labels)
-    assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+    with keep(labels, str(tmp_path)) as kept:
+        assert _rows(kept) == _rows(labels)
+        assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert len(list(tmp_path.iterdir())) == 1
+    assert not list(tmp_path.iterdir())
 
 
-def test_labels_are_cached_without_a_checkpoint_folder(spark, tables, monkeypatch):
-    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+def test_labels_are_cached_without_a_folder(tables):
     labels = segments.ad_lists(tables, SPEC)
-    cached = keep(labels)
-    assert cached.is_cached and _rows(cached) == _rows(labels)
-    cached.unpersist()
+    kept = keep(labels)
+    assert kept.frame.is_cached and _rows(kept.frame) == _rows(labels)
+    kept.release()
+    assert not kept.frame.is_cached
