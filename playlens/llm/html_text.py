@@ -4,7 +4,8 @@ A page is a sequence of words and tags.  Words score by the elements they stand
 tags score negatively; both weights are log-odds counted on labelled pages, that is
 pages whose own markup names the content with one ``article`` or ``main`` element.  One
 linear scan finds the contiguous run with the largest sum.  Elements that are never
-article text (menus, forms, scripts, notices, comments ...) are left out of the run.
+article text (menus, forms, scripts, notices, comments ...) score nothing and are left out
+of the run.
 """
 
 from __future__ import annotations
@@ -173,13 +174,13 @@ def extract(page: str, weights: dict) -> str:
     for kind, value, *rest in _events(page):
         chain, never = rest[-2:]
         if kind == "tag":
-            score = tags.get(value, -0.5)
+            score = 0.0 if never else tags.get(value, -0.5)
             pieces.append(("", rest[0], never))
         else:
             if chain not in memo:
                 memo[chain] = prior + sum(words.get(key, 0.0) for key in chain)
             n = len(value.split())
-            score = n * (min(memo[chain], -1.0) if never else max(-4.0, min(4.0, memo[chain])))
+            score = 0.0 if never else n * max(-4.0, min(4.0, memo[chain]))
             pieces.append((value, False, never))
         total += score
         if total <= 0:
