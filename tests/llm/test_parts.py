@@ -59,7 +59,8 @@ def test_every_window_holds_a_sampled_gram(texts, least):
         for start in range(len(text) - least + 1):
             assert ((own >= start) & (own + gram <= start + least)).any()
         if len(own):
-            at, first, last = suffix_dedup.windows_of(text, own, least)
+            mine = np.zeros(len(own), np.int64)
+            _, at, first, last = suffix_dedup.windows_of([text], mine, own, least)
             covered = [s for a, b in zip(first, last, strict=True) for s in range(a, b + 1)]
             assert covered == list(range(len(text) - least + 1))
             assert ((at >= first) & (at + gram <= first + least) | (last > first)).all()
