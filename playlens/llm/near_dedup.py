@@ -273,7 +273,9 @@ def clusters(nodes: DataFrame) -> DataFrame:
     )
     pairs = shared.join(written(chosen, "leaders"), "bucket").select("leader", "id").distinct()
     members = written(pairs, "clusters")
-    return members.join(members.groupBy("leader").agg(F.count("*").alias("size")), "leader")
+    # Written, so that both sides are shuffled and Spark can split a large cluster's rows.
+    sizes = written(members.groupBy("leader").agg(F.count("*").alias("size")), "cluster-sizes")
+    return members.join(sizes, "leader")
 
 
 def links(documents: DataFrame, nodes: DataFrame, settings: Settings, *, id_col: str, text_col: str) -> DataFrame:
