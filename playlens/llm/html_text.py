@@ -41,11 +41,15 @@ _RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|select|ti
 _NEVER = frozenset("nav aside footer header form button input label dialog menu head search".split())
 _CONTENT = ("article", "main")
 _CLOSES_P = _BLOCKS - {"html", "body", "head"}
-_NEVER_NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|"
-    r"header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|paywall|popup|promo\w*|related|"
-    r"replies|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widgets?)(?:$|[\s_-])"
+# Words in class names and ids of elements that hold no article text, and words beside
+# which they only describe the layout of what does.
+_NEVER_NAMED = frozenset(
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments"
+    " commentlist consent cookie cookies disqus footer header masthead menu modal nav navbar navigation"
+    " newsletter notice notices pager pagination paywall popup promo promoted promotion related replies"
+    " respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+_LAYOUT = frozenset("article body container content has layout main no page post wrap wrapper with without".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
 _TOKEN = re.compile(
@@ -73,10 +77,16 @@ def _element(tag: str, attrs: str) -> tuple[tuple[str, ...], bool]:
             never = never or value in _ROLES
         elif value:
             keys += [f"{tag}.{part}" for part in value.split()[:4]]
-            never = never or bool(_NEVER_NAMED.search(value)) and tag not in ("html", "body", *_CONTENT)
+            never = never or tag not in ("html", "body", *_CONTENT) and any(map(_names_never, value.split()))
     return tuple(keys), never
 
 
+def _names_never(name: str) -> bool:
+    """If a class name or id starts or ends with a word for what is no article text."""
+    parts = re.split("[_-]+", name)
+    return (parts[0] in _NEVER_NAMED or parts[-1] in _NEVER_NAMED) and not _LAYOUT.intersection(parts)
+
+
 def _events(page: str) -> Iterator[tuple]:
     """``("text", chunk, chain, never)`` and ``("tag", name, is_block, chain, never)`` in page order.
 

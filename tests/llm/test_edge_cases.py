@@ -184,6 +184,8 @@ def test_html(spark):
         (None, "<main><h2>Head</h2><ul><li>first item of it<li>second item of it</ul></main>", "Head\nfirst item of it\nsecond item of it"),
         (5, "<article><script>if (a<b) x()</script><p>body text of it</p><aside>no</aside><form><p>no<input></form>"
             "<div class='comments'><p>not by the author at all</div><p>more body text</p></article>", "body text of it\nmore body text"),
+        (6, "<div class='site-header'><p>name of the site</div><div class='page-with-sidebar'><p>a body of some words</p>"
+            "<p>and more</p><div id='sidebar'><p>what else there is to read</p></div></div>", "a body of some words\nand more"),
     ]
     frame = spark.createDataFrame([p[:2] for p in pages], "page_id long, html string").withColumn("text", F.lit("x"))
     found = html_text.main_text(frame, id_col="page_id", weights=html_text.DEFAULT_WEIGHTS).collect()
