@@ -8,9 +8,11 @@ a game-event log by ``playlens.sources.binding``.  The SQL twins are in
 from __future__ import annotations
 
 import sys
+import tempfile
 from collections.abc import Callable
 from dataclasses import replace
 from pathlib import Path
+from uuid import uuid4
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
@@ -33,7 +35,7 @@ from playlens.operators import (
 )
 from playlens.plans import activity, levels, payments, segments, usage
 from playlens.sources.binding import SPEC, bind, raw_log
-from playlens.sources.ingest import flatten_event, shard_range
+from playlens.sources.ingest import flatten_event, read_events, shard_range, write_event_tables
 
 try:
     import corpus_pipeline
@@ -142,6 +144,30 @@ def _log_queries() -> dict[str, Query]:
     }
 
 
+def _stored_log(spark: SparkSession, sf_dir: str) -> str:
+    """The raw log written by day shard, in the cluster's shared folder if it names one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="playlens-")
+    root = f"{folder}/log-{uuid4().hex}"
+    raw_log(spark, sf_dir).write.partitionBy("shard").parquet(f"{root}/raw")
+    return root
+
+
+def _stored_queries() -> dict[str, Query]:
+    """The way from a stored log to stored event tables and back, a range of shards at a time."""
+
+    def names(spark, sf_dir):
+        return activity.event_names(read_events(spark, f"{_stored_log(spark, sf_dir)}/raw", 20240115))
+
+    def outcomes(spark, sf_dir):
+        root = _stored_log(spark, sf_dir)
+        for shards in ((20240101, 20240118), (20240115, 20240130)):  # some days twice
+            events = read_events(spark, f"{root}/raw", *shards)
+            write_event_tables(events, ["start_level", "win_level", "lose_level"], f"{root}/flat", shards)
+        return levels.level_outcomes(EventTables.from_parquet(spark, f"{root}/flat"))
+
+    return {"stored_event_names": names, "stored_level_outcomes": outcomes}
+
+
 def _activity_queries() -> dict[str, Query]:
     return {
         "dau": _on_tables(lambda t, s: activity.dau(t, platform=s.scope.platform)),
@@ -468,6 +494,7 @@ def queries() -> dict[str, Query]:
     """Every analysis and building block by name."""
     return {
         **_log_queries(),
+        **_stored_queries(),
         **_activity_queries(),
         **_payment_queries(),
         **_segment_queries(),

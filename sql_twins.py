@@ -719,6 +719,13 @@ GROUP BY ALL""",
         found[f"apu_by_{name}"] = _apu(labels)
         found[f"level_curves_by_{name}"] = _curves(labels)
     found["apu_by_payer_all_levels"] = _apu("payer_lists").replace(" WHERE level <= 50", "")
+    found["stored_event_names"] = found["event_names"]
+    found["stored_level_outcomes"] = (
+        found["level_outcomes"]
+        .replace("FROM start_level GROUP", f"FROM start_level WHERE {WHOLE} GROUP")
+        .replace("FROM win_level GROUP", f"FROM win_level WHERE {WHOLE} GROUP")
+        .replace("FROM lose_level GROUP", f"FROM lose_level WHERE {WHOLE} GROUP")
+    )
     found |= {few: found[name] for few, name in FEW.items()}
     return found | {hard: _on_hard_log(found[name]) for hard, name in HARD.items()}
 
