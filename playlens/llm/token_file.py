@@ -28,7 +28,7 @@ LIMIT = 16
 #: Tokens from one checkpoint to the next.
 STEP = 512
 #: Payload of a block in bytes, unless one document alone is larger.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 4 << 20
 #: Tokens handled at once in a task.
 CHUNK = 1 << 18
 
@@ -121,8 +121,8 @@ def decode_block(payload: bytes, checkpoints: np.ndarray, counts: np.ndarray, ta
     place, ends = checkpoints.astype(np.int64)[order], np.cumsum(left)
     out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
     goal, left = (ends - left)[order], left[order]
-    for step in range(int(left[0]) if len(left) else 0):
-        live = np.searchsorted(-left, -step)  # lanes with more tokens than steps done
+    steps = np.arange(int(left[0]) if len(left) else 0)
+    for step, live in enumerate(np.searchsorted(-left, -steps).tolist()):  # lanes with more tokens than steps done
         place, goal = place[:live], goal[:live]
         window = (windows[place >> 3] >> (24 - LIMIT - (place & 7)).astype(np.uint32)) & ((1 << LIMIT) - 1)
         out[goal + step] = ids[window]

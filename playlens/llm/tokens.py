@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import string
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain, pairwise
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -19,7 +20,9 @@ from tokenizers import Tokenizer
 #: The vocabulary file used where a caller names no other.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Pieces between spaces and parts of them that a Python worker remembers, and their characters.
-MEMO_PIECES, MEMO_PARTS, MEMO_CHARS = 500_000, 600_000, 32 << 20
+MEMO_PIECES, MEMO_CHARS = 1_000_000, 32 << 20
+#: Which characters below this are letters doesn't depend on the version of Unicode.
+_STABLE = "\u0590"
 _ODD_SPACE = re.compile(r"[^\S\n]|\n\n")
 
 
@@ -51,57 +54,85 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         self._spaced = np.zeros(self.size, bool)  # ids whose token starts with a space
         self._spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
-        self._first: dict[str, bytes | None] = {}
-        self._later: dict[str, bytes | None] = {}
-        self._parts: dict[str, bytes] = {}
-        self._chars = self._part_chars = 0
+        self._forget()
+
+    def _forget(self) -> None:
+        self._later: dict[str, bytes | None] = {}  # pieces after a space, without it
+        self._parts: dict[str, bytes] = {}  # other strings that are encoded by themselves
+        self._chars = 0
 
     def _ids(self, texts: list[str]) -> Iterator[bytes]:
         for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield np.array(found.ids, "<u4").tobytes()
 
-    def _spaced_ids(self, texts: list[str]) -> Iterable[bytes]:
-        """Ids of texts that all start with their only space, encoded as one string."""
-        found = self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)
+    def _words_ids(self, words: list[str]) -> Iterable[bytes]:
+        """Ids of words without a space, each after one, encoded as one string."""
+        if not words:
+            return []
+        found = self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)
         ids = np.array(found[0].ids, "<u4")
         starts = np.flatnonzero(self._spaced[ids])
-        if len(starts) != len(texts):
-            return self._ids(texts)
+        if len(starts) != len(words):
+            return self._ids([" " + w for w in words])
         data, at = ids.tobytes(), (4 * np.append(starts, len(ids))).tolist()
         return [data[a:b] for a, b in pairwise(at)]
 
-    def _learn(self, memo: dict[str, bytes | None], pieces: set[str], lead: str) -> None:
-        split: dict[str, list[str]] = {}
-        missing: dict[str, None] = {}
-        for piece in pieces:
-            if not piece or piece[0].isspace() or piece[-1].isspace():
-                memo[piece] = None
+    def _whole(self, pieces: list[str], lead: str) -> list[bytes | None]:
+        """The ids of pieces by their parts; None for one that can't stand alone."""
+        split = [
+            None if not p or p[0].isspace() or p[-1].isspace() else _parts_of(p, lead) for p in pieces
+        ]
+        known = self._parts
+        missing = list({part for own in split if own for part in own if part not in known})
+        known.update(zip(missing, self._ids(missing), strict=True))
+        self._chars += sum(map(len, missing))
+        return [own and b"".join([known[part] for part in own]) for own in split]
+
+    def _learn(self, pieces: set[str]) -> None:
+        memo = self._later
+        self._chars += sum(map(len, pieces))
+        words = {p for p in pieces if p.isalpha()}
+        ended, odd = [], []
+        for piece in pieces.difference(words):
+            stem = piece.rstrip(string.punctuation)
+            if stem.isalpha() and (stem.isascii() or max(stem) < _STABLE):
+                ended.append((piece, stem, piece[len(stem) :]))
             else:
-                split[piece] = own = _parts_of(piece, lead)
-                missing.update((p, None) for p in own if p not in self._parts)
-            self._chars += len(piece)
-        spaced = [p for p in missing if p[0] == " "]
-        if spaced:
-            self._parts.update(zip(spaced, self._spaced_ids(spaced), strict=True))
-        other = [p for p in missing if p[0] != " "]
-        self._parts.update(zip(other, self._ids(other), strict=True))
-        self._part_chars += sum(map(len, missing))
-        for piece, own in split.items():
-            memo[piece] = b"".join([self._parts[p] for p in own])
+                odd.append(piece)
+        words.update([stem for _, stem, _ in ended])
+        new = list(words.difference(memo))
+        memo.update(zip(new, self._words_ids(new), strict=True))
+        tails = list({tail for _, _, tail in ended}.difference(self._parts))
+        self._parts.update(zip(tails, self._ids(tails), strict=True))
+        parts = self._parts
+        memo.update([(piece, memo[stem] + parts[tail]) for piece, stem, tail in ended])
+        memo.update(zip(odd, self._whole(odd, " "), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; of an empty one none."""
-        if len(self._later) > MEMO_PIECES or self._chars > MEMO_CHARS:
-            self._first, self._later, self._chars = {}, {}, 0
-        if len(self._parts) > MEMO_PARTS or self._part_chars > MEMO_CHARS:
-            self._parts, self._part_chars = {}, 0
+        """The ids of each text; of an empty one none.
+
+        Python's cycle collector rests meanwhile: it would walk long lists of pieces again and
+        again, and none of them is part of a cycle.
+        """
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        if len(self._later) + len(self._parts) > MEMO_PIECES or self._chars > MEMO_CHARS:
+            self._forget()
         parts = [text.split(" ") for text in texts]
-        self._learn(self._first, {p[0] for p in parts}.difference(self._first), "")
-        self._learn(self._later, set(chain.from_iterable(p[1:] for p in parts)).difference(self._later), " ")
+        self._learn(set(chain.from_iterable(p[1:] for p in parts)).difference(self._later))
+        first = self._whole([p[0] for p in parts], "")
+        later = self._later.__getitem__
         out: list[bytes] = []
-        for text, pieces in zip(texts, parts, strict=True):
+        for text, pieces, head in zip(texts, parts, first, strict=True):
             try:
-                out.append(self._first[pieces[0]] + b"".join(map(self._later.__getitem__, pieces[1:])))
+                out.append(head + b"".join(map(later, islice(pieces, 1, None))))
             except TypeError:  # a piece that can't stand alone
                 out.append(next(self._ids([text])) if text else b"")
         return out
@@ -109,11 +140,6 @@ class Encoder:
 
 def _parts_of(piece: str, lead: str) -> list[str]:
     """Parts of a piece that are encoded by themselves; letters stop where Unicode versions may differ."""
-    if piece.isalpha():
-        return [lead + piece]
-    stem = piece.rstrip(string.punctuation)
-    if stem.isalpha() and max(stem) < "\u0590":
-        return [lead + stem, piece[len(stem) :]]
     if "<|" in piece or _ODD_SPACE.search(piece):
         return [lead + piece]
     out = []
@@ -122,7 +148,7 @@ def _parts_of(piece: str, lead: str) -> list[str]:
             out.append("\n")
             lead = ""
         stem = line.rstrip(string.punctuation)
-        if len(stem) < len(line) and stem.isalpha() and max(stem) < "\u0590":
+        if len(stem) < len(line) and stem.isalpha() and max(stem) < _STABLE:
             out += [lead + stem, line[len(stem) :]]
         else:
             out.append(lead + line)
