@@ -180,6 +180,7 @@ def pack(
                     packer.add(name, ids + ending)
                 if packer.tokens >= segment_tokens and (pieces := packer.cut(last=False)):
                     yield batch_of(pieces, schema)
+        encoder(vocabulary).forget()
         if pieces := packer.cut(last=True):
             yield batch_of(pieces, schema)
 

@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 #: The vocabulary file used where a caller names no other.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-#: Pieces between spaces and parts of them that a Python worker remembers, and their characters.
+#: Pieces between spaces and parts of them that a task remembers, and their characters.
 MEMO_PIECES, MEMO_CHARS = 1_000_000, 32 << 20
 #: Which characters below this are letters doesn't depend on the version of Unicode.
 _STABLE = "\u0590"
@@ -54,9 +54,10 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         self._spaced = np.zeros(self.size, bool)  # ids whose token starts with a space
         self._spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Give back the memory of remembered pieces, as at the end of a task."""
         self._later: dict[str, bytes | None] = {}  # pieces after a space, without it
         self._parts: dict[str, bytes] = {}  # other strings that are encoded by themselves
         self._chars = 0
@@ -124,7 +125,7 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self._later) + len(self._parts) > MEMO_PIECES or self._chars > MEMO_CHARS:
-            self._forget()
+            self.forget()
         parts = [text.split(" ") for text in texts]
         self._learn(set(chain.from_iterable(p[1:] for p in parts)).difference(self._later))
         first = self._whole([p[0] for p in parts], "")
@@ -157,7 +158,7 @@ def _parts_of(piece: str, lead: str) -> list[str]:
 
 @cache
 def encoder(path: str = VOCABULARY) -> Encoder:
-    """One encoder for all tasks of a Python worker, so that they share what it remembers."""
+    """One encoder for all tasks of a Python worker, as its vocabulary takes long to load."""
     return Encoder(path)
 
 
