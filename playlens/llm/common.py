@@ -5,10 +5,13 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a shared file that go through the driver's gateway at once.
+PIECE = 1 << 22
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -63,8 +66,8 @@ def release(*frames: DataFrame) -> None:
     frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
-def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
-    """Put a bounded file in the shared folder and let Spark copy it to every executor.
+def shared_file(spark: SparkSession, name: str, data: bytes | Iterable[bytes]) -> str:
+    """Put a bounded file, or one given in pieces, in the shared folder and let Spark copy it to every executor.
 
     Returns the name for ``SparkFiles.get``.
     """
@@ -72,7 +75,9 @@ def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
     files, found = _hadoop_path(spark, path)
     out = files.create(found)
     try:
-        out.write(data)
+        for piece in [data] if isinstance(data, bytes) else data:
+            for at in range(0, len(piece), PIECE):
+                out.write(piece[at : at + PIECE])
     finally:
         out.close()
     spark.sparkContext.addFile(files.makeQualified(found).toString())

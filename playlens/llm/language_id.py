@@ -1,12 +1,12 @@
 """Language of texts by prediction by partial matching over bytes.
 
 Every language has a tree of byte contexts of up to three bytes with the counts of the
-bytes that follow.  A byte costs its bits under the longest context kept; one that was
+bytes that follow, of all that was seen.  A byte costs its bits under the longest context; one that was
 not seen there costs an escape and then its share among the bytes not yet excluded in the
 next shorter context, down to all 256 bytes alike.  Escapes follow method C: a context
 seen ``n`` times with ``d`` different bytes escapes with probability ``d / (n + d)``.
 With the counts frozen, a byte's cost depends on the three bytes before it alone, so costs
-are tables.  The language with the shortest code wins.
+are sorted tables, in a file that tasks map instead of loading it.  The language with the shortest code wins.
 """
 
 from __future__ import annotations
@@ -14,22 +14,20 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playlens.llm.common import crc_of_id
+from playlens.llm.common import crc_of_id, release, shared_file, written
 from playlens.llm.tokens import slices
 
 UNKNOWN = "und"
 #: Longest context in bytes.
 ORDER = 3
-#: Four-byte strings kept of each language, the most frequent ones.
-MAX_GRAMS = 1 << 16
-#: Three-byte and two-byte contexts kept over all languages, the most frequent ones.
-MAX_CONTEXTS = (1 << 14, 1 << 13)
 #: Text bytes handled at once in a task.
 CHUNK = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
@@ -59,104 +57,142 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return unique, np.bincount(where, counts).astype(np.int64)
 
 
+def _rising(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal neighbours starts."""
+    return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+
+
+def _level(keys: np.ndarray, n: np.ndarray, lower: np.ndarray, outside: np.ndarray):
+    """Bits of each string after its context, the contexts, and the bits of escaping from them.
+
+    ``lower`` counts each string without its first byte; ``outside`` is, for each of these
+    strings, what all that follows its context counts there, different bytes added.  Bytes
+    seen in a context are seen in the next shorter one too, so all sums are of whole numbers.
+    """
+    context = keys >> 8
+    first = _rising(context)
+    different = np.diff(np.append(first, len(keys)))
+    whole = np.add.reduceat(n, first) + different
+    bits = np.log2(np.repeat(whole, different)) - np.log2(n)
+    left = np.maximum(outside[first] - np.add.reduceat(lower, first), 1)
+    return bits, context[first], np.log2(whole) - np.log2(different) + np.log2(left) - np.log2(outside[first])
+
+
+def costs(keys: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """One language's costs from its four-byte strings and their counts, as arrays of 32 bits.
+
+    Four-byte strings and their bits, three-byte contexts and the bits of escaping, the same
+    of three-byte strings, then the bits of all two-byte strings and of escaping from each.
+    """
+    keys = keys.astype(np.int64)
+    order = np.argsort(keys)
+    held = [(keys[order], n[order].astype(np.int64))]
+    for mask in (1 << 24, 1 << 16, 1 << 8):
+        held.append(_summed(held[-1][0] % mask, held[-1][1]))
+    four, three, two, one = held
+    whole = [np.zeros(0, np.int64)] * 2
+    for k, (keys_, n_) in enumerate((two, three)):
+        first = _rising(keys_ >> 8)
+        whole[k] = np.zeros(1 << 8 * (k + 1), np.int64)
+        whole[k][(keys_ >> 8)[first]] = np.add.reduceat(n_, first) + np.diff(np.append(first, len(keys_)))
+
+    def under(upper, shorter, mask):
+        return shorter[1][np.searchsorted(shorter[0], upper[0] % mask)]
+
+    bits1, _, escape1 = _level(*one, np.ones(len(one[0]), np.int64), np.full(len(one[0]), 256))
+    single = np.full(256, escape1[0] + 8)
+    single[one[0]] = bits1
+    total = int(one[1].sum()) + len(one[0])
+    bits2, context, escape2 = _level(*two, under(two, one, 1 << 8), np.full(len(two[0]), total))
+    pairs = np.tile(single, (256, 1))
+    pairs[context] += escape2[:, None]
+    pairs = pairs.ravel()
+    pairs[two[0]] = bits2
+    bits3, context, escape = _level(*three, under(three, two, 1 << 16), whole[0][(three[0] >> 8) % (1 << 8)])
+    escapes = np.zeros(1 << 16)
+    escapes[context] = escape
+    bits4, context, escape4 = _level(*four, under(four, three, 1 << 24), whole[1][(four[0] >> 8) % (1 << 16)])
+    found = ((four[0], bits4), (context, escape4), (three[0], bits3))
+    arrays = [a for k, x in found for a in (k.astype("<u4"), x.astype("<f4"))]
+    return [*arrays, pairs.astype("<f4"), escapes.astype("<f4")]
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: np.ndarray) -> np.ndarray:
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[place] == wanted, values[place], other)
+
+
 @dataclass
 class Model:
-    """Frozen costs: ``row_of`` names the longest kept context of three byte classes, and
-    ``bits[row, class, language]`` the code length there."""
+    """Frozen costs: all that was seen of every language, see ``costs``.
+
+    ``ends[language]`` bounds its arrays in ``data``, or else in the file that Spark copied
+    to every executor under the name ``file``, of which tasks map what they look up.
+    """
 
     languages: list[str]
-    classes: np.ndarray
-    row_of: np.ndarray
-    bits: np.ndarray
+    ends: np.ndarray
+    data: np.ndarray | None = None
+    file: str | None = None
+
+    def arrays(self, k: int) -> list[np.ndarray]:
+        if self.data is None:
+            self.data = np.memmap(SparkFiles.get(self.file), "<u4", "r")
+        parts = [self.data[a:b] for a, b in pairwise(self.ends[k].tolist())]
+        return [x if i in (0, 2, 4) else x.view("<f4") for i, x in enumerate(parts)]
+
+    def costs_of(self, four: np.ndarray, k: int) -> np.ndarray:
+        """Bits of the last byte of distinct, sorted four-byte strings under a language."""
+        strings, bits, contexts, escape, shorter, bits3, pairs, escape3 = self.arrays(k)
+        end = four & np.uint32(0xFFFFFF)
+        found = _looked_up(shorter, bits3, end, escape3[end >> 8] + pairs[end & 0xFFFF])
+        return _looked_up(strings, bits, four, _looked_up(contexts, escape, four >> 8, np.float32(0)) + found)
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text under each language."""
         data, starts, ends = joined(texts)
         total = np.zeros((len(texts), len(self.languages)))
-        filled = np.flatnonzero(ends > starts)
+        sizes = ends - starts
+        filled = np.flatnonzero(sizes)
         if not len(filled):
             return total
-        width = self.bits.shape[1]
-        symbol = self.classes[data].astype(np.int32)
-        context = (symbol[:-3] * width + symbol[1:-2]) * width + symbol[2:-1]
-        cell = self.row_of[context] * width + symbol[ORDER:]
-        bits = self.bits.reshape(-1, len(self.languages))[cell].astype(np.float32)
-        bounds = np.stack([starts[filled], ends[filled]], 1).ravel() - ORDER
-        # An end may lie past the last byte; the sums between texts are the gaps'.
-        sums = np.add.reduceat(np.concatenate([bits, np.zeros((1, bits.shape[1]), np.float32)]), bounds, axis=0, dtype=np.float64)
-        total[filled] = sums[::2]
+        four, where = np.unique(grams(data, starts, ends), return_inverse=True)
+        first = np.cumsum(sizes[filled]) - sizes[filled]
+        for k in range(len(self.languages)):
+            total[filled, k] = np.add.reduceat(self.costs_of(four, k)[where], first, dtype=np.float64)
         return total
 
-
-def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], max_contexts: tuple[int, int] = MAX_CONTEXTS) -> Model:
-    """The model from each language's four-byte strings and their counts."""
+    @property
+    def bits(self) -> np.ndarray:
+        """``bits[context, byte, language]`` after every three-byte context, the first byte being
+        one that was never seen and the others all that were.  A dense table, to look into small models.
+        """
+        contexts = np.unique(np.concatenate([self.arrays(k)[2] for k in range(len(self.languages))]))
+        seen = np.unique(np.concatenate([self.arrays(k)[0] & np.uint32(255) for k in range(len(self.languages))]))
+        symbols = np.concatenate([np.setdiff1d(np.arange(256, dtype=np.uint32), seen)[:1], seen])
+        four = (contexts[:, None] << np.uint32(8) | symbols).ravel()
+        found = np.stack([self.costs_of(four, k) for k in range(len(self.languages))], 1)
+        return found.reshape(len(contexts), len(symbols), -1)
+
+
+def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
+    """The model from each language's four-byte strings and their counts, in memory."""
     languages = sorted(counts)
-    every = np.concatenate([counts[x][0] for x in languages])
-    weight = np.concatenate([counts[x][1] for x in languages])
-    present = np.unique(np.stack([(every >> s) & 255 for s in (24, 16, 8, 0)]))
-    classes = np.zeros(256, np.uint8)  # class 0: bytes never seen
-    present = present[:255]
-    classes[present] = np.arange(1, len(present) + 1)
-    width = len(present) + 1
-
-    def parts(keys: np.ndarray) -> list[np.ndarray]:
-        return [classes[(keys >> s) & 255].astype(np.int64) for s in (24, 16, 8, 0)]
-
-    a, b, c, _ = parts(every)
-
-    def kept(keys: np.ndarray, most: int) -> np.ndarray:
-        unique, total = _summed(keys, weight)
-        return np.sort(unique[np.lexsort((unique, -total))[:most]])
-
-    three, two = kept((a * width + b) * width + c, max_contexts[0]), kept(b * width + c, max_contexts[1])
-    one = np.arange(width)
-    # Rows: three-byte contexts, two-byte contexts, bytes, the empty context.
-    at_two, at_one, at_none = len(three), len(three) + len(two), len(three) + len(two) + width
-    bits = np.zeros((at_none + 1, width, len(languages)), np.float16)
-    unseen = 256 - len(present)  # bytes that share class 0
-    for k, language in enumerate(languages):
-        grams_, n = counts[language]
-        a, b, c, d = parts(grams_)
-
-        def level(contexts, keys, lower):
-            """Probabilities of a level of contexts over those of the next shorter ones."""
-            table = np.zeros((len(contexts), width))
-            place = np.searchsorted(contexts, keys)
-            ok = contexts[np.minimum(place, len(contexts) - 1)] == keys
-            np.add.at(table, (place[ok], d[ok]), n[ok])
-            seen, total = table > 0, table.sum(1, keepdims=True)
-            different = seen.sum(1, keepdims=True)
-            rest = np.where(seen, 0.0, lower)
-            left = rest.sum(1, keepdims=True)
-            escape = np.where(left > 0, different / np.maximum(total + different, 1), 0)
-            own = np.where(left > 0, table / np.maximum(total + different, 1), table / np.maximum(total, 1))
-            found = own + escape * rest / np.maximum(left, 1e-300)
-            return np.where(total > 0, found, lower)
-
-        uniform = np.full((1, width), 1 / 256)
-        uniform[0, 0] = unseen / 256
-        none = level(np.zeros(1, np.int64), np.zeros(len(n), np.int64), uniform)
-        ones = level(one, c, np.repeat(none, width, 0))
-        twos = level(two, b * width + c, ones[two % width])
-        low = np.searchsorted(two, three % width**2)
-        has = two[np.minimum(low, len(two) - 1)] == three % width**2
-        threes = level(three, (a * width + b) * width + c, np.where(has[:, None], twos[np.minimum(low, len(two) - 1)], ones[three % width]))
-        found = np.concatenate([threes, twos, ones, none])
-        found[:, 0] /= max(unseen, 1)  # one of the bytes that share the class
-        bits[:, :, k] = -np.log2(np.maximum(found, 2.0**-60))
-    row_of = np.tile(at_one + one, width * width).astype(np.int32)
-    row_of.reshape(width, width * width)[:, two] = at_two + np.arange(len(two))
-    row_of[three] = np.arange(len(three))
-    return Model(languages, classes, row_of, bits)
-
-
-def train(
-    documents: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_grams: int = MAX_GRAMS
-) -> Model | None:
+    found = [costs(*counts[x]) for x in languages]
+    data = np.concatenate([a.view("<u4") for arrays in found for a in arrays])
+    return Model(languages, _ends([[len(a) for a in arrays] for arrays in found]), data)
+
+
+def _ends(sizes: list[list[int]]) -> np.ndarray:
+    ends = np.cumsum(sizes).reshape(len(sizes), -1)
+    return np.concatenate([ends[:, :1] - np.array(sizes)[:, :1], ends], 1)
+
+
+def train(documents: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Counts over every text of ``documents`` with a language; None if there is none.
 
-    A row per task, language and four-byte string is shuffled, and ``max_grams`` strings of
-    each language reach the driver.
+    A row per task, language and four-byte string is shuffled.  All strings count; those of
+    one language at a time reach the driver, which appends their costs to a file.
     """
     given = documents.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
 
@@ -187,18 +223,20 @@ def train(
             yield rows(language)
 
     total = given.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(_by_count())
-    found = total.withColumn("place", place).filter(F.col("place") <= max_grams).drop("place").toPandas()
-    if not len(found):
-        return None
-    counts = {k: (g["gram"].to_numpy(np.uint32), g["n"].to_numpy(np.int64)) for k, g in found.groupby("lang")}
-    return build(counts)
-
-
-def _by_count():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    total = written(total, "strings")
+    languages = sorted(r[0] for r in total.select("lang").distinct().collect())
+    sizes: list[list[int]] = []
+
+    def pieces() -> Iterator[bytes]:
+        for language in languages:
+            own = total.filter(F.col("lang") == language).select("gram", "n").toArrow()
+            found = costs(own["gram"].to_numpy(), own["n"].to_numpy())
+            sizes.append([len(a) for a in found])
+            yield from (a.tobytes() for a in found)
+
+    name = shared_file(documents.sparkSession, "costs", pieces()) if languages else None
+    release(total)
+    return Model(languages, _ends(sizes), file=name) if languages else None
 
 
 def predict(

@@ -225,6 +225,50 @@ def test_costs_are_those_of_a_distribution():
     assert np.allclose(alone, bits[[0, 2]])
 
 
+def _ppm_bits(learned: bytes, text: bytes) -> float:
+    """Method C with exclusion, from the counts of every context seen."""
+    seen = {}
+    padded = b"   " + learned
+    for i in range(3, len(padded)):
+        for order in range(4):
+            after = seen.setdefault(padded[i - order : i], {})
+            after[padded[i]] = after.get(padded[i], 0) + 1
+    padded, bits = b"   " + text, 0.0
+    for i in range(3, len(padded)):
+        barred, chance = set(), 1.0
+        for order in (3, 2, 1, 0):
+            after = seen.get(padded[i - order : i])
+            if not after:
+                continue
+            whole = sum(after.values()) + len(after)
+            left = 1 - sum(after[b] for b in barred) / whole
+            if padded[i] in after:
+                chance *= after[padded[i]] / whole / left
+                break
+            chance *= len(after) / whole / left
+            barred = set(after)
+        else:
+            chance /= 256 - len(barred)
+        bits -= np.log2(chance)
+    return bits
+
+
+def test_every_context_seen_counts(spark):
+    rng = random.Random(8)
+    learned = {"x": "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(60000)), "y": "plain words " * 50}
+    text = "".join(learned["x"][i : i + 3] for i in range(0, 60000, 997)) + "plain new 字"
+    documents = spark.createDataFrame(list(learned.items()), "lang string, text string")
+    model = language_id.train(documents)
+    strings, _, contexts, *_ = model.arrays(0)
+    data = b"   " + learned["x"].encode()
+    assert len(strings) == len({data[i : i + 4] for i in range(len(data) - 3)}) > 1 << 16
+    assert len(contexts) == len({data[i : i + 3] for i in range(len(data) - 3)}) > 1 << 14
+    expected = [_ppm_bits(learned[k].encode(), text.encode()) for k in "xy"]
+    assert np.allclose(model.code_lengths([text.encode()])[0], expected, rtol=1e-5)
+    counts = {k: np.unique(language_id.grams(*language_id.joined([v.encode()])), return_counts=True) for k, v in learned.items()}
+    assert np.allclose(language_id.build(counts).code_lengths([text.encode()])[0], expected, rtol=1e-5)
+
+
 def test_scores_do_not_depend_on_the_batch():
     chosen = quality.Settings(bits=12, epochs=3)
     texts = ["good words here", "BAD!! BAD!!", "", "x", "good words here"]
