@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from playlens.llm import decontaminate, language_id, near_dedup, packing, quality, suffix_dedup, token_file, topk_search
@@ -225,6 +226,44 @@ def test_costs_are_those_of_a_distribution():
     assert np.allclose(alone, bits[[0, 2]])
 
 
+def test_contexts_of_a_hot_gram_are_dealt_out(spark):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz    é"
+    common, short = ("".join(rng.choices(letters, k=n)) for n in (180, 56))
+
+    def text(i: int) -> str:
+        own = ["".join(rng.choices(letters, k=70)) for _ in range(3)]
+        return own[0] + (common if i % 3 else "") + own[1] + (short if i % 2 else "") + own[2]
+
+    texts = {i: text(i) for i in range(400)}
+    documents = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    seen, expected = {}, {}
+    for i, t in texts.items():
+        data = t.encode()
+        gone = np.zeros(len(data) + 2, int)
+        for at in range(len(data) - 49):
+            if seen.setdefault(data[at : at + 50], i) < i:
+                gone[at + 1 : at + 51] = 1
+        if gone.any():
+            expected[i] = np.stack([np.flatnonzero(np.diff(gone) == 1), np.flatnonzero(np.diff(gone) == -1)], 1).tolist()
+    for hot in (suffix_dedup.HOT, 50):
+        rows = suffix_dedup.repeated_spans(documents, hot=hot).collect()
+        assert {r.id: np.frombuffer(r.ranges, "<i8").reshape(-1, 2).tolist() for r in rows} == expected
+    given = documents.select(F.xxhash64("text").alias("digest"), "text", F.col("doc_id").alias("id"))
+    places = suffix_dedup._candidates(given.select("digest", "text"), 50, 32, 8, 50).cache()
+    often = np.sort(np.frombuffer(b"".join(r.places for r in places.filter("digest IS NULL").collect()), np.uint64))
+    lists = places.groupBy("digest").agg(F.collect_list("places").alias("places"))
+    found = given.join(lists, "digest").select("id", "text", "places").cache()
+
+    def most(hot):
+        """The largest share of contexts that a shard of 64 gets."""
+        held = suffix_dedup._contexts(found, 50, 64, hot).filter("context IS NOT NULL").groupBy("shard").count().collect()
+        return max(r["count"] for r in held) / sum(r["count"] for r in held)
+
+    # By gram alone, one shard gets the edge of every document with a passage.
+    assert len(often) and most(often[:0]) > 0.15 and most(often) < 0.05
+
+
 def _ppm_bits(learned: bytes, text: bytes) -> float:
     """Method C with exclusion, from the counts of every context seen."""
     seen = {}
