@@ -37,8 +37,10 @@ _FLOW = frozenset(
     " strong sub sup table tbody td tfoot th thead time tr tt u ul var wbr".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|select|title|canvas|audio|video"
-_NEVER = frozenset("nav aside footer header form button input label dialog menu head search".split())
+# Elements whose content is no markup, up to their end tag or else the page's end.
+_RAW = r"script|style|textarea|title(?!\s*/>)"
+_EMBEDDED = frozenset("noscript template svg iframe object select canvas audio video annotation annotation-xml".split())
+_NEVER = _EMBEDDED.union("nav aside footer header form button input label dialog menu head search".split())
 _CONTENT = ("article", "main")
 _CLOSES_P = _BLOCKS - {"html", "body", "head"}
 # Words in class names and ids of elements that hold no article text, and words beside
@@ -100,6 +102,9 @@ def _events(page: str) -> Iterator[tuple]:
     def state():
         return (stack[-1][1], stack[-1][2]) if stack else ((), False)
 
+    def breaks(tag: str, chain: tuple[str, ...], never: bool) -> bool:
+        return tag in _BLOCKS and not (never and _EMBEDDED.intersection(chain))
+
     for found in _TOKEN.finditer(page):
         if found.start() > at:
             yield ("text", page[at : found.start()], *state())
@@ -113,20 +118,21 @@ def _events(page: str) -> Iterator[tuple]:
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
-            yield ("tag", "/" + tag, tag in _BLOCKS, *state())
+            chain, never = state()
+            yield ("tag", "/" + tag, breaks(tag, chain, never), chain, never or tag in _EMBEDDED)
             continue
         if tag in _CLOSES_P:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
                     del stack[i:]
-                if i < len(stack) and stack[i][0] in _BLOCKS:
+                if i < len(stack) and (stack[i][0] in _BLOCKS or stack[i][0] in _EMBEDDED):
                     break
         keys, never = _element(tag, found["attrs"])
         chain, inside = state()
         chain, never = (*chain, *(k for k in keys if k not in chain)), never or inside
         if tag not in _VOID and not found["attrs"].endswith("/"):
             stack.append((tag, chain, never))
-        yield ("tag", tag, tag in _BLOCKS, chain, never)
+        yield ("tag", tag, breaks(tag, chain, never), chain, never)
     if at < len(page):
         yield ("text", page[at:], *state())
 
@@ -184,7 +190,7 @@ def extract(page: str, weights: dict) -> str:
     for kind, value, *rest in _events(page):
         chain, never = rest[-2:]
         if kind == "tag":
-            score = 0.0 if never else tags.get(value, -0.5)
+            score = 0.0 if never or "math" in chain else tags.get(value, -0.5)
             pieces.append(("", rest[0], never))
         else:
             if chain not in memo:

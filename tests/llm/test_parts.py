@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from playlens.llm import decontaminate, language_id, near_dedup, packing, quality, suffix_dedup, token_file, topk_search
+from playlens.llm import decontaminate, html_text, language_id, near_dedup, packing, quality, suffix_dedup, token_file, topk_search
 from playlens.llm.components import components
 from playlens.llm.suffix_array import common_prefixes, suffix_array
 from playlens.llm.tokens import VOCABULARY, Encoder, sentence_tables
@@ -264,6 +264,23 @@ def test_contexts_of_a_hot_gram_are_dealt_out(spark):
     assert len(often) and most(often[:0]) > 0.15 and most(often) < 0.05
 
 
+@pytest.mark.parametrize(
+    "inside, expected",
+    [
+        ('a <svg class="i"/> b', "a b"),
+        ("a <math/> b", "a b"),
+        ("a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b", "a x=1 b"),
+        ("a <svg><title/><text>no</text></svg> b", "a b"),
+        ("a <video><p>no</p></video> b", "a b"),
+        ("a <span><canvas></span> b", "a b"),
+        ("a <script>no</script> b", "a b"),
+    ],
+)
+def test_text_after_embedded_elements_stays(inside, expected):
+    page = f"<html><body><article><p>{inside}</p><p>c</p></article></body></html>"
+    assert html_text.extract(page, html_text.DEFAULT_WEIGHTS) == f"{expected}\nc"
+
+
 def _ppm_bits(learned: bytes, text: bytes) -> float:
     """Method C with exclusion, from the counts of every context seen."""
     seen = {}
