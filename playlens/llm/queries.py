@@ -18,6 +18,7 @@ from playlens.llm import (
     token_file,
     topk_search,
     url_filter,
+    whitening,
 )
 from playlens.llm.common import table
 
@@ -87,6 +88,10 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -101,6 +106,7 @@ def queries() -> dict[str, Query]:
             op8_language_id,
             op9_suffix_dedup,
             op10_token_file,
+            op11_embedding_whitening,
         )
     }
 
