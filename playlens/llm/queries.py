@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from playlens.llm import (
     decontaminate,
+    divergence,
     html_text,
     language_id,
     near_dedup,
@@ -92,6 +93,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -107,6 +112,7 @@ def queries() -> dict[str, Query]:
             op9_suffix_dedup,
             op10_token_file,
             op11_embedding_whitening,
+            op12_source_divergence,
         )
     }
 
@@ -186,4 +192,5 @@ SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_h
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+        "op12_source_divergence": divergence.AUDIT_SQL,
     }
