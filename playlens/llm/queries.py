@@ -15,13 +15,14 @@ from playlens.llm import (
     near_dedup,
     packing,
     quality,
+    resharding,
     suffix_dedup,
     token_file,
     topk_search,
     url_filter,
     whitening,
 )
-from playlens.llm.common import table
+from playlens.llm.common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,6 +98,20 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "shards")
+    found = resharding.read(resharding.balance(table(spark, sf_dir, "documents"), root))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "size",
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -113,6 +128,7 @@ def queries() -> dict[str, Query]:
             op10_token_file,
             op11_embedding_whitening,
             op12_source_divergence,
+            op13_resharding,
         )
     }
 
