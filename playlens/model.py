@@ -9,6 +9,8 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from playlens.store import Store
+
 USER = "user_pseudo_id"
 TIME = "event_timestamp"
 DAY = "event_date"
@@ -120,27 +122,38 @@ ANYWHERE = Scope()
 class EventTables:
     """The flattened event tables, read by name.
 
-    ``load(name, columns)`` returns a DataFrame with at least these columns.
+    ``load(name, columns)`` returns a DataFrame with at least these columns.  ``by_user`` says
+    that all tables lie in the same number of buckets by user.
     """
 
-    def __init__(self, load: Callable[[str, Sequence[str]], DataFrame]):
+    def __init__(self, load: Callable[[str, Sequence[str]], DataFrame], by_user: bool = False):
         self._load = load
+        self.by_user = by_user
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str) -> EventTables:
-        """Tables written by :func:`playlens.sources.ingest.write_event_tables`."""
+        """Tables written by :mod:`playlens.sources.ingest`, as they are when first asked for.
+
+        A table that no manifest names is read from the folder ``root/table=NAME``.
+        """
+        store = Store(spark, root)
 
         @cache
         def table(name: str) -> DataFrame:
-            return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{root}/table={name}")
+            stored = store.read(name, TABLE_SCHEMAS[name])
+            if stored is None:
+                stored = spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{root}/table={name}")
+            return stored
 
         return cls(lambda name, columns: table(name))
 
     @classmethod
-    def from_catalog(cls, spark: SparkSession, database: str | None = None) -> EventTables:
+    def from_catalog(
+        cls, spark: SparkSession, database: str | None = None, by_user: bool = False
+    ) -> EventTables:
         """Tables or views of the session's catalog, named like the events."""
         prefix = "" if database is None else f"{database}."
-        return cls(lambda name, columns: spark.table(f"{prefix}{name}"))
+        return cls(lambda name, columns: spark.table(f"{prefix}{name}"), by_user)
 
     @classmethod
     def from_frames(cls, frames: Mapping[str, DataFrame]) -> EventTables:

@@ -129,8 +129,11 @@ def bind(spark: SparkSession, sf_dir: str, hard: bool = False) -> EventTables:
     return EventTables(load)
 
 
-def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log in its nested form, with a ``shard`` column for the day."""
+def raw_log(spark: SparkSession, sf_dir: str, typed: bool = False) -> DataFrame:
+    """The log in its nested form, with a ``shard`` column for the day.
+
+    All parameters are text, or if ``typed`` levels are in the slot of whole numbers.
+    """
     columns = list(_DERIVED)
     log = _Log(spark, sf_dir)
     flat = log.select(log.events, [*columns, "event_type"])
@@ -138,8 +141,15 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.coalesce(*(F.when(F.col("event_type") == k, n) for k, n in RAW_NAMES.items()))
 
     def param(key: str) -> Column:
-        value = F.struct(F.col(key).cast("string").alias("string_value"))
-        return F.struct(F.lit(key).alias("key"), value.alias("value"))
+        text, none = F.col(key).cast("string"), F.lit(None)
+        slots = [text.alias("string_value")]
+        if typed:
+            whole = key == "level"
+            slots = [
+                (none.cast("string") if whole else text).alias("string_value"),
+                (F.col(key) if whole else none).cast("bigint").alias("int_value"),
+            ]
+        return F.struct(F.lit(key).alias("key"), F.struct(*slots).alias("value"))
 
     return flat.select(
         day.alias("event_date"),
