@@ -23,7 +23,9 @@ import sql_twins
 from playlens import CohortSpec, EventTables
 from playlens.model import DAY, LABEL, TIME, USER
 from playlens.operators import (
+    UserFilter,
     attribute_to_level,
+    count_users,
     first_per_user,
     in_users,
     level_intervals,
@@ -33,9 +35,18 @@ from playlens.operators import (
     pivot_labels,
     tag,
 )
-from playlens.plans import activity, levels, payments, segments, usage
+from playlens.plans import activity, levels, payments, segments, sketches, usage
 from playlens.sources.binding import SPEC, bind, raw_log
-from playlens.sources.ingest import flatten_event, read_events, shard_range, write_event_tables
+from playlens.sources.ingest import (
+    Param,
+    flatten_event,
+    flatten_new,
+    raw_event_schema,
+    read_events,
+    shard_range,
+    write_bucketed,
+    write_event_tables,
+)
 
 try:
     import corpus_pipeline
@@ -50,10 +61,20 @@ MORE_THAN_USERS = 3
 MORE_THAN_ADS = 1
 MARKETS = sql_twins.MARKETS
 
+# Users that a Bloom filter is made for, buckets of stored tables, and how far a sketch may be off.
+EXPECTED_USERS = 1000
+BUCKETS = 4
+SKETCH_ERROR = 0.05
+
 # Levels that curves are drawn for and that tables show.
 LEVELS_DRAWN = 50
 LEVELS_SHOWN = 200
 
+# Levels as whole numbers of the export, for the log that has them so.
+TYPED_PARAMS = {
+    name: {"level": Param("bigint", "int_value")} for name in ("start_level", "win_level", "lose_level")
+}
+
 # Segment sizes that a study may put in by hand.
 TYPED_IN_SIZES = {"iap": 15, "non_iap": 2091}
 
@@ -141,13 +162,22 @@ def _log_queries() -> dict[str, Query]:
         "flatten_purchases": lambda spark, sf_dir: flatten_event(
             shard_range(raw_log(spark, sf_dir), 20240105, 20240130), "in_app_purchase"
         ),
+        "flatten_int_slot": lambda spark, sf_dir: flatten_event(
+            shard_range(raw_log(spark, sf_dir, typed=True), 20240101, 20240130),
+            "start_level",
+            TYPED_PARAMS["start_level"],
+        ),
     }
 
 
+def _scratch(spark: SparkSession) -> str:
+    """The cluster's shared folder if it names one, else one for this run."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="playlens-")
+
+
 def _stored_log(spark: SparkSession, sf_dir: str) -> str:
-    """The raw log written by day shard, in the cluster's shared folder if it names one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="playlens-")
-    root = f"{folder}/log-{uuid4().hex}"
+    """The raw log written by day shard."""
+    root = f"{_scratch(spark)}/log-{uuid4().hex}"
     raw_log(spark, sf_dir).write.partitionBy("shard").parquet(f"{root}/raw")
     return root
 
@@ -165,7 +195,20 @@ def _stored_queries() -> dict[str, Query]:
             write_event_tables(events, ["start_level", "win_level", "lose_level"], f"{root}/flat", shards)
         return levels.level_outcomes(EventTables.from_parquet(spark, f"{root}/flat"))
 
-    return {"stored_event_names": names, "stored_level_outcomes": outcomes}
+    def in_two_runs(spark, sf_dir):
+        """Wins come in late, after everything else was flattened; typed slots, a manifest and its ledger."""
+        root = f"{_scratch(spark)}/runs-{uuid4().hex}"
+        log = raw_log(spark, sf_dir, typed=True)
+        for part in ("event_name <> 'win_level'", "event_name = 'win_level'"):
+            log.filter(part).write.mode("append").partitionBy("shard").parquet(f"{root}/raw")
+            flatten_new(spark, f"{root}/raw", TYPED_PARAMS, f"{root}/flat", params=TYPED_PARAMS)
+        return levels.level_outcomes(EventTables.from_parquet(spark, f"{root}/flat"))
+
+    return {
+        "stored_event_names": names,
+        "stored_level_outcomes": outcomes,
+        "level_outcomes_in_two_runs": in_two_runs,
+    }
 
 
 def _activity_queries() -> dict[str, Query]:
@@ -187,21 +230,22 @@ def _activity_queries() -> dict[str, Query]:
         ),
         "dau_pct_by_payer": _on_tables(
             lambda t, s: activity.dau_pct_by_label(
-                t, s, segments.payer_segments(t, s), _names("percent_dau_{}", "iap", "non_iap")
+                t, s, segments.payer_labels(t, s), _names("percent_dau_{}", "iap", "non_iap"), all_days=True
             )
         ),
         "dau_pct_by_payer_fixed": _on_tables(
             lambda t, s: activity.dau_pct_by_label(
                 t,
                 s,
-                segments.payer_segments(t, s),
+                segments.payer_labels(t, s),
                 _names("percent_dau_{}", "iap", "non_iap"),
                 denominators=TYPED_IN_SIZES,
+                all_days=True,
             )
         ),
         "dau_pct_by_ad": _on_tables(
             lambda t, s: activity.dau_pct_by_label(
-                t, s, segments.ad_segments(t, s), _names("percent_dau_{}", "adrw", "non_adrw")
+                t, s, segments.ad_labels(t, s), _names("percent_dau_{}", "adrw", "non_adrw"), all_days=True
             )
         ),
         "dau_pct_by_skill": _on_tables(
@@ -327,7 +371,7 @@ def _level_queries() -> dict[str, Query]:
             lambda t, s: levels.funnel_by_label(
                 t,
                 s,
-                segments.payer_segments(t, s),
+                segments.payer_labels(t, s),
                 _names("user_{}", "iap", "non_iap"),
                 _names("{}_drop", "iap", "non_iap"),
             )
@@ -363,6 +407,9 @@ def _level_queries() -> dict[str, Query]:
         "attempt_ratio_distribution": _on_tables(
             lambda t, s: levels.attempt_ratio_distribution(segments.attempt_ratio(t, s))
         ),
+        "attempt_ratio_cumulative_half_even": _on_tables(
+            lambda t, s: levels.attempt_ratio_cumulative(segments.attempt_ratio(t, s), half_even=True)
+        ),
         "attempt_ratio_cumulative": _on_tables(
             lambda t, s: levels.attempt_ratio_cumulative(segments.attempt_ratio(t, s))
         ),
@@ -381,6 +428,7 @@ def _usage_queries() -> dict[str, Query]:
                 labels(t, s),
                 _names(f"num_{what}_by_{{}}", *names),
                 _names("pct_by_{}", *names),
+                all_kinds=True,
             )
         )
 
@@ -393,15 +441,15 @@ def _usage_queries() -> dict[str, Query]:
 
     return {
         "ad_placement_by_payer": kinds(
-            "ads_reward_complete", "placement", segments.payer_segments, "ads", "iap", "non_iap"
+            "ads_reward_complete", "placement", segments.payer_labels, "ads", "iap", "non_iap"
         ),
         "booster_type_by_payer": kinds(
-            "booster_use", "booster_type", segments.payer_segments, "booster", "iap", "non_iap"
+            "booster_use", "booster_type", segments.payer_labels, "booster", "iap", "non_iap"
         ),
         "booster_type_by_ad": kinds(
             "booster_use",
             "booster_type",
-            lambda t, s: segments.ad_segments(t, s, engaged_any_time=True),
+            lambda t, s: segments.ad_labels(t, s, engaged_any_time=True),
             "booster",
             "adrw",
             "non_adrw",
@@ -448,6 +496,71 @@ def _few_user_queries() -> dict[str, Query]:
     return {name: _on_tables(plans[plain]) for name, plain in sql_twins.FEW.items()}
 
 
+def _bloom_queries() -> dict[str, Query]:
+    """The same with a Bloom filter of the labelled users at the scan."""
+
+    def on(labels, plan):
+        def run(tables, spec):
+            chosen = labels(tables, spec)
+            return plan(tables, spec, chosen, UserFilter.of(chosen, EXPECTED_USERS))
+
+        return _on_tables(run)
+
+    skill = lambda t, s: segments.skill_segments(t, s).filter(F.col(LABEL) != segments.MIDDLE)
+    return {
+        "winrate_by_skill_bloom": on(skill, lambda t, s, l, few: levels.winrate_by_label(t, l, few_users=few)),
+        "dau_by_payer_bloom": on(
+            segments.cohort_payer_labels,
+            lambda t, s, l, few: activity.dau_by_label(t, s, l, _names("dau_{}", "iap", "non_iap"), few_users=few),
+        ),
+        "retention_bloom": on(
+            segments.skill_segments, lambda t, s, l, few: activity.retention(t, l, few_users=few)
+        ),
+    }
+
+
+def _sketch_queries() -> dict[str, Query]:
+    """Exact user counts, and whether counts from stored daily sketches come near them."""
+
+    def stored(spark, tables):
+        path = f"{_scratch(spark)}/sketches-{uuid4().hex}"
+        sketches.write_sketches(sketches.daily_sketches(tables), path)
+        return spark.read.parquet(path)
+
+    def near(exact, estimated, *keys):
+        off = F.abs(F.col("estimate") - F.col("num_user")) <= SKETCH_ERROR * F.col("num_user")
+        return exact.join(estimated, [*keys]).select(*keys, "num_user", off.alias("near"))
+
+    def by_platform(spark, sf_dir):
+        tables = bind(spark, sf_dir)
+        sessions = tables.get("session_start", USER, "platform", dates=SPEC.regard)
+        estimated = sketches.estimated_users(stored(spark, tables), SPEC.regard, ["platform"], "estimate")
+        return near(count_users(sessions, "platform"), estimated, "platform")
+
+    def weekly(spark, sf_dir):
+        tables = bind(spark, sf_dir)
+        days = tables.get("session_start", USER, DAY).distinct()
+        ends = F.explode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda n: F.date_add(DAY, n)))
+        exact = count_users(days.select(USER, ends.alias("window_end")), "window_end")
+        return near(exact, sketches.rolling_users(stored(spark, tables), 7, name="estimate"), "window_end")
+
+    return {"users_by_platform_sketch": by_platform, "weekly_users_sketch": weekly}
+
+
+def _bucketed_queries() -> dict[str, Query]:
+    """Over event tables of the catalog that are bucketed by user."""
+
+    def winrate(spark, sf_dir):
+        database = f"playlens_{uuid4().hex}"
+        folder = f"{_scratch(spark)}/{database}"
+        spark.sql(f"CREATE DATABASE {database} LOCATION '{folder}'")
+        names = ["first_open", "start_level", "win_level", "lose_level"]
+        stored = write_bucketed(bind(spark, sf_dir), names, folder, BUCKETS, database)
+        return levels.winrate_by_label(stored, segments.skill_segments(stored, SPEC).filter(F.col(LABEL) != segments.MIDDLE))
+
+    return {"winrate_by_skill_bucketed": winrate}
+
+
 def _hard_queries() -> dict[str, Query]:
     """Analyses over the harder log: unknown users, one busy user, equal times, 100 levels."""
     plans = {
@@ -502,6 +615,9 @@ def queries() -> dict[str, Query]:
         **_usage_queries(),
         **_set_queries(),
         **_few_user_queries(),
+        **_bloom_queries(),
+        **_sketch_queries(),
+        **_bucketed_queries(),
         **_hard_queries(),
         **corpus(),
     }

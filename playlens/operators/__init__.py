@@ -1,7 +1,9 @@
 """DataFrame-to-DataFrame building blocks."""
 
+from playlens.operators.bloom import UserFilter
 from playlens.operators.intervals import attribute_to_level, first_per_user, level_intervals
 from playlens.operators.sets import (
+    FewUsers,
     count_users,
     in_users,
     join_labels,
@@ -22,6 +24,8 @@ from playlens.operators.shape import (
 )
 
 __all__ = [
+    "FewUsers",
+    "UserFilter",
     "attribute_to_level",
     "centered_mean",
     "count_users",

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playlens.model import LABEL, USER, quoted
+from playlens.operators.bloom import UserFilter
+
+FewUsers = bool | UserFilter
 
 
 def count_users(
@@ -40,15 +43,19 @@ def not_in_users(df: DataFrame, users: DataFrame) -> DataFrame:
     return df.filter(known).join(users.filter(known).select(USER), USER, "left_anti")
 
 
-def join_labels(facts: DataFrame, labels: DataFrame, few_users: bool = False) -> DataFrame:
+def join_labels(facts: DataFrame, labels: DataFrame, few_users: FewUsers = False) -> DataFrame:
     """Facts of labelled users, with their label.
 
     ``few_users`` is for labels that cover a small part of all players and come
     from a written table.  It adds a semi join, which leaves the result alone; if
     Spark finds the table small enough to send around, it carries the semi join
-    down through the facts' aggregation, and other users go at the scan.
+    down through the facts' aggregation, and other users go at the scan.  For labels too many
+    to send around it can be a :class:`playlens.operators.bloom.UserFilter` of them, which
+    sends a few bits per user instead.
     """
-    if few_users:
+    if isinstance(few_users, UserFilter):
+        facts = few_users.keep(facts)
+    elif few_users:
         facts = in_users(facts, labels)
     return facts.join(labels, USER)
 
@@ -63,12 +70,36 @@ def union(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def memberships(*tagged: DataFrame) -> DataFrame:
+def _beside(tagged: tuple[DataFrame, ...], of_first: bool) -> DataFrame:
+    """Sets that lie in buckets by user, each collapsed where it lies, side by side."""
+
+    def collapsed(rows: DataFrame) -> DataFrame:
+        flags = [column for column in rows.columns if column != USER]
+        known = rows.filter(f"{USER} is not null").groupBy(USER)
+        return known.agg(*(F.bool_or(flag).alias(flag) for flag in flags))
+
+    how = "left" if of_first else "full_outer"
+    both = reduce(lambda a, b: a.join(b, USER, how), map(collapsed, tagged))
+    flags = [column for column in both.columns if column != USER]
+    return both.select(USER, *(F.coalesce(flag, F.lit(False)).alias(flag) for flag in flags))
+
+
+def memberships(
+    *tagged: DataFrame, of_first: bool = False, by_user: bool = False
+) -> DataFrame:
     """One row per known user with a true/false column for every tag.
 
     All sets meet in a single aggregation: a user's repeats collapse before the
-    one shuffle, and no set has to be joined or fit in memory.
+    one shuffle, and no set has to be joined or fit in memory.  ``of_first`` leaves out users
+    who have no event in the first set.  If all sets come from tables that are bucketed alike
+    ``by_user``, and every tag from one of them, they are merged bucket by bucket and nothing
+    is shuffled; users of the first set then keep their place for what comes next.
     """
+    if by_user:
+        return _beside(tagged, of_first)
+    if of_first:
+        first = [column for column in tagged[0].columns if column != USER]
+        return memberships(*tagged).filter(" or ".join(first))
     rows = union(*tagged)
     flags = [column for column in rows.columns if column != USER]
     return (

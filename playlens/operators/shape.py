@@ -71,18 +71,20 @@ def centered_mean(
     )
 
 
-def cumulative_distribution(df: DataFrame, order: str, count: str) -> DataFrame:
-    """Adds the running count up to each value and its percentage of the total."""
+def cumulative_distribution(
+    df: DataFrame, order: str, count: str, half_even: bool = False
+) -> DataFrame:
+    """Adds the running count up to each value and its percentage of the total, to two places.
+
+    A percentage half way between two, as a double, is rounded up, or to the even one if ``half_even``.
+    """
     so_far = F.sum(count).over(
         Window.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
     total = F.sum(count).over(Window.partitionBy())
-    return df.withColumns(
-        {
-            "accumulate": so_far,
-            "pct_accumulate": F.round(F.try_divide(F.lit(100.0) * so_far, total), 2),
-        }
-    )
+    percent = F.try_divide(F.lit(100.0) * so_far, total)
+    rounded = F.rint(percent * 100) / 100 if half_even else F.round(percent, 2)
+    return df.withColumns({"accumulate": so_far, "pct_accumulate": rounded})
 
 
 def merge_by_level(left: DataFrame, right: DataFrame, key: str = "level") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from playlens.functions import band, ratio
 from playlens.model import LABEL, USER, CohortSpec, EventTables
 from playlens.operators import (
+    FewUsers,
     centered_mean,
     cumulative_distribution,
     join_labels,
@@ -73,7 +74,7 @@ def level_outcomes_by_label(
     tables: EventTables,
     labels: DataFrame,
     max_level: int | None = None,
-    few_users: bool = False,
+    few_users: FewUsers = False,
 ) -> DataFrame:
     """:func:`level_outcomes` of each segment, with win rate and attempts per user.
 
@@ -100,7 +101,7 @@ def winrate_by_label(
     tables: EventTables,
     labels: DataFrame,
     max_level: int | None = None,
-    few_users: bool = False,
+    few_users: FewUsers = False,
 ) -> DataFrame:
     outcomes = level_outcomes_by_label(tables, labels, max_level, few_users).drop("apu")
     return outcomes.orderBy("segment", "level")
@@ -110,7 +111,7 @@ def winrate_rolling_by_label(
     tables: EventTables,
     labels: DataFrame,
     max_level: int | None = None,
-    few_users: bool = False,
+    few_users: FewUsers = False,
 ) -> DataFrame:
     """Win rate averaged over five neighbouring levels, cut to ``max_level`` first if given."""
     outcomes = level_outcomes_by_label(tables, labels, max_level, few_users)
@@ -122,7 +123,7 @@ def apu_by_label(
     tables: EventTables,
     labels: DataFrame,
     max_level: int | None = None,
-    few_users: bool = False,
+    few_users: FewUsers = False,
 ) -> DataFrame:
     """Attempts per user, as they are and averaged over five neighbouring levels."""
     outcomes = level_outcomes_by_label(tables, labels, max_level, few_users)
@@ -134,7 +135,7 @@ def level_curves_by_label(
     tables: EventTables,
     labels: DataFrame,
     max_level: int | None = None,
-    few_users: bool = False,
+    few_users: FewUsers = False,
 ) -> DataFrame:
     """Win rate and attempts per user, both also smoothed, from one pass."""
     outcomes = level_outcomes_by_label(tables, labels, max_level, few_users)
@@ -147,7 +148,7 @@ def level_users_by_label(
     spec: CohortSpec,
     labels: DataFrame,
     columns: Mapping[str, str],
-    few_users: bool = False,
+    few_users: FewUsers = False,
 ) -> DataFrame:
     """Users who started each level in the whole window, a column per label.
 
@@ -170,7 +171,7 @@ def level_split_by_label(
     columns: Mapping[str, str],
     shares: Mapping[str, str],
     below_level: int | None = None,
-    few_users: bool = False,
+    few_users: FewUsers = False,
 ) -> DataFrame:
     """Users per level with their total and each label's percentage of it."""
     users = level_users_by_label(tables, spec, labels, columns, few_users)
@@ -195,7 +196,7 @@ def funnel_by_label(
     labels: DataFrame,
     columns: Mapping[str, str],
     remaining: Mapping[str, str],
-    few_users: bool = False,
+    few_users: FewUsers = False,
 ) -> DataFrame:
     """Users per level and label, and the fraction still there of those at level 1.
 
@@ -222,11 +223,15 @@ def attempt_ratio_distribution(attempts: DataFrame) -> DataFrame:
     )
 
 
-def attempt_ratio_cumulative(attempts: DataFrame) -> DataFrame:
+def attempt_ratio_cumulative(attempts: DataFrame, half_even: bool = False) -> DataFrame:
     """Adds running users, their percentage and its band to the distribution.
 
+    ``half_even`` as in :func:`playlens.operators.shape.cumulative_distribution`.
+
     There is one row per different ratio.  Each ratio stands for a different
     number of starts, so even N starts make fewer than the root of 2N rows.
     """
-    spread = cumulative_distribution(attempt_ratio_distribution(attempts), "start_time", "num_user")
+    spread = cumulative_distribution(
+        attempt_ratio_distribution(attempts), "start_time", "num_user", half_even
+    )
     return spread.withColumn("band", band(F.col("pct_accumulate")))

@@ -20,6 +20,9 @@ from playlens.operators import (
 # Amounts are added up as decimals: the same total whatever the order of tasks.
 _MONEY = "decimal(28,12)"
 
+# Tasks that one user's events may be dealt to.
+_PARTS = 8
+
 
 def pay_rate_by_country(tables: EventTables, scope: Scope, more_than: int = 100) -> DataFrame:
     """Engaged users, payers and their ratio, in countries with enough users."""
@@ -129,17 +132,25 @@ def payer_count(tables: EventTables) -> DataFrame:
     return count_users(tables.get("in_app_purchase", USER))
 
 
+def _of_buyers(events: DataFrame, tables: EventTables, scope: Scope) -> DataFrame:
+    """Events of users who bought something; a user with very many of them is dealt to several tasks."""
+    part = F.pmod(F.xxhash64(TIME), F.lit(_PARTS)).cast("int").alias("part")
+    parts = F.explode(F.array(*map(F.lit, range(_PARTS)))).alias("part")
+    buyers = _purchases(tables, scope).select(USER).distinct().select(USER, parts)
+    return events.select("*", part).join(buyers, [USER, "part"], "left_semi").drop("part")
+
+
 def days_to_first_purchase(tables: EventTables, scope: Scope) -> DataFrame:
     """Users by whole days between first open and first purchase.
 
-    A user with several first opens counts once for each distinct distance.  Only
-    the earliest and the latest of a day go on to the join: opens between them
-    are as many whole days away as one of the two.
+    A user with several first opens counts once for each distinct distance.  Installs of
+    the many who never bought go first.  Only the earliest and the latest of a day go on to
+    the join: opens between them are as many whole days away as one of the two.
     """
     first = first_per_user(_purchases(tables, scope)).withColumnRenamed(TIME, "paid_at")
     day = time_bucket(F.col(TIME), MICROS_PER_DAY)
     opened = (
-        tables.get("first_open", USER, TIME, scope=scope)
+        _of_buyers(tables.get("first_open", USER, TIME, scope=scope), tables, scope)
         .groupBy(USER, day)
         .agg(F.array(F.min(TIME), F.max(TIME)).alias("opens"))
         .select(USER, F.explode("opens").alias(TIME))

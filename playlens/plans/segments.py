@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from playlens.functions import elapsed_days, ratio
 from playlens.model import LABEL, TIME, USER, CohortSpec, DateRange, EventTables
 from playlens.operators import (
+    in_users,
     label_by_membership,
     memberships,
     segment_users,
@@ -57,7 +58,9 @@ def payer_lists(tables: EventTables, spec: CohortSpec) -> DataFrame:
         tag(_cohort_events(tables, spec), cohort="true"),
         tag(engaged, engaged="true"),
         _actors(tables, spec, "in_app_purchase", spec.whole),
-    ).filter("cohort and (acted or engaged and not acted_anywhere)")
+        of_first=True,
+        by_user=tables.by_user,
+    ).filter("acted or engaged and not acted_anywhere")
     return label_by_membership(users, {IAP: "acted"}, otherwise=NON_IAP)
 
 
@@ -73,8 +76,11 @@ def ad_lists(tables: EventTables, spec: CohortSpec) -> DataFrame:
     """Cohort users with and without a completed reward ad, at any time."""
     ads = tables.get("ads_reward_complete", USER, scope=spec.scope)
     users = memberships(
-        tag(_cohort_events(tables, spec), cohort="true"), tag(ads, acted="true")
-    ).filter("cohort")
+        tag(_cohort_events(tables, spec), cohort="true"),
+        tag(ads, acted="true"),
+        of_first=True,
+        by_user=tables.by_user,
+    )
     return label_by_membership(users, {AD: "acted"}, otherwise=NON_AD)
 
 
@@ -105,7 +111,9 @@ def _engaged_segments(
         tag(engaged, engaged="true"),
         tag(_cohort_events(tables, spec), cohort="true"),
         _actors(tables, spec, event, spec.whole),
-    ).filter("engaged")
+        of_first=True,
+        by_user=tables.by_user,
+    )
     acted, did_not = labels
     return label_by_membership(
         users,
@@ -116,6 +124,48 @@ def _engaged_segments(
     )
 
 
+def _engaged_cohort_labels(
+    tables: EventTables,
+    spec: CohortSpec,
+    event: str,
+    labels: tuple[str, str],
+    engaged_dates: DateRange | None,
+) -> DataFrame:
+    """The labelled rows of :func:`_engaged_segments`, which are all of the cohort.
+
+    Engagement and events shrink to users, and those to the cohort, before any set meets
+    another.  If the cohort is small enough to send around, Spark drops other players at the
+    scans.
+    """
+    members = cohort(tables, spec)
+    engaged = tables.get(
+        "user_engagement", USER, scope=spec.scope.worldwide(), dates=engaged_dates
+    )
+    acted = _actors(tables, spec, event, spec.whole)
+    users = memberships(
+        tag(in_users(engaged.distinct(), members), engaged="true"),
+        in_users(acted.distinct(), members),
+        of_first=True,
+        by_user=tables.by_user,
+    )
+    yes, no = labels
+    rules = {yes: "acted", no: "not acted_anywhere"}
+    return label_by_membership(users, rules).filter(f"{LABEL} is not null")
+
+
+def payer_labels(tables: EventTables, spec: CohortSpec) -> DataFrame:
+    """The users whom :func:`payer_segments` labels, without the rest of the world."""
+    return _engaged_cohort_labels(tables, spec, "in_app_purchase", (IAP, NON_IAP), None)
+
+
+def ad_labels(
+    tables: EventTables, spec: CohortSpec, engaged_any_time: bool = False
+) -> DataFrame:
+    """The users whom :func:`ad_segments` labels."""
+    dates = None if engaged_any_time else spec.whole
+    return _engaged_cohort_labels(tables, spec, "ads_reward_complete", (AD, NON_AD), dates)
+
+
 def payer_segments(tables: EventTables, spec: CohortSpec) -> DataFrame:
     """Engaged users as ``iap``, ``non_iap`` or NULL."""
     return _engaged_segments(tables, spec, "in_app_purchase", (IAP, NON_IAP), None)
@@ -136,8 +186,11 @@ def cohort_payer_labels(tables: EventTables, spec: CohortSpec) -> DataFrame:
     """Cohort users as ``iap`` if they ever paid in scope, else ``non_iap``."""
     paid = tables.get("in_app_purchase", USER, scope=spec.scope)
     users = memberships(
-        tag(_cohort_events(tables, spec), cohort="true"), tag(paid, acted="true")
-    ).filter("cohort")
+        tag(_cohort_events(tables, spec), cohort="true"),
+        tag(paid, acted="true"),
+        of_first=True,
+        by_user=tables.by_user,
+    )
     return label_by_membership(users, {IAP: "acted"}, otherwise=NON_IAP)
 
 

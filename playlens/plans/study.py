@@ -9,6 +9,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame
 
 from playlens.model import LABEL, CohortSpec, DateRange, EventTables, quoted
+from playlens.operators import FewUsers
 from playlens.plans import activity, levels, payments, segments, usage
 
 
@@ -55,7 +56,7 @@ def compare_segments(
     labels: DataFrame,
     one: str,
     other: str,
-    few_users: bool = True,
+    few_users: FewUsers = True,
     max_level: int | None = None,
     first_open: DateRange | None = None,
 ) -> dict[str, DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from playlens.functions import ratio
 from playlens.model import LABEL, USER, EventTables, Scope
-from playlens.operators import count_users, join_labels, share_of_total
+from playlens.operators import FewUsers, count_users, join_labels, share_of_total
 from playlens.plans.levels import counts_per_user_level
 from playlens.plans.segments import BEST, WORST
 
@@ -22,12 +22,14 @@ def users_by_kind(
     labels: DataFrame,
     columns: Mapping[str, str],
     shares: Mapping[str, str],
-    few_users: bool = False,
+    few_users: FewUsers = False,
+    all_kinds: bool = False,
 ) -> DataFrame:
     """Distinct users per kind of event and label, and each kind's share in percent.
 
     Counts users, not events.  A user's repeats of a kind collapse before labels
-    are joined; kinds that only unlabelled users had stay, with 0.
+    are joined; kinds that only users with a NULL label had stay, with 0.  With ``all_kinds``
+    those of users who are not among the labels do, too, counted by themselves.
     """
     had = tables.get(event, USER, kind, scope=scope.worldwide()).distinct()
     counts = (
@@ -37,6 +39,12 @@ def users_by_kind(
             *(F.count_if(F.col(LABEL) == label).alias(name) for label, name in columns.items())
         )
     )
+    if all_kinds:
+        known = tables.get(event, USER, kind, scope=scope.worldwide()).filter(f"{USER} is not null")
+        kinds, counts = known.select(kind).distinct(), counts.withColumnRenamed(kind, "had")
+        counts = kinds.join(counts, F.col(kind).eqNullSafe(F.col("had")), "left").select(
+            kind, *(F.coalesce(F.col(name), F.lit(0)).alias(name) for name in columns.values())
+        )
     return share_of_total(counts, {columns[label]: name for label, name in shares.items()})
 
 
@@ -61,7 +69,7 @@ def usage_by_level(
     labels: DataFrame,
     uses: Mapping[str, str],
     segments: tuple[str, ...] = (BEST, WORST),
-    few_users: bool = False,
+    few_users: FewUsers = False,
 ) -> DataFrame:
     """Starters, starts and uses per level for each segment.
 
@@ -96,7 +104,7 @@ def use_per_starter_by_level(
     event: str,
     max_level: int | None = None,
     segments: tuple[str, ...] = (BEST, WORST),
-    few_users: bool = False,
+    few_users: FewUsers = False,
 ) -> DataFrame:
     """:func:`usage_by_level` of one event, up to a level if given, with uses per starter."""
     usage = usage_by_level(tables, labels, {use: event}, segments, few_users)
@@ -117,7 +125,7 @@ def overall_usage(
     labels: DataFrame,
     uses: Mapping[str, str],
     segments: tuple[str, ...] = (BEST, WORST),
-    few_users: bool = False,
+    few_users: FewUsers = False,
 ) -> DataFrame:
     """Uses per started level of a user, over all levels, one row per segment.
 

@@ -719,6 +719,23 @@ GROUP BY ALL""",
         found[f"apu_by_{name}"] = _apu(labels)
         found[f"level_curves_by_{name}"] = _curves(labels)
     found["apu_by_payer_all_levels"] = _apu("payer_lists").replace(" WHERE level <= 50", "")
+    found["attempt_ratio_cumulative_half_even"] = found["attempt_ratio_cumulative"].replace(
+        "round(100.0::DOUBLE", "round_even(100.0::DOUBLE"
+    )
+    found["flatten_int_slot"] = found["flatten_event"]
+    found["winrate_by_skill_bucketed"] = found["winrate_by_skill"]
+    found |= {f"{name}_bloom": found[name] for name in ("winrate_by_skill", "dau_by_payer", "retention")}
+    found["users_by_platform_sketch"] = _sql(
+        f"""
+SELECT platform, count(DISTINCT {U}) AS num_user, true AS near
+FROM session_start WHERE {REGARD} GROUP BY platform"""
+    )
+    found["weekly_users_sketch"] = _sql(
+        f"""
+SELECT window_end, count(DISTINCT {U}) AS num_user, true AS near
+FROM (SELECT DISTINCT event_date AS window_end FROM session_start)
+JOIN session_start ON event_date BETWEEN window_end - 6 AND window_end GROUP BY window_end"""
+    )
     found["stored_event_names"] = found["event_names"]
     found["stored_level_outcomes"] = (
         found["level_outcomes"]
@@ -726,6 +743,7 @@ GROUP BY ALL""",
         .replace("FROM win_level GROUP", f"FROM win_level WHERE {WHOLE} GROUP")
         .replace("FROM lose_level GROUP", f"FROM lose_level WHERE {WHOLE} GROUP")
     )
+    found["level_outcomes_in_two_runs"] = found["level_outcomes"]
     found |= {few: found[name] for few, name in FEW.items()}
     return found | {hard: _on_hard_log(found[name]) for hard, name in HARD.items()}
 

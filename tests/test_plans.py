@@ -20,6 +20,9 @@ FORBIDDEN = (
     "BatchEvalPython",
     "ArrowEvalPython",
     "MapInPandas",
+    "MapInArrow",
+    "FlatMapGroupsInPandas",
+    "FlatMapGroupsInArrow",
     "CollectLimit",
 )
 
