@@ -145,6 +145,7 @@ def pack(
     vocabulary: str = VOCABULARY,
     costs: Costs = Costs(),
     segment_tokens: int = 1 << 18,
+    keep_words: bool = True,
 ) -> DataFrame:
     """One row per piece of a document: ``start``, ``length``, ``ids``, ``doc_tokens``, ``sequence_id``, ``offset``.
 
@@ -152,7 +153,7 @@ def pack(
     piece, and pieces fill a sequence without gaps from offset 0, in the order of the
     documents in their input partition.  Every partition packs for itself: nothing is
     shuffled, and at most ``segment_tokens`` ids and one document wait for their cuts.
-    ``sequence_id`` is unique over all partitions.
+    ``sequence_id`` is unique over all partitions.  ``keep_words`` as in :mod:`playlens.llm.tokens`.
 
     A null or empty text is its end id alone.  Ids may be null or repeat: each row is a
     document.  An empty table gives no rows.  Other columns are left out, whatever their
@@ -180,7 +181,8 @@ def pack(
                     packer.add(name, ids + ending)
                 if packer.tokens >= segment_tokens and (pieces := packer.cut(last=False)):
                     yield batch_of(pieces, schema)
-        encoder(vocabulary).forget()
+        if not keep_words:
+            encoder(vocabulary).forget()
         if pieces := packer.cut(last=True):
             yield batch_of(pieces, schema)
 

@@ -145,7 +145,6 @@ def tokenised(documents: DataFrame, id_col: str, text_col: str, end_id: int, voc
                     [batch.column(0)[a:b], pa.array(map(len, found), pa.int64()), pa.array((i.astype(width).tobytes() for i in found), pa.binary())],
                     names=["id", "n", "ids"],
                 )
-        encoder(vocabulary).forget()
 
     return given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, n long, ids binary")
 

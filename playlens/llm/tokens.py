@@ -1,4 +1,9 @@
-"""Token ids of whole texts, for the operators that pack and store them."""
+"""Token ids of whole texts, for the operators that pack and store them.
+
+A Python worker remembers the ids of words from one task to the next, up to the bounds below.  Where
+other steps that need much memory follow in the same workers, a task can give its words back
+(``keep_words=False``), and the next one learns them anew.
+"""
 
 from __future__ import annotations
 
