@@ -11,7 +11,6 @@ are sorted tables, in a file that tasks map instead of loading it.  The language
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import pairwise
@@ -30,10 +29,14 @@ UNKNOWN = "und"
 ORDER = 3
 #: Text bytes handled at once in a task.
 CHUNK = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
 _GAP = b" " * ORDER
 
 
+def has_letter(text: str) -> bool:
+    """If a character is a letter; fractions, raised or circled figures are none."""
+    return any(map(str.isalpha, text))
+
+
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The texts with a gap before each, and where each starts and ends."""
     data = np.frombuffer(_GAP + _GAP.join(texts) if texts else b"", np.uint8)
@@ -260,7 +263,7 @@ def predict(
             texts = batch.column(batch.num_columns - 1).to_pylist()
             chosen: list[str] = [UNKNOWN] * len(texts)
             score = np.zeros(len(texts))
-            rows = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model else []
+            rows = [i for i, t in enumerate(texts) if t and has_letter(t)] if model else []
             data = [texts[i].encode() for i in rows]
             for a, b in slices(map(len, data), CHUNK):
                 bits = model.code_lengths(data[a:b])
