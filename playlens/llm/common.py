@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,10 +45,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+# Paths of tables written inside of calls of ``settled``.
+_passing: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again, which cuts its lineage."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    for paths in _passing:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.scratch = path
@@ -66,6 +72,21 @@ def release(*frames: DataFrame) -> None:
     frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, written; the tables that were written on the way to it are removed."""
+    _passing.append([])
+    try:
+        done = written(make(), name)
+    finally:
+        paths = _passing.pop()
+    for path in paths:
+        if path != done.scratch:
+            delete(spark, path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return done
+
+
 def shared_file(spark: SparkSession, name: str, data: bytes | Iterable[bytes]) -> str:
     """Put a bounded file, or one given in pieces, in the shared folder and let Spark copy it to every executor.
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
+from playlens.llm import common
 from playlens.llm.tokens import Encoder
 
 SMALL = "/root/testdata/sf0.001"
@@ -32,6 +36,7 @@ def docs(spark, benchmark_text):
         (7, "12345 !!! ..."),
         (8, _passage(1000, 50)),
         (9, _passage(500, 60)),
+        (10, _passage(505, 17)),
     ]
     rows = [(i, t, "en" if i % 2 else "de", "s", len(t or "")) for i, t in rows]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
@@ -45,14 +50,15 @@ def test_stages(spark, docs):
         assert docs.columns == columns
         docs = spark.createDataFrame(docs.collect(), docs.schema)
         found[name] = {r.doc_id: r for r in docs.collect()}
-    assert set(found["language_id"]) == {1, 2, 3, 4, 5, 8, 9}
-    assert set(found["near_dedup"]) == {1, 3, 4, 5, 8, 9}
+    assert set(found["language_id"]) == {1, 2, 3, 4, 5, 8, 9, 10}
+    assert set(found["near_dedup"]) == {1, 3, 4, 5, 8, 9, 10}
     cut = found["suffix_dedup"]
-    assert set(cut) == {1, 3, 4, 5, 8}  # all of 9 is in 3
+    assert set(cut) == {1, 3, 4, 5, 8, 10}  # all of 9 is in 3, and of 10, which is short
+    assert cut[10].text == _passage(505, 17)
     assert cut[3].text == found["near_dedup"][3].text
     assert cut[4].text == _passage(3000, 90) + " ##other end of four"
     assert cut[4].n_chars == len(cut[4].text)
-    assert set(found["decontaminate"]) == {1, 3, 4, 8}
+    assert set(found["decontaminate"]) == {1, 3, 4, 8, 10}
     pieces = pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
     ids = {r.doc_id: e + b"\1\0\0\0" for r, e in zip(docs.collect(), Encoder().encode([r.text for r in docs.collect()]), strict=True)}
     whole = dict.fromkeys(ids, b"")
@@ -61,6 +67,42 @@ def test_stages(spark, docs):
     assert whole == ids
 
 
+CLASHES = ["score", "lang_pred", "dropped", "kept", "__id", "__ranges", "n_hit", "n_words", "items", "spans", "id"]
+
+
+def test_stages_keep_other_columns_nulls_and_repeats(spark, docs):
+    more = [(None, _passage(4000), None, None, None), (1, _passage(0, 200), None, None, 3), (11, "", "en", "s", 0), (12, None, "en", "s", 0)]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    docs = docs.withColumns({name: F.concat(F.lit(f"{name} "), F.col("text")) for name in CLASHES})
+    given = {(r.doc_id, r.score) for r in docs.collect()}
+    for _, stage in pipeline.STAGES[:-1]:
+        done = stage(spark, docs, SMALL)
+        assert done.columns == docs.columns
+        docs = spark.createDataFrame(done.collect(), done.schema)
+        assert {(r.doc_id, r.score) for r in docs.collect()} <= given
+    assert {r.doc_id for r in docs.collect()} == {None, 1, 3, 4, 8, 10}
+    assert [r.doc_id for r in docs.collect()].count(1) == 2
+    assert {r.doc_id for r in pipeline.STAGES[-1][1](spark, docs, SMALL).collect()} == {None, 1, 3, 4, 8, 10}
+
+
+def test_without_any_label_documents_with_letters_stay(spark, docs):
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in pipeline.identify(spark, unlabelled, SMALL).collect()} == {1, 2, 3, 4, 5, 8, 9, 10}
+
+
+def test_tables_on_the_way_to_near_duplicates_go(spark, docs, monkeypatch):
+    made = []
+    before = common.scratch_path
+
+    def path(spark, name):
+        made.append(before(spark, name))
+        return made[-1]
+
+    monkeypatch.setattr(common, "scratch_path", path)
+    assert pipeline.drop_near_duplicates(spark, docs, SMALL).count() == 9
+    assert len(made) > 2 and [Path(p).exists() for p in made].count(True) == 1
+
+
 def test_run_over_the_tables(spark):
     pieces = pipeline.run(spark, SMALL).collect()
     total = spark.read.parquet(f"{SMALL}/documents.parquet").count()
