@@ -27,6 +27,8 @@ from playlens.llm.common import written
 BLOCK_ROWS, QUERY_ROWS = 4096, 1024
 #: Points in a leaf that are not worth grouping.
 LEAF = 64
+#: Inner products below this are exact as doubles, whatever the order of their sums.
+EXACT = float(1 << 52)
 
 
 @dataclass
@@ -99,17 +101,18 @@ def build(ids: np.ndarray, points: np.ndarray, leaf: int = LEAF) -> CoverTree:
 
 
 class _Best:
-    """The k best of every query so far, by score and then smaller id."""
+    """The k best of every query so far, by score and then smaller id; ``none`` is no score."""
 
-    def __init__(self, n: int, k: int) -> None:
+    def __init__(self, n: int, k: int, whole: bool) -> None:
         self.k = k
-        self.score = np.full((n, k), -np.inf)
+        self.none = np.iinfo(np.int64).min if whole else -np.inf
+        self.score = np.full((n, k), self.none)
         self.id = np.full((n, k), np.iinfo(np.int64).max)
 
     def add(self, rows: slice, scores: np.ndarray, ids: np.ndarray) -> None:
         """``scores`` by query and candidate; candidates in ascending id order."""
         if scores.shape[1] > self.k:
-            kth = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+            kth = np.partition(scores, -self.k, axis=1)[:, -self.k :][:, :1]
             over, tied = scores > kth, scores == kth
             room = self.k - over.sum(1, keepdims=True)
             over |= tied & (np.cumsum(tied, axis=1) <= room)
@@ -119,31 +122,39 @@ class _Best:
             ids = np.broadcast_to(ids, scores.shape)
         score = np.concatenate([self.score[rows], scores], 1)
         name = np.concatenate([self.id[rows], ids], 1)
-        order = np.lexsort((name, -score), axis=1)[:, : self.k]
+        order = np.lexsort((-name, score), axis=1)[:, ::-1][:, : self.k]
         self.score[rows] = np.take_along_axis(score, order, 1)
         self.id[rows] = np.take_along_axis(name, order, 1)
 
 
 def search(queries: CoverTree, vectors: CoverTree, k: int) -> _Best:
-    """The k best vectors of each query, without rows of the query's own id."""
-    best = _Best(len(queries.ids), k)
+    """The k best vectors of each query, without rows of the query's own id.
+
+    Where a product may be too large for exact sums of doubles, products are taken of long
+    integers, whose sums are right whatever overflows on the way, if the result fits a long.
+    """
+    norms = (np.linalg.norm(t.points, axis=1).max() for t in (queries, vectors))
+    whole = math.prod(map(float, norms)) >= EXACT
+    kind = np.int64 if whole else np.float64
+    asked, given = queries.points.astype(kind), vectors.points.astype(kind)
+    best = _Best(len(queries.ids), k, whole)
 
     def bound(q: int, v: int) -> float:
         s, r = queries.radius[q], vectors.radius[v]
         most = queries.centres[q] @ vectors.centres[v] + r * queries.norm[q] + s * vectors.norm[v] + r * s
-        return most + 1e-9 * abs(most) + 1e-6
+        return most + 1e-9 * (queries.norm[q] + s) * (vectors.norm[v] + r) + 1e-6
 
     stack = [(bound(0, 0), 0, 0)]
     while stack:
         most, q, v = stack.pop()
         rows = slice(queries.first[q], queries.end[q])
-        if most < best.score[rows, -1].min():
+        if most < float(best.score[rows, -1].min()):
             continue
         below_q, below_v = queries.children[q], vectors.children[v]
         if not below_q and not below_v:
             own = slice(vectors.first[v], vectors.end[v])
-            scores, ids = queries.points[rows] @ vectors.points[own].T, vectors.ids[own]
-            scores[queries.ids[rows, None] == ids] = -np.inf
+            scores, ids = asked[rows] @ given[own].T, vectors.ids[own]
+            scores[queries.ids[rows, None] == ids] = best.none
             best.add(rows, scores, ids)
         elif below_v and (not below_q or vectors.radius[v] >= queries.radius[q]):
             stack += sorted((bound(q, c), q, c) for c in below_v)
@@ -193,15 +204,15 @@ def top_k(
     Components become ``floor(scale * x)``.  Queries are the rows with an id divisible by
     ``every``, candidates all rows of the same dimension but those with the query's id; ties go to the
     smaller id, and a query with fewer candidates gets them all.  Rows with a null id, a
-    null or empty vector, or a component that is null, not finite or too large for
-    exact sums (``scale * x`` of 2**20 and more) take no part.  An empty table gives no rows.
+    null or empty vector, or a component that is null, not finite or beyond a long
+    (``scale * x`` of 2**62 and more) take no part.  Scores must fit a long.  An empty table gives no rows.
 
     Every block of queries meets every block of vectors once, each pair in a task's memory;
     at most k rows per query and block are shuffled.
     """
     spark = vectors.sparkSession
     given = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).dropna()
-    sound = F.forall("v", lambda x: x.isNotNull() & (F.abs(x.cast("double") * scale) < 1 << 20))
+    sound = F.forall("v", lambda x: x.isNotNull() & (F.abs(x.cast("double") * scale) < float(1 << 62)))
     clean = given.filter((F.size("v") > 0) & F.coalesce(sound, F.lit(False))).select("id", quantise("v", scale).alias("v"))
     data = written(_trees(clean, block_rows, "tree", "block"), "vector-trees")
     asked = written(_trees(clean.filter(F.col("id") % every == 0), query_rows, "queries", "part"), "query-trees")
@@ -216,7 +227,7 @@ def top_k(
             for i in range(batch.num_rows):
                 queries, tree = (pickle.loads(batch.column(c)[i].as_buffer()) for c in (0, 1))
                 best = search(queries, tree, k)
-                real = np.isfinite(best.score)
+                real = best.score != best.none
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.repeat(queries.ids, k)[real.ravel()]),

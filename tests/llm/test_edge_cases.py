@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +197,27 @@ def test_html(spark):
     assert html_text.main_text(frame.limit(0), id_col="page_id").count() == 0
 
 
+def test_figures_are_no_letters(spark):
+    texts = [(1, "\u00b2"), (2, "\u00bd 12"), (3, "\u2460"), (4, "\u00e9"), (5, "a"), (6, "the cat sat"), (7, "\u65e5")]
+    frame = spark.createDataFrame([(i, t, "en") for i, t in texts], "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in language_id.predict(frame, language_id.train(frame)).collect()}
+    assert found == {1: "und", 2: "und", 3: "und", 4: "en", 5: "en", 6: "en", 7: "en"}
+
+
+def test_top_k_of_large_components(spark):
+    random_ = np.random.default_rng(8)
+    rows = [(int(i), random_.normal(size=4).tolist()) for i in range(3, 49)]
+    rows += [(0, [1.0, 0.0, 0.0, 0.5]), (50, [5000.0, 1.0, 0.0, 0.0]), (2, [4096.0, 0.0, 3.0, 0.0]), (100, [-1e6, 3e6, 0.25, -2e6])]
+    rows += [(i, (random_.normal(size=4) * 1e6).tolist()) for i in range(101, 140)] + [(141, [1e300, 0.0, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    found = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk_search.top_k(frame).collect()}
+    whole = [(i, [math.floor(x * 256) for x in v]) for i, v in rows if i != 141]
+    for query, v in whole:
+        if query % 50 == 0:
+            scores = sorted((-sum(map(math.prod, zip(v, w, strict=True))), i) for i, w in whole if i != query)[:5]
+            assert [found[query, k] for k in range(1, 6)] == [(i, -score) for score, i in scores]
+
+
 def test_top_k(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
