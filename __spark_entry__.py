@@ -11,6 +11,7 @@ import sys
 import tempfile
 from collections.abc import Callable
 from dataclasses import replace
+from importlib.util import find_spec
 from pathlib import Path
 from uuid import uuid4
 
@@ -48,10 +49,11 @@ from playlens.sources.ingest import (
     write_event_tables,
 )
 
-try:
+# The corpus part may be left out as a whole; if it is there, its own import errors are shown.
+if find_spec("corpus_pipeline") and find_spec("playlens.llm") and find_spec("playlens.llm.queries"):
     import corpus_pipeline
     from playlens.llm import queries as corpus_queries
-except ImportError:
+else:
     corpus_pipeline = corpus_queries = None
 
 Query = Callable[[SparkSession, str], DataFrame]
