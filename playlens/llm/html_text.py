@@ -20,10 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages whose markup is counted to learn the weights.
+#: Pages whose markup is counted to learn the weights, of those that name their content.
 LABELLED_PAGES = 2000
-#: Most weights kept.
-MAX_WEIGHTS = 5000
 
 # Fixed values of HTML: element names by what they mean for layout.
 _BLOCKS = frozenset(
@@ -51,6 +49,9 @@ _NEVER_NAMED = frozenset(
     " newsletter notice notices pager pagination paywall popup promo promoted promotion related replies"
     " respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+# Elements that hold others; a name of theirs tells by its parts, that of other elements as a whole.
+_CONTAINERS = frozenset("div section ul ol dl table tbody tr td center details span".split())
 _LAYOUT = frozenset("article body container content has layout main no page post wrap wrapper with without".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
@@ -62,7 +63,9 @@ _TOKEN = re.compile(
     r"|<[a-z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# Pages whose markup names content.
+_NAMES_CONTENT = r"(?i)<(article|main)[\s>]"
 _WORD = re.compile(r"\S+")
 _SPACE = re.compile(r"\s+")
 
@@ -75,16 +78,27 @@ def _element(tag: str, attrs: str) -> tuple[tuple[str, ...], bool]:
         value = (found[2] or found[3] or found[4] or "").lower()
         if name == "hidden":
             never = True
+        elif name == "aria-hidden":
+            never = never or value == "true"
         elif name == "role":
             never = never or value in _ROLES
-        elif value:
-            keys += [f"{tag}.{part}" for part in value.split()[:4]]
-            never = never or tag not in ("html", "body", *_CONTENT) and any(map(_names_never, value.split()))
+        elif name in ("class", "id"):
+            names = value.split()
+            keys += [f"{tag}.{part}" for part in names]
+            never = never or tag not in ("html", "body", *_CONTENT) and any(_names_never(tag, n) for n in names)
     return tuple(keys), never
 
 
-def _names_never(name: str) -> bool:
-    """If a class name or id starts or ends with a word for what is no article text."""
+def _names_never(tag: str, name: str) -> bool:
+    """If a class name or id says that an element is no article text.
+
+    That of a container does if it starts or ends with such a word; that of a paragraph, an item
+    or the like only if it is one; headings are judged by where they stand.
+    """
+    if tag in _HEADINGS:
+        return False
+    if tag not in _CONTAINERS:
+        return name in _NEVER_NAMED
     parts = re.split("[_-]+", name)
     return (parts[0] in _NEVER_NAMED or parts[-1] in _NEVER_NAMED) and not _LAYOUT.intersection(parts)
 
@@ -191,7 +205,7 @@ def extract(page: str, weights: dict) -> str:
         chain, never = rest[-2:]
         if kind == "tag":
             score = 0.0 if never or "math" in chain else tags.get(value, -0.5)
-            pieces.append(("", rest[0], never))
+            pieces.append((" " if value == "br" else "", rest[0], never))
         else:
             if chain not in memo:
                 memo[chain] = prior + sum(words.get(key, 0.0) for key in chain)
@@ -219,9 +233,13 @@ def _clean(block: str) -> str:
 
 
 def learn_weights(pages: DataFrame, *, id_col: str, html_col: str = "html", sample: int = LABELLED_PAGES) -> dict:
-    """Weights counted on a sample of at most ``sample`` pages, drawn by a hash of their ids."""
-    drawn = pages.select(F.col(id_col).alias("id")).orderBy(F.xxhash64("id"), "id").limit(sample).distinct()
-    chosen = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).join(F.broadcast(drawn), "id", "left_semi")
+    """Weights counted on the pages of ``sample`` ids at most, drawn by a hash from the pages that name their content.
+
+    All that is counted there has a weight; the driver holds one number per tag and class name of these pages.
+    """
+    labelled = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).filter(F.col("html").rlike(_NAMES_CONTENT))
+    drawn = labelled.select("id").orderBy(F.xxhash64("id"), "id").limit(sample).distinct()
+    chosen = labelled.join(F.broadcast(drawn), "id", "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -237,8 +255,7 @@ def learn_weights(pages: DataFrame, *, id_col: str, html_col: str = "html", samp
 
     counted = chosen.select("html").mapInArrow(count, "kind string, key string, inside boolean, n long")
     summed = counted.groupBy("kind", "key", "inside").agg(F.sum("n").alias("n"))
-    rows = summed.orderBy(F.desc("n"), "kind", "key", "inside").limit(MAX_WEIGHTS).collect()
-    return weights_of({(r.kind, r.key, r.inside): r.n for r in rows})
+    return weights_of({(r.kind, r.key, r.inside): r.n for r in summed.collect()})
 
 
 def main_text(
@@ -246,11 +263,15 @@ def main_text(
 ) -> DataFrame:
     """``text`` and its code points ``n_chars`` for every page, with the ``keep`` columns.
 
-    Character references are decoded, white space inside a block becomes one space, and
+    Character references are decoded, white space and line breaks inside a block become one space, and
     blocks are joined by one line break.  A null, empty or text-free page gives an empty
-    text; a page cut off in a tag loses that tag only.  Ids may be null or repeat: each
-    row gets its own result.  Columns not in ``keep`` are left out, whatever their names.
+    text; a page cut off in a tag loses that tag only.  Of runs with equal sums the first one that
+    begins is taken, as far as its sum grows.  Pages are read whole, however long, one at a time.  Ids
+    may be null or repeat: each row gets its own result.  Columns not in ``keep`` are left out,
+    whatever their names; a kept column named ``text`` or ``n_chars`` is refused.
     """
+    if clashing := {"text", "n_chars"}.intersection([id_col, *keep]):
+        raise ValueError(f"results have columns of their own named {sorted(clashing)}")
     weights = weights or learn_weights(pages, id_col=id_col, html_col=html_col)
     given = pages.select(id_col, *keep, F.col(html_col).alias("__html"))
 

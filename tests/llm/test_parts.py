@@ -281,6 +281,51 @@ def test_text_after_embedded_elements_stays(inside, expected):
     assert html_text.extract(page, html_text.DEFAULT_WEIGHTS) == f"{expected}\nc"
 
 
+@pytest.mark.parametrize(
+    ("inside", "expected"),
+    [
+        ('<p title="the hidden valley">a</p>', "a"),
+        ('<div aria-hidden="false"><p>a</p></div>', "a"),
+        ('<p>a</p><p aria-hidden="true">no</p>', "a"),
+        ('<p data-id="comment">a</p>', "a"),
+        ('<p data-x="a > b" data-class=\'ad\'>a</p>', "a"),
+        ('<h2 class="section-header">a</h2>', "a"),
+        ("<p><b>only</b>x<br>y<br/>z</p>", "onlyx y z"),
+        ('<p class="one two three four five ad">no</p><p>a</p>', "a"),
+        ('<p class="footnote-header">a</p><div class="author-comments"><p>no</p></div>', "a"),
+        ("<p hidden>no</p><p>a</p>", "a"),
+        ('<ul><li role=navigation>no</li><li id="x">a</li></ul>', "a"),
+    ],
+)
+def test_attributes_are_read_by_name(inside, expected):
+    page = f"<html><body><nav>no</nav><article>{inside}<p>c d e f</p></article><footer>no</footer></body></html>"
+    assert html_text.extract(page, html_text.DEFAULT_WEIGHTS) == f"{expected}\nc d e f"
+
+
+def test_several_articles_on_a_page():
+    page = "<nav>no</nav><article><h2>a b</h2><p>c</p></article><aside>no</aside><article><p>d e</p></article><footer>no</footer>"
+    assert html_text.extract(page, html_text.DEFAULT_WEIGHTS) == "a b\nc\nd e"
+
+
+def test_of_equal_runs_the_first_is_taken():
+    weights = {"word": {"nav2": 0.0}, "tag": {"hr": -4.0}, "prior": 1.0}
+    assert html_text.extract("a b<hr>c d", weights) == "a b"
+
+
+def test_weights_of_all_names_from_pages_that_name_their_content(spark):
+    plain = [(i, "<div><p>text without any content element</p></div>") for i in range(40)]
+    named = [(100 + i, f"<div class='c{i} d e f g{i}'>x y z</div><main><p>the text</p></main>") for i in range(5)]
+    frame = spark.createDataFrame(plain + named, "page_id long, html string")
+    weights = html_text.learn_weights(frame, id_col="page_id", sample=5)
+    assert {f"div.{c}{i}" for c in "cg" for i in range(5)} < set(weights["word"])
+
+
+def test_clashing_names_of_main_text_are_refused(spark):
+    frame = spark.createDataFrame([(1, "<p>a</p>", "x")], "page_id long, html string, n_chars string")
+    with pytest.raises(ValueError, match="n_chars"):
+        html_text.main_text(frame, id_col="page_id", keep=("n_chars",))
+
+
 def _ppm_bits(learned: bytes, text: bytes) -> float:
     """Method C with exclusion, from the counts of every context seen."""
     seen = {}
