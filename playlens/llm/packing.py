@@ -45,49 +45,60 @@ def cut_points(ids: np.ndarray, ends: np.ndarray, size: int, tables, costs: Cost
     closing, spaced = tables
     kind = closing[ids[:-1]]
     sentences = np.flatnonzero((kind >= 2) | (kind == 1) & spaced[ids[1:]]) + 1
-    places = np.union1d(sentences, ends)
+    places = _union(sentences, ends)
     gaps = np.diff(places, prepend=0)
     longest, step = max(1, size // 16), max(1, size // 32)
     wide = gaps > longest
     inside = [np.arange(p - g + step, p, step) for p, g in zip(places[wide], gaps[wide], strict=True)]
     if inside:
-        places = np.union1d(places, np.concatenate(inside))
+        places = _union(places, np.concatenate(inside))
     penalty = np.full(len(places), costs.inside)
-    penalty[np.isin(places, sentences)] = costs.sentence
-    penalty[np.isin(places, ends)] = 0
+    penalty[np.searchsorted(places, sentences)] = costs.sentence
+    penalty[np.searchsorted(places, ends)] = 0
     return places, penalty
 
 
+def _union(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The values of two sorted arrays in order, each once."""
+    both = np.sort(np.concatenate([some, others]), kind="stable")
+    return both[np.concatenate(([True], both[1:] != both[:-1]))[: len(both)]]
+
+
 def best_cuts(places: np.ndarray, penalty: np.ndarray, size: int, costs: Costs) -> list[int]:
     """The window ends of least cost, from ``places``; the last one is always an end."""
-    spots = [0, *places.tolist()]
-    fines = [0.0, *penalty.tolist()]
     where = np.concatenate(([0], places))
-    exact: dict[int, list[int]] = {}
+    ends, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # windows of a power of two
     power = 1
-    while power < size:
-        starts = np.searchsorted(where, where - power)
-        for j in np.flatnonzero((where >= power) & (where[np.minimum(starts, len(where) - 1)] == where - power)):
-            exact.setdefault(int(j), []).append(int(starts[j]))
+    while power < size and size & (size - 1) == 0:
+        start = np.searchsorted(where, where - power)
+        end = np.flatnonzero((where >= power) & (where[np.minimum(start, len(where) - 1)] == where - power))
+        ends.append(end)
+        starts.append(start[end])
         power *= 2
-    full = size & (size - 1) != 0
+    order = np.argsort(np.concatenate(ends), kind="stable")
+    exact_ends = [*np.concatenate(ends)[order].tolist(), 0]
+    exact_starts = np.concatenate(starts)[order].tolist()
+    spots = where.tolist()
     best, source = [0.0] * len(spots), [0] * len(spots)
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])
-    for j in range(1, len(spots)):
-        place = spots[j]
-        while place - spots[queue[0][1]] > size:
+    queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # value, number and place of possible starts
+    exact = 0
+    for j, (place, fine) in enumerate(zip(spots[1:], (penalty + costs.window).tolist(), strict=True), 1):
+        value, i, start = queue[0]
+        while place - start > size:
             queue.popleft()
-        value, i = queue[0]
+            value, i, start = queue[0]
         value += size - place
-        for k in exact.get(j, ()) if not full else ():
+        while exact_ends[exact] == j:
+            k = exact_starts[exact]
             if best[k] < value:
                 value, i = best[k], k
-        value += fines[j] + costs.window
+            exact += 1
+        value += fine
         best[j], source[j] = value, i
         value += place
         while queue and queue[-1][0] >= value:
             queue.pop()
-        queue.append((value, j))
+        queue.append((value, j, place))
     cuts, j = [], len(spots) - 1
     while j:
         cuts.append(spots[j])
