@@ -13,7 +13,7 @@ import re
 import string
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain, islice, pairwise
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 
 #: The vocabulary file used where a caller names no other.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-#: Pieces between spaces and parts of them that a task remembers, and their characters.
+#: Pieces between spaces that a worker remembers, and their characters; as many parts of them.
 MEMO_PIECES, MEMO_CHARS = 1_000_000, 32 << 20
 #: Which characters below this are letters doesn't depend on the version of Unicode.
 _STABLE = "\u0590"
@@ -44,6 +44,26 @@ def slices(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
         yield first, end
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it can be printed."""
+    printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printed]
+    return {b: chr(b) for b in printed} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class _Pieces(dict):
+    """Ids by piece; a piece that is asked for the first time is looked up in the older ones, or learned."""
+
+    def __init__(self, learn, older: dict[str, bytes | None]) -> None:
+        self.learn, self.older, self.chars = learn, older, 0
+
+    def __missing__(self, piece: str) -> bytes | None:
+        found = self.older[piece] if piece in self.older else self.learn(piece)
+        self[piece] = found
+        self.chars += len(piece)
+        return found
+
+
 class Encoder:
     """Byte-level BPE ids as little-endian unsigned 32-bit bytes, equal to encoding the whole text.
 
@@ -51,68 +71,67 @@ class Encoder:
     characters, so the text falls into pieces that can be encoded by themselves and
     remembered.  A text with a piece that starts or ends with white space (runs of
     spaces, line breaks next to spaces) is encoded whole.  Pieces in turn fall into parts at
-    single line breaks and between a run of letters and the punctuation after it.
+    single line breaks and between a run of letters and the punctuation after it.  A run of letters
+    or of punctuation is one pre-token, which the BPE model takes as it is.
     """
 
     def __init__(self, path: str = VOCABULARY) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self._spaced = np.zeros(self.size, bool)  # ids whose token starts with a space
-        self._spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+        self._model = self.tokenizer.model
+        self._letters = _byte_letters()
+        self._packed = [i.to_bytes(4, "little") for i in range(self.size)]
         self.forget()
 
     def forget(self) -> None:
         """Give back the memory of remembered pieces, as at the end of a task."""
-        self._later: dict[str, bytes | None] = {}  # pieces after a space, without it
+        self._later = _Pieces(self._learn, {})  # pieces after a space, without it
         self._parts: dict[str, bytes] = {}  # other strings that are encoded by themselves
-        self._chars = 0
-
-    def _ids(self, texts: list[str]) -> Iterator[bytes]:
-        for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(found.ids, "<u4").tobytes()
-
-    def _words_ids(self, words: list[str]) -> Iterable[bytes]:
-        """Ids of words without a space, each after one, encoded as one string."""
-        if not words:
-            return []
-        found = self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)
-        ids = np.array(found[0].ids, "<u4")
-        starts = np.flatnonzero(self._spaced[ids])
-        if len(starts) != len(words):
-            return self._ids([" " + w for w in words])
-        data, at = ids.tobytes(), (4 * np.append(starts, len(ids))).tolist()
-        return [data[a:b] for a, b in pairwise(at)]
-
-    def _whole(self, pieces: list[str], lead: str) -> list[bytes | None]:
-        """The ids of pieces by their parts; None for one that can't stand alone."""
-        split = [
-            None if not p or p[0].isspace() or p[-1].isspace() else _parts_of(p, lead) for p in pieces
-        ]
-        known = self._parts
-        missing = list({part for own in split if own for part in own if part not in known})
-        known.update(zip(missing, self._ids(missing), strict=True))
-        self._chars += sum(map(len, missing))
-        return [own and b"".join([known[part] for part in own]) for own in split]
-
-    def _learn(self, pieces: set[str]) -> None:
-        memo = self._later
-        self._chars += sum(map(len, pieces))
-        words = {p for p in pieces if p.isalpha()}
-        ended, odd = [], []
-        for piece in pieces.difference(words):
-            stem = piece.rstrip(string.punctuation)
-            if stem.isalpha() and (stem.isascii() or max(stem) < _STABLE):
-                ended.append((piece, stem, piece[len(stem) :]))
-            else:
-                odd.append(piece)
-        words.update([stem for _, stem, _ in ended])
-        new = list(words.difference(memo))
-        memo.update(zip(new, self._words_ids(new), strict=True))
-        tails = list({tail for _, _, tail in ended}.difference(self._parts))
-        self._parts.update(zip(tails, self._ids(tails), strict=True))
-        parts = self._parts
-        memo.update([(piece, memo[stem] + parts[tail]) for piece, stem, tail in ended])
-        memo.update(zip(odd, self._whole(odd, " "), strict=True))
+        self._part_chars = 0
+
+    def _age(self) -> None:
+        """Forget what was not asked for since the last time, where the memory is half full."""
+        later = self._later
+        if 2 * len(later) > MEMO_PIECES or 2 * later.chars > MEMO_CHARS:
+            later.older = {}
+            self._later = _Pieces(self._learn, later)
+        if 2 * len(self._parts) > MEMO_PIECES or 2 * self._part_chars > MEMO_CHARS:
+            self._parts, self._part_chars = {}, 0
+
+    def _ids(self, text: str) -> bytes:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found[0].ids, "<u4").tobytes()
+
+    def _token(self, part: str) -> bytes:
+        """The ids of one pre-token."""
+        if part.isascii():
+            seen = part.replace(" ", self._letters[32])
+        else:
+            seen = part.encode().decode("latin-1").translate(self._letters)
+        return b"".join([self._packed[token.id] for token in self._model.tokenize(seen)])
+
+    def _part(self, part: str) -> bytes:
+        known = self._parts.get(part)
+        if known is None:
+            one = _letters(part.removeprefix(" ")) or not part.strip(string.punctuation)
+            known = self._parts[part] = self._token(part) if one else self._ids(part)
+            self._part_chars += len(part)
+        return known
+
+    def _learn(self, piece: str) -> bytes | None:
+        """The ids of a piece after a space."""
+        if _letters(piece):
+            return self._token(" " + piece)
+        stem = piece.rstrip(string.punctuation)
+        if _letters(stem):
+            return self._later[stem] + self._part(piece[len(stem) :])
+        return self._alone(piece, " ")
+
+    def _alone(self, piece: str, lead: str) -> bytes | None:
+        """The ids of a piece by its parts; None for one that can't stand alone."""
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            return None
+        return b"".join(map(self._part, _parts_of(piece, lead)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; of an empty one none.
@@ -123,25 +142,23 @@ class Encoder:
         collecting = gc.isenabled()
         gc.disable()
         try:
-            return self._encode(texts)
+            return [self._encode(text) for text in texts]
         finally:
+            self._age()
             if collecting:
                 gc.enable()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self._later) + len(self._parts) > MEMO_PIECES or self._chars > MEMO_CHARS:
-            self.forget()
-        parts = [text.split(" ") for text in texts]
-        self._learn(set(chain.from_iterable(p[1:] for p in parts)).difference(self._later))
-        first = self._whole([p[0] for p in parts], "")
-        later = self._later.__getitem__
-        out: list[bytes] = []
-        for text, pieces, head in zip(texts, parts, first, strict=True):
-            try:
-                out.append(head + b"".join(map(later, islice(pieces, 1, None))))
-            except TypeError:  # a piece that can't stand alone
-                out.append(next(self._ids([text])) if text else b"")
-        return out
+    def _encode(self, text: str) -> bytes:
+        pieces = text.split(" ")
+        try:
+            return self._alone(pieces[0], "") + b"".join(map(self._later.__getitem__, islice(pieces, 1, None)))
+        except TypeError:  # a piece that can't stand alone
+            return self._ids(text) if text else b""
+
+
+def _letters(part: str) -> bool:
+    """If it holds letters only, whatever the version of Unicode."""
+    return part.isalpha() and (part.isascii() or max(part) < _STABLE)
 
 
 def _parts_of(piece: str, lead: str) -> list[str]:
@@ -154,7 +171,7 @@ def _parts_of(piece: str, lead: str) -> list[str]:
             out.append("\n")
             lead = ""
         stem = line.rstrip(string.punctuation)
-        if len(stem) < len(line) and stem.isalpha() and max(stem) < _STABLE:
+        if len(stem) < len(line) and _letters(stem):
             out += [lead + stem, line[len(stem) :]]
         else:
             out.append(lead + line)

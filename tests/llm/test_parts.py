@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from playlens.llm import decontaminate, html_text, language_id, near_dedup, packing, quality, suffix_dedup, token_file, topk_search
+from playlens.llm import decontaminate, html_text, language_id, near_dedup, packing, quality, suffix_dedup, token_file, tokens, topk_search
 from playlens.llm.components import components
 from playlens.llm.suffix_array import common_prefixes, suffix_array
 from playlens.llm.tokens import VOCABULARY, Encoder, sentence_tables
@@ -29,6 +29,18 @@ def test_ids_are_those_of_whole_texts(texts):
     assert ENCODER.encode(texts) == whole
 
 
+def test_ids_don_t_depend_on_what_is_remembered(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_PIECES", 8)
+    small = Encoder()
+    texts = ["the cat, the dog\nsaw", "naïve cat's Übung. Жук!", "the sky  is", "caf\u00e9, the dog's", "", "don't—stop", "日本 the cat"] * 3
+    whole = [np.array(e.ids, "<u4").tobytes() for e in TOKENIZER.encode_batch(texts, add_special_tokens=False)]
+    for k, text in enumerate(texts):
+        assert small.encode([text]) == [whole[k]]
+        assert len(small._later) <= 4 + 8 and len(small._parts) <= 4 + 8
+    small.forget()
+    assert small.encode(texts) == whole
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.binary(max_size=200), st.integers(1, 6), st.booleans())
 def test_suffix_arrays(data, letters, wide):
