@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -16,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from playlens.llm.common import written
+
 WINDOW = 10
-#: Most bytes of item text in one automaton; larger benchmarks take several passes.
+#: Most bytes of item text in one automaton; larger benchmarks take a pass over the texts for each part.
 AUTOMATON_BYTES = 16 << 20
 
 #: Lower-case a-z, digits and all bytes over 127 make words, other bytes part them.
@@ -81,18 +85,46 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_parts(benchmark: DataFrame, item_col: str, text_col: str, part_bytes: int) -> list[list[tuple[str, str]]]:
-    """The distinct benchmark items in parts of at most ``part_bytes`` (or one item)."""
-    parts: list[list[tuple[str, str]]] = [[]]
+def item_parts(benchmark: DataFrame, item_col: str, text_col: str, part_bytes: int) -> Iterator[list[tuple[str, str]]]:
+    """The distinct benchmark items in parts of at most ``part_bytes`` (or one item), one at a time."""
+    part: list[tuple[str, str]] = []
     size = 0
     chosen = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
     for row in chosen.dropna().distinct().orderBy("item", "text").toLocalIterator():
-        if parts[-1] and size + len(row.text) > part_bytes:
-            parts.append([])
-            size = 0
-        parts[-1].append((row.item, row.text))
-        size += len(row.text)
-    return parts
+        n = len(row.text.encode())
+        if part and size + n > part_bytes:
+            yield part
+            part, size = [], 0
+        part.append((row.item, row.text))
+        size += n
+    if part:
+        yield part
+
+
+_RESULTS = ("n_words", "n_hit", "items", "spans")
+_RANGES = "array<struct<start:long,end:long>>"
+_RANGE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _hits(texts: DataFrame, part: list[tuple[str, str]], window: int) -> DataFrame:
+    """``digest, ranges, items`` of each distinct text that holds a window of a part of the benchmark."""
+    shared = texts.sparkSession.sparkContext.broadcast(part)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = build(shared.value, window)
+        for batch in batches if automaton else ():
+            rows = []
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = normalise(text)
+                ranges, items = scan(words, automaton) if words else ([], set())
+                if ranges:
+                    rows.append((digest, [{"start": a, "end": b} for a, b in merged(ranges)], sorted(items)))
+            kinds = (pa.string(), _RANGE, pa.list_(pa.string()))
+            columns = zip(zip(*rows, strict=True) if rows else ((), (), ()), kinds, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=["digest", "ranges", "items"])
+
+    found = texts.mapInArrow(run, f"digest string, ranges {_RANGES}, items array<string>")
+    return written(found.dropDuplicates(["digest"]), "benchmark-hits")
 
 
 def contamination(
@@ -116,53 +148,70 @@ def contamination(
     Null and empty texts have no words and no hits; a null item or item text is no item;
     an item of fewer than ``window`` words is one window; the same item given twice counts
     once; an empty benchmark hits nothing.  Ids may be null or repeat: each row gets its
-    own result.  Columns not in ``keep`` are left out, whatever their names.
+    own result.  Columns not in ``keep`` are left out, whatever their names; a kept column with
+    the name of a result is refused.
 
-    The benchmark is read in parts of ``part_bytes``, each an automaton that every task
-    builds from its broadcast items; a document is scanned once by each part.
+    A benchmark of up to ``part_bytes`` is broadcast, and one scan without a shuffle finds all.  A
+    larger one is read part by part: each is broadcast by itself for a pass over the texts that writes
+    the texts it hits, and the hits of all parts meet the documents by the digest of their texts.
+    No driver or task holds more than two parts.
     """
-    context = documents.sparkSession.sparkContext
-    parts = [context.broadcast(p) for p in item_parts(benchmark, item_col, item_text_col, part_bytes)]
-    given = documents.select(id_col, *keep, F.col(text_col).alias("__text"))
     names = [id_col, *keep]
+    if clashing := set(_RESULTS).intersection(names):
+        raise ValueError(f"results have columns of their own named {sorted(clashing)}")
+    given = documents.select(id_col, *keep, F.col(text_col).alias("__text"))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema[:-1]]
+    parts = item_parts(benchmark, item_col, item_text_col, part_bytes)
+    first, second = next(parts, []), next(parts, None)
+    shared = None
+    if second is None:
+        shared = documents.sparkSession.sparkContext.broadcast(first)
+    else:
+        texts = documents.select(F.sha2(F.col(text_col), 256).alias("digest"), F.col(text_col).alias("text")).dropna()
+        tables = [_hits(texts, part, window) for part in chain([first, second], parts)]
+        hits = reduce(DataFrame.union, tables).groupBy("digest").agg(
+            F.flatten(F.collect_list("ranges")).alias("__ranges"),
+            F.array_distinct(F.flatten(F.collect_list("items"))).alias("__items"),
+        )
+        hits = hits.withColumnRenamed("digest", "__digest")
+        given = given.join(hits, F.sha2("__text", 256) == F.col("__digest"), "left").drop("__digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = [a for a in (build(p.value, window) for p in parts) if a is not None]
+        automaton = build(shared.value, window) if shared else None
         for batch in batches:
             n_words, n_hit, items, spans = [], [], [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+            texts = batch.column(len(names)).to_pylist()
+            if shared:
+                known = [(None, None)] * len(texts)
+            else:
+                known = zip(batch.column(len(names) + 1).to_pylist(), batch.column(len(names) + 2).to_pylist(), strict=True)
+            for text, (ranges, found) in zip(texts, known, strict=True):
                 words = normalise(text)
-                ranges: list[tuple[int, int]] = []
-                found: set[str] = set()
-                for automaton in ready if words else ():
-                    some, ids = scan(words, automaton)
-                    ranges += some
-                    found |= ids
+                if shared:
+                    ranges, found = scan(words, automaton) if words and automaton else ([], set())
+                else:
+                    ranges, found = [(r["start"], r["end"]) for r in ranges or ()], found or ()
                 ranges = merged(ranges)
                 if ranges:
-                    first, end = word_offsets(text)
-                    spans.append([{"start": int(first[a]), "end": int(end[b - 1])} for a, b in ranges])
+                    start, end = word_offsets(text)
+                    spans.append([{"start": int(start[a]), "end": int(end[b - 1])} for a, b in ranges])
                 else:
                     spans.append([])
                 n_words.append(len(words))
                 n_hit.append(sum(b - a for a, b in ranges))
                 items.append(sorted(found))
-            span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(i) for i in range(len(names))),
                     pa.array(n_words, pa.int64()),
                     pa.array(n_hit, pa.int64()),
                     pa.array(items, pa.list_(pa.string())),
-                    pa.array(spans, pa.list_(span)),
+                    pa.array(spans, _RANGE),
                 ],
-                names=[*names, "n_words", "n_hit", "items", "spans"],
+                names=[*names, *_RESULTS],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema[:-1])
-    return given.mapInArrow(
-        run, f"{fields}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
-    )
+    return given.mapInArrow(run, f"{', '.join(kinds)}, n_words long, n_hit long, items array<string>, spans {_RANGES}")
 
 
 def digest_columns(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

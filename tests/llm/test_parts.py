@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -338,6 +339,97 @@ def test_clashing_names_of_main_text_are_refused(spark):
         html_text.main_text(frame, id_col="page_id", keep=("n_chars",))
 
 
+def test_a_benchmark_in_parts_gives_the_same_rows(spark):
+    random_ = np.random.default_rng(4)
+    texts = [" ".join(random_.choice(WORDS[:4], 40)) for _ in range(30)] + [None, "", "The SEA, the sky", "the sea the sky"]
+    documents = [(i % 25 if i % 7 else None, t, "x") for i, t in enumerate([*texts, *texts[:12]])]
+    items = [(f"i{i}", " ".join(t.split()[3:9]) if t else t) for i, t in enumerate(texts)] + [("i0", "the sea the sky"), (None, "red"), ("n", None)]
+    frame = spark.createDataFrame(documents, "doc_id long, text string, ranges string")
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    whole, parts = (
+        sorted(map(repr, decontaminate.contamination(frame, benchmark, window=5, part_bytes=size, keep=("ranges",)).collect()))
+        for size in (1 << 20, 100)
+    )
+    assert len(list(decontaminate.item_parts(benchmark, "item_id", "text", 100))) > 3
+    assert whole == parts and len(whole) == len(documents)
+    assert sum("n_hit=0" not in row for row in whole) > 10
+    with pytest.raises(ValueError, match="n_hit"):
+        decontaminate.contamination(frame.withColumnRenamed("ranges", "n_hit"), benchmark, keep=("n_hit",))
+
+
+_ALL = (1 << 64) - 1
+
+
+def _plain_bucket(key: int, bits: int) -> int:
+    key = key * int(quality._MIX) & _ALL
+    return ((key ^ (key >> 32)) * int(quality._STEP) & _ALL) >> (64 - bits)
+
+
+def _plain_features(text: str, settings) -> list[int]:
+    """Character by character, with whole numbers."""
+    mix, step = int(quality._MIX), int(quality._STEP)
+    found = []
+    for n in settings.char_ngrams:
+        for at in range(len(text) - n + 1):
+            key = n + 16
+            for c in text[at : at + n]:
+                key = (key ^ ord(c)) * step & _ALL
+            found.append(key)
+    words = []
+    for word in "".join(" " if ord(c) <= 32 or ord(c) in (0x85, 0xA0) else c for c in text).split(" "):
+        total = 0
+        for rank, c in enumerate(word):
+            one = (ord(c) + mix * (rank + 1)) * step & _ALL
+            total += (one ^ (one >> 29)) * mix & _ALL
+        if word:
+            words.append(total & _ALL)
+    found += [w ^ 1 for w in words]
+    found += [3 if a == b else (a * step & _ALL) ^ b ^ 2 for a, b in zip(words, words[1:], strict=False)]
+    return [_plain_bucket(key, settings.bits) for key in found]
+
+
+def test_quality_is_that_of_a_plain_computation():
+    settings_ = quality.Settings(bits=8, dimensions=4, epochs=3)
+    random_ = np.random.default_rng(3)
+    texts = [" ".join(random_.choice(WORDS[:8] if i % 2 else WORDS[8:], 1 + i)) for i in range(14)]
+    texts += ["", "a", "\u00e9t\u00e9 \u65e5\n\tx  x", " b "]
+    labels = [i % 2 for i in range(len(texts))]
+    plain = [_plain_features(t, settings_) for t in texts]
+    buckets, owners = quality.features(texts, settings_)
+    for k in range(len(texts)):
+        assert sorted(buckets[owners == k].tolist()) == sorted(plain[k])
+    rows = []
+    for label, own in zip(labels, plain, strict=True):
+        unique, counts = np.unique(np.array(own, np.int64), return_counts=True)
+        rows.append((label, unique, (counts / max(1, counts.sum())).astype(np.float32)))
+    model = quality.fit(rows, settings_)
+    # The same descent with lists of Python numbers.
+    seeded, size = np.random.default_rng(settings_.seed), settings_.dimensions
+    vectors = seeded.normal(0, 0.1, (1 << settings_.bits, size)).tolist()
+    layer = seeded.normal(0, 1 / np.sqrt(size), (2, size)).tolist()
+    bias, done = [0.0, 0.0], 0
+    for _ in range(settings_.epochs):
+        for k in seeded.permutation(len(rows)):
+            rate = settings_.rate * (1 - done / (settings_.epochs * len(rows)))
+            done += 1
+            share = {b: plain[k].count(b) / len(plain[k]) for b in plain[k]}
+            hidden = [sum(w * vectors[b][d] for b, w in share.items()) for d in range(size)]
+            logits = [sum(map(math.prod, zip(layer[c], hidden, strict=True))) + bias[c] for c in (0, 1)]
+            chance = [math.exp(x) / sum(map(math.exp, logits)) for x in logits]
+            error = [chance[c] - (labels[k] == c) for c in (0, 1)]
+            back = [error[0] * layer[0][d] + error[1] * layer[1][d] for d in range(size)]
+            for c in (0, 1):
+                layer[c] = [layer[c][d] - rate * error[c] * hidden[d] for d in range(size)]
+                bias[c] -= rate * error[c]
+            norm = sum(w * w for w in share.values())
+            for b, w in share.items():
+                vectors[b] = [vectors[b][d] - rate / norm * w * back[d] for d in range(size)]
+    for text, own, score in zip(texts, plain, model.scores(texts), strict=True):
+        mean = [sum(vectors[b][d] for b in own) / max(1, len(own)) for d in range(size)]
+        logit = sum((layer[1][d] - layer[0][d]) * mean[d] for d in range(size)) + bias[1] - bias[0]
+        assert score == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-4), text
+
+
 def _ppm_bits(learned: bytes, text: bytes) -> float:
     """Method C with exclusion, from the counts of every context seen."""
     seen = {}
