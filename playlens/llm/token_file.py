@@ -14,6 +14,7 @@ by itself through a table of all ``LIMIT``-bit windows, from all its checkpoints
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ LIMIT = 16
 STEP = 512
 #: Payload of a block in bytes, unless one document alone is larger.
 BLOCK_BYTES = 4 << 20
-#: Tokens handled at once in a task.
-CHUNK = 1 << 18
+#: Tokens whose codes are written at once in a task; a processor's cache holds their arrays.
+CHUNK = 1 << 15
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -131,40 +132,49 @@ def decode_block(payload: bytes, checkpoints: np.ndarray, counts: np.ndarray, ta
 
 
 def tokenised(documents: DataFrame, id_col: str, text_col: str, end_id: int, vocabulary: str) -> DataFrame:
-    """``id``, ``n`` and ``ids`` (little-endian, 2 bytes where the vocabulary allows, else 4) of every text."""
+    """``id``, ``n`` and ``ids`` (little-endian, 2 bytes where the vocabulary allows, else 4) of every text.
+
+    A task's last row has a null ``n`` and in ``counts`` how often each id occurs in the task's texts.
+    """
     given = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ending = np.array([end_id], "<u4").tobytes()
+    pair = pa.struct([("token", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kind = ["id", "n", "ids", "counts"], None
         width = id_width(encoder(vocabulary).size, end_id)
+        size = max(encoder(vocabulary).size, end_id + 1)
+        total = np.zeros(size, np.int64)
         for batch in batches:
+            kind = batch.schema.field(0).type
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(map(len, texts), 1 << 20):
-                found = [np.frombuffer(i + ending, "<u4") for i in encoder(vocabulary).encode(texts[a:b])]
+                found = [i + ending for i in encoder(vocabulary).encode(texts[a:b])]
+                ids = np.frombuffer(b"".join(found), "<u4")
+                total += np.bincount(ids, minlength=size)
+                ends = np.cumsum([len(i) // 4 for i in found])
+                data, bytes_each = ids.astype(width).tobytes(), np.dtype(width).itemsize
+                own = pa.array([data[s:e] for s, e in pairwise([0, *(bytes_each * ends).tolist()])], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array(map(len, found), pa.int64()), pa.array((i.astype(width).tobytes() for i in found), pa.binary())],
-                    names=["id", "n", "ids"],
+                    [batch.column(0)[a:b], pa.array(np.diff(ends, prepend=0), pa.int64()), own, pa.nulls(b - a, pa.list_(pair))], names=names
                 )
+        if kind is not None:
+            used = np.flatnonzero(total)
+            counts = pa.StructArray.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], fields=list(pair))
+            counts = pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), counts)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), counts], names=names)
 
-    return given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, n long, ids binary")
+    kind = given.schema["id"].dataType.simpleString()
+    return given.mapInArrow(run, f"id {kind}, n long, ids binary, counts array<struct<token:long,n:long>>")
 
 
 def id_width(vocabulary_size: int, end_id: int) -> str:
     return "<u2" if max(vocabulary_size, end_id + 1) <= 1 << 16 else "<u4"
 
 
-def _counted(tokens: DataFrame, size: int, width: str) -> np.ndarray:
+def _counted(tokens: DataFrame, size: int) -> np.ndarray:
     """How often each id occurs in the whole corpus; a row per id and task is shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), width), minlength=size)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["token", "n"])
-
-    rows = tokens.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = tokens.filter("n IS NULL").select(F.inline("counts")).groupBy("token").agg(F.sum("n").alias("n"))
     counts = np.zeros(size, np.int64)
     for row in rows.collect():  # at most one row per id of the vocabulary
         counts[row.token] = row.n
@@ -183,8 +193,8 @@ def write_ids(
 ) -> None:
     """Write the ids of all documents, each with ``end_id`` at its end, in ascending id order.
 
-    Texts are encoded once, into a scratch table; the codebook comes from the counts of all
-    ids.  Documents are dealt to ``ranges`` ranges of ids of about the same number of
+    Texts are encoded once, into a scratch table, where each task also leaves its counts of ids; the
+    codebook comes from all of them.  Documents are dealt to ``ranges`` ranges of ids of about the same number of
     documents and written in order within a range; equal ids lie in one range.
 
     A null or empty text is its end id alone.  Rows with a null id come first.  Rows with
@@ -192,10 +202,11 @@ def write_ids(
     gives a file set without blocks.  Other columns are left out, whatever their names.
     """
     spark = documents.sparkSession
-    tokens = written(tokenised(documents, id_col, text_col, end_id, vocabulary), "token-ids")
+    scratch = written(tokenised(documents, id_col, text_col, end_id, vocabulary), "token-ids")
+    tokens = scratch.filter("n IS NOT NULL").drop("counts")
     size = max(encoder(vocabulary).size, end_id + 1)
     width = id_width(encoder(vocabulary).size, end_id)
-    lengths = code_lengths(_counted(tokens, size, width))
+    lengths = code_lengths(_counted(scratch, size))
     spark.createDataFrame([(lengths.tobytes(),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
     ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = [i / ranges for i in range(1, ranges)] or [0.5]
@@ -273,7 +284,7 @@ def write_ids(
     )
     blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     shared.unpersist()
-    release(tokens)
+    release(scratch)
 
 
 def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
