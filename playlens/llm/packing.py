@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from playlens.llm.common import sparing
 from playlens.llm.tokens import VOCABULARY, encoder, sentence_tables, slices
 
 
@@ -187,8 +189,9 @@ def pack(
                 + [(n, pa.int64()) for n in ("doc_tokens", "sequence_id", "offset")]
             )
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            found = encoder(vocabulary).each([t or "" for t in texts], None if keep_words else 1 << 20)
             for a, b in slices([len(t or "") for t in texts], 1 << 20):
-                for name, ids in zip(names[a:b], encoder(vocabulary).encode([t or "" for t in texts[a:b]]), strict=True):
+                for name, ids in zip(names[a:b], islice(found, b - a), strict=True):
                     packer.add(name, ids + ending)
                 if packer.tokens >= segment_tokens and (pieces := packer.cut(last=False)):
                     yield batch_of(pieces, schema)
@@ -199,6 +202,6 @@ def pack(
 
     kind = given.schema["id"].dataType.simpleString()
     return given.mapInArrow(
-        run,
+        sparing(run),
         f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long",
     )

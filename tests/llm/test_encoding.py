@@ -6,7 +6,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from playlens.llm import token_file
-from playlens.llm.tokens import VOCABULARY, Encoder
+from playlens.llm.tokens import VOCABULARY, Encoder, sentence_tables
 
 TOKENIZER = Tokenizer.from_file(VOCABULARY)
 
@@ -26,3 +26,36 @@ def test_ids_are_counted_while_texts_are_encoded(spark):
     ids = np.frombuffer(b"".join(r.ids for r in found.filter("n IS NOT NULL").collect()), "<u2")
     assert found.filter("n IS NOT NULL").count() == 4 and (ids == 2).sum() == 4
     assert token_file._counted(found, TOKENIZER.get_vocab_size()).tolist() == np.bincount(ids, minlength=TOKENIZER.get_vocab_size()).tolist()
+
+
+def test_a_piece_that_many_texts_share_is_looked_up_once():
+    asked = []
+
+    class Counted(dict):
+        def __getitem__(self, piece):
+            asked.append(piece)
+            return known[piece]
+
+    texts = ["a cat", "the cat\nsat", "", "a cat sat"] * 50
+    small = Encoder()
+    whole = small.encode(texts)
+    known, small._later = small._later, Counted()
+    assert small._encode(texts) == whole
+    assert sorted(asked) == ["\nsat", "cat", "sat"]
+
+
+def test_a_space_before_a_line_break_counts_in_texts_of_any_kind():
+    texts = ["a \nb<|", "a \nb\rc", "x \ny\n\nz", " \nb<|", "a\n \nb<|", " lead", "\nlead <|"]
+    whole = [np.array(e.ids, "<u4").tobytes() for e in TOKENIZER.encode_batch(texts, add_special_tokens=False)]
+    assert Encoder().encode(texts) == whole
+    assert Encoder().encode(texts[::-1]) == whole[::-1]
+
+
+def test_texts_encoded_ahead_come_one_by_one():
+    texts = ["one two", "", "three\nfour", "  ", "five", "é six"]
+    for together in (1, 9, None):
+        assert list(Encoder().each(texts, together)) == Encoder().encode(texts)
+
+
+def test_a_worker_reads_the_sentence_tables_once():
+    assert sentence_tables()[0] is sentence_tables()[0]
