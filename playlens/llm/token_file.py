@@ -14,7 +14,7 @@ by itself through a table of all ``LIMIT``-bit windows, from all its checkpoints
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -101,13 +101,15 @@ def encode_documents(ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray, c
     byte_ends = np.cumsum((doc_bits + 7) // 8)
     base = 8 * np.concatenate(([0], byte_ends[:-1])) - bits_before
     starts = after - sizes + np.repeat(base, counts)
-    value = codes[ids].astype(np.int64) << (24 - sizes - (starts & 7))
-    total, at = int(byte_ends[-1]) if len(byte_ends) else 0, starts >> 3
-    payload = sum(
-        np.bincount(at + k, weights=(value >> (16 - 8 * k)) & 255, minlength=total + 2)[: total + 2] for k in range(3)
-    )
-    rank = np.arange(len(ids)) - np.repeat(token_starts, counts)
-    return payload[:total].astype(np.uint8), byte_ends, starts[rank % STEP == 0]
+    total, at = int(byte_ends[-1]) if len(byte_ends) else 0, starts >> 5
+    value = (codes[ids].astype(np.int64) << (64 - sizes - (starts & 31))).view(np.uint64)  # two words of 32 bits
+    words = -(-total // 4) + 1
+    payload = np.bincount(at, weights=value >> 32, minlength=words)[:words]
+    payload += np.bincount(at + 1, weights=value & 0xFFFFFFFF, minlength=words)[:words]
+    parts = -(-counts // STEP)
+    rank = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    marks = starts[np.repeat(token_starts, parts) + STEP * rank]
+    return payload.astype(">u4").view(np.uint8)[:total], byte_ends, marks
 
 
 def decode_block(payload: bytes, checkpoints: np.ndarray, counts: np.ndarray, table) -> np.ndarray:
@@ -148,8 +150,9 @@ def tokenised(documents: DataFrame, id_col: str, text_col: str, end_id: int, voc
         for batch in batches:
             kind = batch.schema.field(0).type
             texts = [t or "" for t in batch.column(1).to_pylist()]
+            encoded = encoder(vocabulary).each(texts)
             for a, b in slices(map(len, texts), 1 << 20):
-                found = [i + ending for i in encoder(vocabulary).encode(texts[a:b])]
+                found = [i + ending for i in islice(encoded, b - a)]
                 ids = np.frombuffer(b"".join(found), "<u4")
                 total += np.bincount(ids, minlength=size)
                 ends = np.cumsum([len(i) // 4 for i in found])

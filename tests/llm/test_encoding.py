@@ -59,3 +59,22 @@ def test_texts_encoded_ahead_come_one_by_one():
 
 def test_a_worker_reads_the_sentence_tables_once():
     assert sentence_tables()[0] is sentence_tables()[0]
+
+
+def test_codes_meet_in_words_without_touching_each_other():
+    ids = np.arange(3000, dtype=np.uint32) ** 2 % 70
+    counts = np.array([0, 1, 511, 512, 513, 0, 1463])
+    lengths = token_file.code_lengths(np.bincount(ids) ** 3)
+    codes = token_file.canonical_codes(lengths)
+    payload, ends, marks = token_file.encode_documents(ids, counts, lengths, codes)
+    bits, plain, places = "", [], []
+    for text in np.split(ids, np.cumsum(counts)[:-1]):
+        for k, i in enumerate(text):
+            if k % token_file.STEP == 0:
+                places.append(len(bits))
+            bits += f"{codes[i]:0{lengths[i]}b}"
+        bits += "0" * (-len(bits) % 8)
+        plain.append(len(bits) // 8)
+    assert payload.dtype == np.uint8 and payload.tobytes() == int(bits, 2).to_bytes(len(bits) // 8, "big")
+    assert ends.tolist() == plain and marks.tolist() == places
+    assert (token_file.decode_block(payload.tobytes(), marks, counts, token_file.decoding_table(lengths)) == ids).all()
