@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playlens.llm.common import written
+from playlens.llm.common import sparing, written
 
 WINDOW = 10
 #: Most bytes of item text in one automaton; larger benchmarks take a pass over the texts for each part.
@@ -123,7 +123,7 @@ def _hits(texts: DataFrame, part: list[tuple[str, str]], window: int) -> DataFra
             columns = zip(zip(*rows, strict=True) if rows else ((), (), ()), kinds, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=["digest", "ranges", "items"])
 
-    found = texts.mapInArrow(run, f"digest string, ranges {_RANGES}, items array<string>")
+    found = texts.mapInArrow(sparing(run), f"digest string, ranges {_RANGES}, items array<string>")
     return written(found.dropDuplicates(["digest"]), "benchmark-hits")
 
 
@@ -211,7 +211,7 @@ def contamination(
                 names=[*names, *_RESULTS],
             )
 
-    return given.mapInArrow(run, f"{', '.join(kinds)}, n_words long, n_hit long, items array<string>, spans {_RANGES}")
+    return given.mapInArrow(sparing(run), f"{', '.join(kinds)}, n_words long, n_hit long, items array<string>, spans {_RANGES}")
 
 
 def digest_columns(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playlens.llm.common import crc_of_id, release, shared_file, written
+from playlens.llm.common import crc_of_id, release, shared_file, sparing, written
 from playlens.llm.tokens import slices
 
 UNKNOWN = "und"
@@ -214,7 +214,7 @@ def train(documents: DataFrame, *, text_col: str = "text", lang_col: str = "lang
             texts = [t.encode() for t in batch.column(1).to_pylist()]
             for language in set(languages):
                 own = [t for x, t in zip(languages, texts, strict=True) if x == language]
-                for i, j in slices(map(len, own), 4 * CHUNK):
+                for i, j in slices(map(len, own), CHUNK):
                     keys, n = np.unique(grams(*joined(own[i:j])), return_counts=True)
                     if language in held:
                         before = held[language]
@@ -225,7 +225,7 @@ def train(documents: DataFrame, *, text_col: str = "text", lang_col: str = "lang
         for language in list(held):
             yield rows(language)
 
-    total = given.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    total = given.mapInArrow(sparing(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = written(total, "strings")
     languages = sorted(r[0] for r in total.select("lang").distinct().collect())
     sizes: list[list[int]] = []
@@ -277,7 +277,7 @@ def predict(
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema[:-1])
-    return given.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return given.mapInArrow(sparing(run), f"{fields}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id"):

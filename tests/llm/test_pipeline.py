@@ -123,3 +123,29 @@ def test_stages_take_empty_tables(spark, docs):
         assert docs.count() == 0
         if "text" in docs.columns:
             docs = spark.createDataFrame([], docs.schema)
+
+
+def test_tasks_of_every_stage_give_their_memory_back(spark, docs, monkeypatch):
+    seen = []
+    mapped = type(docs).mapInArrow
+
+    def recorded(self, func, *args, **more):
+        seen.append(func)
+        return mapped(self, func, *args, **more)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", recorded)
+    for _, stage in pipeline.STAGES:
+        before = len(seen)
+        stage(spark, docs, SMALL)
+        assert len(seen) > before and all(hasattr(f, "__wrapped__") for f in seen)
+
+
+def test_memory_goes_back_when_a_task_ends_or_is_left(monkeypatch):
+    back = []
+    monkeypatch.setattr(common, "give_back", lambda: back.append(1))
+    tasks = common.sparing(lambda batches: (2 * b for b in batches))
+    assert list(tasks(iter([1, 2]))) == [2, 4] and back == [1]
+    left = tasks(iter([1, 2]))
+    assert next(left) == 2 and back == [1]
+    left.close()
+    assert back == [1, 1]
